@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import langid, quality, toxicity
+from tidewater.llm import bpe, langid, quality, token_files, toxicity
 from tidewater.runtime import ship
 
 
@@ -27,6 +27,23 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     return toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"))
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file; the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(_read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_decode(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     known = labels.where(~held_out())
@@ -50,6 +67,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_bpe": op2_bpe,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
