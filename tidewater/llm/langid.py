@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _text as T
+from tidewater.llm._sample import per_label
 
 BITS = 16
 SHIFT = np.uint64(64 - BITS)
@@ -109,15 +110,16 @@ def _marginals(emit: np.ndarray, move: np.ndarray, start: np.ndarray, size: np.n
     return out, total
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id", max_per_label: int = 300, max_bytes: int = 20_000_000, epochs: int = 6, rate: float = 0.3, lexicon_size: int = 400) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id", max_per_label: int = 300, max_bytes: int = 2_500_000, epochs: int = 6, rate: float = 0.3, lexicon_size: int = 400) -> Model:
     """Fit on at most ``max_per_label`` whole texts of each label, those of the smallest hash of the key.
 
-    ``max_bytes`` bounds what the driver reads besides: texts are taken in that order while they fit.
+    ``max_bytes`` bounds them further: of each label, texts are taken in that order while they fit.
     """
-    rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).alias("y"))
-    ranked = rows.select("k", "y", F.octet_length("t").alias("size")).withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))).where(F.col("n") <= max_per_label)
-    ranked = ranked.withColumn("sum", F.sum("size").over(Window.partitionBy("y").orderBy("n"))).where(F.col("sum") <= max_bytes // 8)
-    got = rows.join(F.broadcast(ranked.select("k", "n").distinct()), "k").select("t", "y", "n").toPandas().sort_values(["n", "y", "t"])
+    size = F.octet_length(text_col)
+    chosen = per_label(docs.where(size.isNotNull()), key_col, label_col, max_per_label, size).withColumn("n", F.xxhash64("k")).toPandas().sort_values(["y", "n", "k"])
+    chosen = chosen[chosen.groupby("y").x.cumsum() <= max_bytes]
+    keys = docs.sparkSession.createDataFrame([(k,) for k in chosen.k.tolist()], docs.select(F.col(key_col).alias("k")).schema)
+    got = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).alias("y")).where(F.col("y").isNotNull()).join(F.broadcast(keys), "k").withColumn("n", F.xxhash64("k")).toPandas().sort_values(["n", "y", "t"])
     labels = sorted(set(got.y))
     k = len(labels)
     if not k:

@@ -1,6 +1,6 @@
 """Quality classifier: importance resampling of raw text towards a target.
 
-Two generative models over hashed token unigrams and bigrams are counted: one of the
+Two generative models over hashed token unigrams and bigrams, and one for immediate repetition, are counted: one of the
 target texts, one of all raw texts. A text's importance is the log ratio of its
 probability under both; it is taken per n-gram, so that long and short texts compare,
 and sharpened by a factor. Resampling without replacement is the Gumbel top-k: the k
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import _text as T
+from tidewater.llm._sample import per_label
 
 BITS = 16
 SHIFT = np.uint64(64 - BITS)
@@ -43,6 +44,9 @@ def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     s = T.Spans(data, offs, KINDS)
     h = s.hashes()
     got = [T.gram(h, s.first, steps) for steps in ((), (1,))]
+    text = np.repeat(np.arange(len(offs) - 1), np.diff(s.first))
+    again = np.flatnonzero((h[1:] == h[:-1]) & (text[1:] == text[:-1]))
+    got.append((np.full(len(again), 1, np.uint64), text[again]))  # a token that repeats the one before it: bucket 0
     return np.concatenate([(g >> SHIFT).astype(np.int32) for g, _ in got]), np.concatenate([t for _, t in got]), np.diff(s.first)
 
 
@@ -60,24 +64,27 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(target: DataFrame, raw: DataFrame, text_col: str = "text", smoothing: float = 0.5) -> Model:
-    """Counts over all of both tables; the driver gets two arrays of 65,536 counts."""
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", key_col: str = "doc_id", max_per_label: int = 20_000, smoothing: float = 0.5) -> Model:
+    """Raw counts over all documents; target counts over those labelled 1, and a threshold from both labels.
+
+    Of each label at most ``max_per_label`` rows are used, those of the smallest hash of the
+    key, a bound that makes their keys small enough to broadcast. The threshold is midway
+    between the 1 % quantile of good texts and the 90 % quantile of bad ones; without
+    good or bad texts there is nothing to tell apart, and every text counts as good. The
+    driver gets counts of 65,536 buckets and the two quantiles.
+    """
+    sample = per_label(labels, key_col, F.col(label_col).cast("int"), max_per_label)
+    known = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k")
     logs = []
-    for docs in (target, raw):
-        got = counts(docs, text_col).toPandas()
+    for some, column in ((known.where(F.col("y") == 1), "t"), (docs, text_col)):
+        got = counts(some, column).toPandas()
         n = np.zeros(1 << BITS)
         n[got.bucket.to_numpy(int)] = got.n
         logs.append(np.log((n + smoothing) / (n.sum() + smoothing * (1 << BITS))))
-    return Model(logs[0] - logs[1])
-
-
-def calibrate(model: Model, good: DataFrame, bad: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> Model:
-    """Set the threshold midway between the 1 % quantile of good texts and the 90 % quantile of bad ones.
-
-    Without good or bad texts there is nothing to tell apart, and every text counts as good.
-    """
-    low, high = (importance(d, model, text_col, (key_col,)).agg(F.percentile_approx("log_importance", q, 10_000)).first()[0] for d, q in ((good, 0.01), (bad, 0.9)))
-    return Model(model.ratio, -np.inf if low is None or high is None else min(low, (low + high) / 2))
+    model = Model(logs[0] - logs[1])
+    rows = importance(known, model, "t", ("y",)).groupBy("y").agg(F.percentile_approx("log_importance", [0.01, 0.9], 10_000).alias("q")).collect()
+    q = {r.y: r.q for r in rows}
+    return Model(model.ratio, min(q[1][0], (q[1][0] + q[0][1]) / 2) if 0 in q and 1 in q else -np.inf)
 
 
 def select(docs: DataFrame, model: Model, text_col: str = "text", key_col: str = "doc_id", sharpness: float = 64.0) -> DataFrame:

@@ -22,9 +22,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
-    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    known = labels.where(~held_out() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
-    return toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    return toxicity.fit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").where(~held_out()))
 
 
 def tokenizer(name: str) -> str:
@@ -45,10 +43,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
-    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    known = labels.where(~held_out())
-    good, bad = (docs.select("doc_id", "text").join(known.where(F.col("quality") == q).select("doc_id").distinct(), "doc_id", "left_semi") for q in (1, 0))
-    return quality.calibrate(quality.fit(good, docs), good, bad)
+    return quality.fit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").where(~held_out()))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _text as T
+from tidewater.llm._sample import per_label
 
 BITS = 20
 SHIFT = np.uint64(64 - BITS)
@@ -48,14 +49,14 @@ def distinct(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (key & ((1 << BITS) - 1)).astype(np.int32), key >> BITS
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", key_col: str = "doc_id", max_per_label: int = 4000, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> Model:
-    """Fit on at most ``max_per_label`` rows of each label, those of the smallest hash of the key.
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_per_label: int = 4000, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> Model:
+    """Fit on at most ``max_per_label`` labelled rows of each label, those of the smallest hash of the key.
 
-    That bound is a parameter of the fit alone. Texts become feature lists on the
-    executors; the driver gets only these. Rows without a label are left out.
+    That bound is a parameter of the fit alone, and makes the sampled keys small enough
+    to broadcast. Texts become feature lists on the executors; the driver gets only these.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k"))).where(F.col("n") <= max_per_label).select("t", "y", "n")
+    sample = per_label(labels, key_col, F.col(label_col).cast("int"), max_per_label)
+    rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k").select("t", "y", F.xxhash64("k").alias("n"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,7 +66,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", k
                 raw = [bucket[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(raw, pa.binary())], ["y", "n", "x"])
 
-    got = rows.mapInArrow(extract, "y int, n int, x binary").toPandas().sort_values(["n", "y"])
+    got = rows.mapInArrow(extract, "y int, n long, x binary").toPandas().sort_values(["n", "y"])
     xs, ys = [np.frombuffer(x, np.int32) for x in got.x], got.y.to_numpy(float)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = np.array([1 << BITS], np.int32)
