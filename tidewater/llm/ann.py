@@ -32,15 +32,9 @@ from tidewater.runtime import materialize, shared_dir
 
 @dataclass(frozen=True)
 class Codebooks:
-    """``words``: (books, words a book, dimensions); ``cross``: inner products between all of them."""
+    """``words``: (books, words a book, dimensions)."""
 
     words: np.ndarray
-    cross: np.ndarray
-
-    @classmethod
-    def of(cls, words: np.ndarray) -> Codebooks:
-        flat = words.reshape(-1, words.shape[2])
-        return cls(words, (flat @ flat.T).astype(np.float32))
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -53,7 +47,7 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (common.d if common else 0))
 
 
-def fit(rows: DataFrame, books: int = 8, words: int = 128, max_sample: int = 8192, rounds: int = 8) -> Codebooks | None:
+def fit(rows: DataFrame, books: int = 24, words: int = 256, max_sample: int = 8192, rounds: int = 6) -> Codebooks | None:
     """Codebooks from at most ``max_sample`` vectors, those of the smallest hash of the id; only the fit is so bounded."""
     sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("v").collect()]
     if not sample:
@@ -67,31 +61,26 @@ def fit(rows: DataFrame, books: int = 8, words: int = 128, max_sample: int = 819
             near = (0.5 * (c * c).sum(1) - x @ c.T).argmin(1)
             n = np.bincount(near, minlength=words)
             total = np.zeros_like(c)
-            np.add.at(total, near, x)
+            total[n > 0] = np.add.reduceat(x[np.argsort(near, kind="stable")], (np.cumsum(n) - n)[n > 0])
             c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), words)])
         out.append(c)
         x = x - c[(0.5 * (c * c).sum(1) - x @ c.T).argmin(1)]
-    return Codebooks.of(np.stack(out))
+    return Codebooks(np.stack(out))
 
 
-def encode(x: np.ndarray, books: Codebooks, beam: int = 8) -> np.ndarray:
-    """(vectors, books) codes whose sum is near, by beam search."""
-    m, k, _ = books.words.shape
-    dots = x @ books.words.reshape(m * k, -1).T
-    norm = np.diag(books.cross)
+def encode(x: np.ndarray, books: Codebooks, beam: int = 4) -> np.ndarray:
+    """(vectors, books) codes whose sum is near, by beam search; code = book * words a book + word."""
+    m, k, d = books.words.shape
     n = len(x)
-    codes, cost, taken = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1), np.float32), np.zeros((n, 1, m * k), np.float32)
-    for j in range(m):
-        own = slice(j * k, (j + 1) * k)
-        add = cost[:, :, None] + norm[own] - 2 * dots[:, None, own] + 2 * taken[:, :, own]
-        flat = add.reshape(n, -1)
+    codes, left, cost = np.zeros((n, 1, 0), np.int64), x[:, None, :], np.zeros((n, 1), np.float32)
+    for j, c in enumerate(books.words):
+        flat = (cost[:, :, None] + (c * c).sum(1) - 2 * (left @ c.T)).reshape(n, -1)
         b = min(beam if j + 1 < m else 1, flat.shape[1])
         pick = np.argpartition(flat, b - 1, 1)[:, :b]
         cost = np.take_along_axis(flat, pick, 1)
-        parent, word = pick // k, pick % k + j * k
-        codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None]], 2)
-        if j + 1 < m:
-            taken = np.take_along_axis(taken, parent[:, :, None], 1) + books.cross[word]
+        parent, word = pick // k, pick % k
+        codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None] + j * k], 2)
+        left = np.take_along_axis(left, parent[:, :, None], 1) - c[word]
     return codes[:, 0]
 
 
@@ -130,7 +119,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = 160, query_block: int = 256, slice_blocks: int = 64) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = 200, query_block: int = 256, slice_blocks: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query among ``rows``, both (id, v) of ``valid``.
 
     The shortlist is longer than k; more of it finds more. Each query meets each index block,

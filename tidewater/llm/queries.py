@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, langid, quality, token_files, toxicity
+from tidewater.llm import ann, bpe, decontaminate, langid, quality, token_files, toxicity, url_filter
 from tidewater.runtime import ship
 
 
@@ -42,6 +42,32 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.summary(decontaminate.hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+#: Fixed rules of the URL filter: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: Words in hosts by which URLs without a fixed rule are labelled for mining.
+URL_HINTS = ("spam", "pills", "casino", "bets", "ads")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
+    rule, verdict = url_filter.fixed(host, path, URL_RULES)
+    mined = url_filter.mine(pages.where(rule.isNull() & F.col("url").isNotNull()).select("url", url_filter.hinted(F.col("url"), URL_HINTS).alias("label")))
+    out = url_filter.judge(pages, mined, key_cols=("page_id", "url"))
+    own = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
+    return out.select("page_id", host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "mined")
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.valid(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.search(rows, rows.where(F.col("id") % 20 == 0))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     return quality.fit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").where(~held_out()))
 
@@ -64,9 +90,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_bpe": op2_bpe,
+    "op3_decontamination": op3_decontamination,
+    "op5_url_filter": op5_url_filter,
+    "op6_neighbours": op6_neighbours,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, w[i:i + least(10, len(w)) - 1] AS words FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(words) AS k FROM win),
+pos AS (SELECT d.r, k, i, w[i:i + k - 1] AS words FROM d, sizes, unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k),
+hit AS (SELECT pos.r, pos.k, pos.i, win.item FROM pos JOIN win ON win.words = pos.words),
+n AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT r, k, i FROM hit) h, unnest(range(h.i, h.i + h.k)) AS t(j) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items, sha256(coalesce(it.s, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN it ON it.r = d.r
+""",
+}
