@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, bpe, decontaminate, langid, quality, token_files, toxicity, url_filter
+from tidewater.llm import ann, bpe, decontaminate, html_text, jaccard, langid, quality, token_files, toxicity, url_filter
 from tidewater.runtime import ship
 
 
@@ -47,6 +47,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(_read(spark, sf_dir, "pages"), html_text.fit())
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: Fixed rules of the URL filter: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Words in hosts by which URLs without a fixed rule are labelled for mining.
@@ -68,6 +73,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where(F.col("id") % 20 == 0))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     return quality.fit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels").where(~held_out()))
 
@@ -91,8 +100,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
+    "op4_html_text": op4_html_text,
     "op5_url_filter": op5_url_filter,
     "op6_neighbours": op6_neighbours,
+    "op7_jaccard": op7_jaccard,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
