@@ -154,19 +154,24 @@ _KEPT: dict[str, tuple[Bpe, Pieces]] = {}
 def _kept(path: str) -> tuple[Bpe, Pieces]:
     if path not in _KEPT:
         b = Bpe(path)
-        _KEPT[path] = b, Pieces(lambda pieces: list(map(b.encode, pieces)), b.encode, False, 400_000)
+        _KEPT[path] = b, Pieces(lambda pieces: list(map(b.encode, pieces)), b.encode, False)
     return _KEPT[path]
 
 
+def _pattern(text: str) -> str:
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``key_cols``, ``ids`` (array of int) and ``decoded`` (text) of every whole text."""
     schema = docs.select(*key_cols).schema.add("ids", ArrayType(IntegerType(), False), False).add("decoded", "string", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, pieces = _kept(tokenizer)
+        special = "|".join(map(_pattern, b.special)) or "(?:^.)^"
         for batch in batches:
             texts = pc.fill_null(batch.column(0), "")
-            for a, z, ids, cuts in pieces.texts(texts, np.zeros(len(texts), bool)):
+            for a, z, ids, cuts in pieces.texts(texts, np.asarray(pc.match_substring_regex(texts, special))):
                 listed = ids.tolist()
                 decoded = [b.decode(listed[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
