@@ -1,6 +1,8 @@
-"""Queries over the engine's own operators, and the SQL that they can be held against."""
+"""All registered queries of the engine's own operators, and the SQL that they can be held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidewater.plans import compute, relational
+from tidewater.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "compute", "relational"]
