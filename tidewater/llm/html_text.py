@@ -2,7 +2,7 @@
 
 The DOM is the graph: each element and each piece of text is a node that is content or not.
 A node's own potential comes from its tag, the words of its class and id, and, for text,
-its length and whether it stands in a link; a potential on every edge links a child to
+the length of its block and how much of that is linked; a potential on every edge links a child to
 its parent. Sum-product messages, once upward and once downward, give every node's
 exact marginal. Both kinds of potential are counted from labelled pages: by default some
 hundreds that ``labelled_pages`` lays out in many styles and labels as it writes them.
@@ -64,7 +64,7 @@ def parse(page: str) -> list[Node]:
         text = page[a:z]
         if text and not text.isspace():
             text = unescape(text) if "&" in text else text
-            nodes.append(Node("#", top, [_length(text), "linked" if _inside(top, "a") else "plain"], text, block))
+            nodes.append(Node("#", top, [], text, block))
         elif text:
             nodes.append(Node("# ", top, [], " ", block))
 
@@ -124,7 +124,23 @@ def parse(page: str) -> list[Node]:
         nodes.append(made)
         if not m[3].endswith("/") or tag in BLOCK:
             top = made
-    return _shown(nodes)
+    return _measured(_shown(nodes))
+
+
+def _measured(nodes: list[Node]) -> list[Node]:
+    """Gives the first text of each block the block's features: its length, and how much of it is linked."""
+    first: dict[int, Node] = {}
+    size: dict[int, list[int]] = {}
+    for x in nodes:
+        if x.tag == "#":
+            first.setdefault(x.block, x)
+            n = size.setdefault(x.block, [0, 0])
+            n[0] += len(x.text)
+            n[1] += len(x.text) * _inside(x.parent, "a")
+    for b, x in first.items():
+        n, linked = size[b]
+        x.features = [f"length:{min(6, n.bit_length() // 2)}", "links:all" if linked > 0.8 * n else "links:some" if linked else "links:none"]
+    return nodes
 
 
 def _open(top: Node, tags, root: Node) -> list[Node]:
@@ -158,13 +174,9 @@ def _inside(node: Node, tag: str) -> bool:
     return False
 
 
-def _length(text: str) -> str:
-    return f"length:{min(6, len(text).bit_length() // 2)}"
-
-
 def _named(tag: str, rest: str) -> list[str]:
     """An element's features: its tag, and the words in its class, id and role."""
-    out = [f"tag:{tag}"]
+    out = [f"tag:{tag}"] if tag in BLOCK else []
     if "=" in rest:
         for m in NAMED.finditer(rest):
             out += [f"name:{x.lower()}" for x in PART.findall(m[2] or m[3] or m[4] or "")]
@@ -173,18 +185,25 @@ def _named(tag: str, rest: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """``own``: (not content, content) log potentials by feature; ``edge``: log potentials by parent's and child's state; ``first``: of the root."""
+    """``own``: (not content, content) log potentials by feature; ``first``: of the root; ``edges``: log potentials by
+    parent's and child's state, for each kind of edge: to a block in the page, to a block in a part of it, and in a line."""
 
     own: dict[str, tuple[float, float]]
-    edge: tuple[tuple[float, float], tuple[float, float]]
+    edges: tuple[tuple[tuple[float, float], tuple[float, float]], ...]
     first: tuple[float, float]
 
 
+def kind(node: Node) -> int:
+    """The kind of edge from a node to its parent."""
+    return 2 if node.tag not in BLOCK else 0 if node.parent is None or node.parent.tag in ("#root", "html", "body", "main") else 1
+
+
 def marginals(nodes: list[Node], model: Model) -> list[float]:
     """The probability of each node to be content: exact, by messages up the tree and down again."""
     place = {id(x): i for i, x in enumerate(nodes)}
     up0, up1 = [0.0] * len(nodes), [0.0] * len(nodes)
-    (e00, e01), (e10, e11) = ((math.exp(x) for x in row) for row in model.edge)
+    edges = [tuple(math.exp(x) for row in e for x in row) for e in model.edges]
+    edges = [edges[kind(x)] for x in nodes]
     for i, x in enumerate(nodes):
         for f in x.features:
             a, b = model.own.get(f, (0.0, 0.0))
@@ -194,6 +213,7 @@ def marginals(nodes: list[Node], model: Model) -> list[float]:
     up1[0] += model.first[1]
     sent: list[tuple[float, float]] = [(0.0, 0.0)] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
+        e00, e01, e10, e11 = edges[i]
         high = max(up0[i], up1[i])
         a, b = math.exp(up0[i] - high), math.exp(up1[i] - high)
         sent[i] = math.log(e00 * a + e01 * b) + high, math.log(e10 * a + e11 * b) + high
@@ -203,6 +223,7 @@ def marginals(nodes: list[Node], model: Model) -> list[float]:
     # From here up0 and up1 take in what comes from above too, and so are the nodes' beliefs.
     for i in range(1, len(nodes)):
         j = place[id(nodes[i].parent)]
+        e00, e01, e10, e11 = edges[i]
         p0, p1 = up0[j] - sent[i][0], up1[j] - sent[i][1]
         high = max(p0, p1)
         a, b = math.exp(p0 - high), math.exp(p1 - high)
@@ -245,7 +266,8 @@ def extract(pages: DataFrame, model: Model, html_col: str = "html", key_cols: tu
 def fit(pages: list[tuple[str, list[bool]]] | None = None, smoothing: float = 0.5) -> Model:
     """Potentials from labelled pages: (html, the label of each text node in page order); an element is content if it holds any."""
     own: dict[str, list[float]] = {}
-    edge, total = [[smoothing, smoothing], [smoothing, smoothing]], [1.0, 1.0]
+    edges = [[[smoothing, smoothing], [smoothing, smoothing]] for _ in range(3)]
+    total = {k: [1.0, 1.0] for k in ("tag", "name", "length", "links")}  # of each kind of feature, by label
     for page, labels in pages or labelled_pages():
         nodes, given = parse(page), iter(labels)
         good = {id(x): next(given) for x in nodes if x.tag == "#"}
@@ -255,12 +277,13 @@ def fit(pages: list[tuple[str, list[bool]]] | None = None, smoothing: float = 0.
         for x in nodes:
             y = good[id(x)]
             if x.parent is not None and x.tag != "# ":
-                edge[good[id(x.parent)]][y] += 1
-                total[y] += 1
+                edges[kind(x)][good[id(x.parent)]][y] += 1
             for f in x.features:
                 own.setdefault(f, [smoothing, smoothing])[y] += 1
-    logs = {f: (math.log(a / total[0]), math.log(b / total[1])) for f, (a, b) in own.items() if a + b > 3}
-    rows = tuple(tuple(math.log(x / sum(row)) for x in row) for row in edge)
+                total[f.partition(":")[0]][y] += 1
+    of = lambda f: total[f.partition(":")[0]]
+    logs = {f: (math.log(a / of(f)[0]), math.log(b / of(f)[1])) for f, (a, b) in own.items() if a + b > 3}
+    rows = tuple(tuple(tuple(math.log(x / sum(row)) for x in row) for row in e) for e in edges)
     return Model(logs, rows, (math.log(0.1), math.log(0.9)))
 
 
@@ -325,15 +348,19 @@ def labelled_pages(n: int = 400, seed: int = 17) -> list[tuple[str, list[bool]]]
                 add(say(2, 12), True)
                 add(f"</{tag}>")
             for _ in range(r.randint(1, 14)):
-                kind = r.random()
-                if kind < 0.08:
+                kind = r.random()  # of the next block
+                if kind < 0.14:
                     add("<ul>")
                     for _ in range(r.randint(1, 4)):
                         add("<li>")
                         add(say(1, 20), True)
                         add("</li>")
                     add("</ul>")
-                elif kind < 0.14:
+                elif kind < 0.18:
+                    add(f'<p><a href="/{word()}">')
+                    add(say(1, 9), True)
+                    add("</a></p>")
+                elif kind < 0.26:
                     tag = pick(["h2", "h3", "blockquote", "pre", "td", "figcaption"])
                     add(f"<{tag}>" if tag != "td" else "<table><tr><td>")
                     add(say(1, 12), True)
@@ -341,10 +368,11 @@ def labelled_pages(n: int = 400, seed: int = 17) -> list[tuple[str, list[bool]]]
                 else:
                     add(pick(["<p>", "<p>", "<p>", "<div>", "<p><b>"]))
                     add(say(1, pick([3, 20, 120, 300])), True)
-                    if r.random() < 0.15:
-                        add(f'<a href="/{word()}">')
+                    for _ in range(pick([0, 0, 0, 1, 1, 2, 5])):
+                        tag = pick(["a", "a", "b", "em", "i", "span", "code"])
+                        add(f'<{tag} href="/{word()}">' if tag == "a" else f"<{tag}>")
                         add(say(1, 4), True)
-                        add("</a>")
+                        add(f"</{tag}>")
                         add(say(1, 20), True)
                     add("</p>" if r.random() < 0.9 else "<br>")
                 if r.random() < 0.06:
