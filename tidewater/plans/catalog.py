@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import compute, relational
+from tidewater.plans import compute, passthrough, relational
 from tidewater.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "compute", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "compute", "passthrough", "relational"]

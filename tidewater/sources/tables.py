@@ -66,3 +66,33 @@ def documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
 def stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """New Parquet files of a folder as they come."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+class Transaction:
+    """New versions of several tables, written beside them first and then renamed one after another.
+
+    An error before the end leaves all tables as they were. There is no isolation between
+    writers, and a failure amid the renames is reported with what was done.
+    """
+
+    def __init__(self) -> None:
+        self.staged: list[tuple[VersionedTable, str]] = []
+
+    def put(self, table: VersionedTable, df: DataFrame) -> None:
+        temp = f"{table.path}/.staged-{len(self.staged)}"
+        df.write.mode("overwrite").parquet(temp)
+        self.staged.append((table, temp))
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        done = []
+        for table, temp in self.staged:
+            if kind is not None:
+                table.fs.delete(table.jpath(temp), True)
+                continue
+            n = (table.versions() or [0])[-1] + 1
+            if not table.fs.rename(table.jpath(temp), table.jpath(f"{table.path}/v={n}")):
+                raise OSError(f"{table.path} was not renamed; committed before it: {done}")
+            done.append(table.path)

@@ -48,3 +48,37 @@ def presence_stream(updates: DataFrame, seconds: int = 30) -> DataFrame:
 
     rows = updates.withWatermark("ts", "0 seconds").select("topic", "node", F.col("ts"))
     return rows.groupBy("topic", "node").applyInPandasWithState(step, "topic string, node string, event string, at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def admissions(moves: DataFrame, capacity: int) -> DataFrame:
+    """Moves (room, node, leave, seq) with ``admitted``: a node is let in while fewer than ``capacity`` are inside.
+
+    Who is inside depends on all who came before: a room's moves are taken in order by one task.
+    """
+    schema = moves.select("room", "node", "leave", "seq").schema.add("admitted", "boolean", False)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group, inside, out = group.sort_values("seq"), set(), []
+        for node, leave in zip(group["node"], group["leave"], strict=True):
+            if leave:
+                out.append(node in inside)
+                inside.discard(node)
+            else:
+                out.append(node in inside or len(inside) < capacity)
+                if out[-1]:
+                    inside.add(node)
+        return group.assign(admitted=out)[schema.names]
+
+    return moves.select("room", "node", "leave", "seq").groupBy("room").applyInPandas(run, schema)
+
+
+def notify(stream: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], checkpoint: str, channel: str = "channel"):
+    """Each micro-batch's rows of a channel go to its handler; offsets are kept in the checkpoint, so that none is lost."""
+
+    def route(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for name, handle in handlers.items():
+            handle(batch.where(F.col(channel) == name))
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
