@@ -10,7 +10,7 @@ share at least T(n) = ceil(0.8 n) of them, so that the prefixes of n - T(n) + l
 m - T(m) + l shingles share at least l, for any l up to T. Each class chooses its l, from 1
 to ``levels``, by the estimated cost of its candidates: frequent shingles make it lengthen
 its prefix, and then more of them must be shared before a pair is verified. A pair is held to the
-smaller l of the two.
+smaller l of the two, and to prefixes for just its two sizes.
 
 What is asked for are components, not all pairs, so that a large group of similar texts is
 never expanded. In rounds, the classes that share a prefix shingle are first paired with
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import _text as T
@@ -92,7 +92,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(found))
             held.append(found)
             size += len(found)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield counted()
                 held, size = [], 0
         none = pa.nulls(len(docs), pa.int64())
@@ -157,7 +157,7 @@ def _same_id(members: DataFrame, path: str) -> DataFrame | None:
 
 
 def _shared_prefixes(texts: DataFrame, members: DataFrame, classes: DataFrame, counts, levels: int, path: str) -> DataFrame:
-    """(shingle, cls, n, level, l, group): prefix shingles that several classes have, and how many do."""
+    """(shingle, cls, n, at, l, group): prefix shingles that several classes have, their place in the set's order, and how many have them."""
     counts = counts.sort_values("shingle", key=lambda x: x.to_numpy().astype(np.int64).view(np.uint64))
     order_b = texts.sparkSession.sparkContext.broadcast((counts["shingle"].to_numpy(np.int64).view(np.uint64), np.minimum(counts["count"].to_numpy(np.int64), 65_535).astype(np.uint16)))
 
@@ -190,14 +190,19 @@ def _shared_prefixes(texts: DataFrame, members: DataFrame, classes: DataFrame, c
     each = own.select("cls", "meta", F.posexplode("tokens").alias("at", "shingle"))
     # An id given twice with one text would stand in a group twice; such groups are only larger than need be.
     grouped = each.withColumn("group", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where(F.col("group") > 1)
-    n = F.shiftright("meta", 8)
-    level = F.greatest(F.lit(1), F.col("at") + 1 - (n - F.expr("(80 * shiftright(meta, 8) + 99) div 100")))
-    return materialize(grouped.select("shingle", "cls", n.alias("n"), level.cast("int").alias("level"), F.col("meta").bitwiseAND(F.lit(255)).cast("int").alias("l"), "group"), path, "shared")
+    return materialize(grouped.select("shingle", "cls", F.shiftright("meta", 8).alias("n"), F.col("at").cast("int").alias("at"), F.col("meta").bitwiseAND(F.lit(255)).cast("int").alias("l"), "group"), path, "shared")
 
 
-def _fits(a: str, b: str):
-    """Whether two sizes let sets link."""
-    return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * 80) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * 80)
+def _fits(a: str, b: str) -> Column:
+    """Whether sets of these sizes may link and, if so, the shingle's places are within the prefixes for just these sizes.
+
+    Two sets of n and m need ceil(80 (n + m) / 180) in common; the first l of these stand
+    among the first n less that plus l of either.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    least = F.floor((80 * (n + m) + 179) / 180)
+    l = F.least(F.col(f"{a}.l"), F.col(f"{b}.l"))
+    return (n * 100 >= m * 80) & (m * 100 >= n * 80) & (F.col(f"{a}.at") < n - least + l) & (F.col(f"{b}.at") < m - least + l)
 
 
 def _open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -205,8 +210,11 @@ def _open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return shared.withColumn("comp", F.col("cls"))
     rows = shared.join(_bounded(labels.select(F.col("node").alias("cls"), "label")), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
-    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("shingle")
-    return rows.join(mixed, "shingle", "left_semi")
+    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least")).where(F.col("x") != F.col("y")).select("shingle", "least")
+    rows = rows.join(mixed, "shingle")
+    # With its shingle at this place a set can only link with ones of at most so many; a group without any is of no use to it.
+    most = F.floor((F.col("n") - F.col("at") + F.col("l") - 1) * 180 / 80) - F.col("n")
+    return rows.where((most >= F.col("least")) & (most * 100 >= F.col("n") * 80)).drop("least")
 
 
 def _pair(rows: DataFrame) -> DataFrame:
@@ -215,11 +223,17 @@ def _pair(rows: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(shared: DataFrame, labels: DataFrame | None, k: int) -> DataFrame:
-    """Each class of a group with two leaders of it, chosen alike in all groups of a round."""
+    """Each class of a group with leaders of it.
+
+    First the one that has the fewest rarer shingles, as what others were copied from has, and
+    then others by a hash, chosen alike in all groups of a round.
+    """
     rows = _open(shared, labels)
-    key = F.struct(F.xxhash64(F.lit(k), "cls").alias("h"), "cls", "n", "comp")
-    leaders = rows.groupBy("shingle").agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    leaders = leaders.select("shingle", F.explode(F.array("low", "high")).alias("q")).select("shingle", "q.cls", "q.n", "q.comp")
+    row = (F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("comp").alias("comp"), F.col("at").alias("at"), F.col("l").alias("l"))
+    by_hash = F.struct(F.xxhash64(F.lit(k), "cls").alias("o"), *row)
+    by_place = F.struct(F.col("at").cast("long").alias("o"), *row)
+    leaders = rows.groupBy("shingle").agg(F.min(by_place if k == 0 else by_hash).alias("low"), F.max(by_hash).alias("high"))
+    leaders = leaders.select("shingle", F.explode(F.array("low", "high")).alias("q")).select("shingle", "q.cls", "q.n", "q.comp", "q.at", "q.l")
     met = rows.alias("p").join(leaders.alias("q"), (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")) & _fits("p", "q"))
     return _pair(met).distinct()
 
@@ -237,7 +251,7 @@ def _rest_pairs(shared: DataFrame, labels: DataFrame | None, large: int) -> Data
     marked = rows.join(main, "shingle").withColumn("rest", F.col("comp") != F.col("main"))
     p, q = marked.where("rest").alias("p"), marked.alias("q")
     low = F.least(F.col("p.l"), F.col("q.l"))
-    met = p.join(q, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")) & (~F.col("q.rest") | (F.col("p.cls") < F.col("q.cls"))) & _fits("p", "q") & (F.col("p.level") <= low) & (F.col("q.level") <= low))
+    met = p.join(q, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")) & (~F.col("q.rest") | (F.col("p.cls") < F.col("q.cls"))) & _fits("p", "q"))
     a, b = F.col("p.cls"), F.col("q.cls")
     each = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(F.col("p.group") <= large, F.lit(255)).otherwise(1).alias("w"), low.alias("low"))
     return each.groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("low").alias("low")).where(F.col("w") >= F.col("low")).select("a", "b")
