@@ -3,10 +3,9 @@
 An item's windows of ``window`` consecutive words (or the whole item, if it has fewer, but
 not none) are sets of word shingles with positions. A window stands in a document only if
 all of its shingles do, so that by the prefix principle one shingle, the rarest of the
-documents, is the necessary prefix. Documents are joined on prefix shingles; the
-positional bound (the window must begin and end inside the document) and the length bound
-(a document no shorter than the window) cut candidates; and each that is left is verified
-word by word.
+documents, is the necessary prefix. Documents are joined on prefix shingles; the positional
+bound (a window begins no earlier than the document) and the length bound (it ends no
+later) cut candidates; and each that is left is verified word by word.
 
 The windows' tables are broadcast if their checked number of rows is within
 ``max_broadcast``, else shuffled.
@@ -63,7 +62,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_text: str = "text", doc_id: str
 
     def of_documents(k: int) -> DataFrame:
         text = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(doc_text).alias("text_hash"), words(F.col(doc_text)).alias("w"))
-        return text.select("doc", "text_hash", F.size("w").alias("n"), F.posexplode(shingles(F.col("w"), k)).alias("at", "h"))
+        return text.select("doc", "text_hash", F.posexplode(shingles(F.col("w"), k)).alias("at", "h"))
 
     def of_windows(k: int) -> DataFrame:
         mine = found.where(F.least(F.lit(shingle), "size") == k)
@@ -71,14 +70,14 @@ def hits(docs: DataFrame, items: DataFrame, doc_text: str = "text", doc_id: str
 
     candidates = None
     for k in sizes:
-        # How often each shingle of a window stands in the documents: the order from rare to frequent.
+        # Where shingles of windows stand in the documents, and how often: the order from rare to frequent.
         wanted = of_windows(k)
-        often = of_documents(k).select("h").join(near(wanted.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("often"))
-        rare = wanted.join(near(often) if small else often, "h", "left").groupBy("window", "size").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "offset", "h")).alias("p"))
+        seen = materialize(of_documents(k).join(near(wanted.select("h").distinct()), "h", "left_semi"), path, f"seen{k}")
+        often = seen.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+        rare = wanted.join(near(often), "h", "left").groupBy("window", "size").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "offset", "h")).alias("p"))
         # A window with a shingle that no document has stands in none.
         prefix = materialize(rare.where(F.col("p.often") > 0).select("window", "size", F.col("p.offset").alias("offset"), F.col("p.h").alias("h")), path, f"prefix{k}")
-        start = F.col("at") - F.col("offset")
-        got = of_documents(k).join(near(prefix), "h").where((start >= 0) & (start + F.col("size") <= F.col("n"))).select("doc", "text_hash", "window", start.alias("start"))
+        got = seen.join(near(prefix), "h").where(F.col("at") >= F.col("offset")).select("doc", "text_hash", "window", (F.col("at") - F.col("offset")).alias("start"))
         candidates = got if candidates is None else candidates.unionByName(got)
     own = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(doc_text).alias("text_hash"), F.col(doc_text).alias("_text"))
     if candidates is None:
@@ -88,7 +87,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_text: str = "text", doc_id: str
     per_document = materialize(spots.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "words", "items")).alias("spots")), path, "spots")
     tried = own.join(per_document.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"}), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     # The words of a document without candidates are only counted.
-    tried = tried.select("doc", words(F.col("_text")).alias("w"), "spots").select("doc", F.size("w").cast("long").alias("n_words"), F.when(F.col("spots").isNotNull(), F.expr("filter(spots, s -> slice(w, s.start + 1, size(s.words)) = s.words)")).alias("spots"))
+    tried = tried.select("doc", words(F.col("_text")).alias("w"), "spots").select("doc", F.size("w").cast("long").alias("n_words"), F.when(F.col("spots").isNotNull(), F.expr("filter(spots, s -> s.start + size(s.words) <= size(w) AND slice(w, s.start + 1, size(s.words)) = s.words)")).alias("spots"))
     spots = F.coalesce("spots", F.array().cast(tried.schema["spots"].dataType))
     return tried.select(
         F.col("doc").alias(doc_id),
