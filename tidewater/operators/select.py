@@ -247,9 +247,11 @@ def merge_versions(df: DataFrame, table) -> DataFrame:
     """FINAL: replacing keeps the last version of a key, summing adds up numbers, collapsing cancels signs."""
     key = list(table.sort_key or table.pk)
     if table.engine == "replacing":
-        rest = [c for c in df.columns if c not in key]
-        newest = F.max_by(F.struct(*rest), F.struct(table.version, *[F.xxhash64(*rest)] if rest else []) if table.version else F.xxhash64(*rest))
-        return df.groupBy(*key).agg(newest.alias("_v")).select(*key, "_v.*").select(*df.columns)
+        # A limit of one row per key works before the shuffle too, and columns nobody asks for are not read.
+        order = [F.desc(table.version)] if table.version else []
+        order += [F.desc(c) for c in table.pk if c not in key] or [F.xxhash64(*[c for c in df.columns if c not in key])]
+        w = Window.partitionBy(*key).orderBy(*order)
+        return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
     if table.engine == "summing":
         numeric = {f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double") or f.dataType.typeName().startswith("decimal")}
         aggs = [(F.sum(c) if c in numeric else F.min(c)).alias(c) for c in df.columns if c not in key]
