@@ -96,15 +96,15 @@ def list_order(nodes: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> Dat
     made = flat.select(*keys, F.lit(0).cast("long").alias("pos"), F.col("_i").alias("id"), "value").schema
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        ids, parents = group["_i"].tolist(), group["_p"].tolist()
-        rank = sorted(range(len(ids)), key=lambda k: (group["_t"].iloc[k], group["_c"].iloc[k], group["_n"].iloc[k]))
+        ids, parents, dead = group["_i"].tolist(), group["_p"].tolist(), group["tombstone"].tolist()
+        clocks = list(zip(group["_t"], group["_c"], group["_n"], strict=True))
         below: dict[str | None, list[int]] = {}
-        for k in rank:
+        for k in sorted(range(len(ids)), key=clocks.__getitem__):
             below.setdefault(parents[k] if isinstance(parents[k], str) else None, []).append(k)
         stack, out = list(below.get(None, [])), []
-        while stack:
+        while stack:  # the newest sibling is last, and so comes first
             k = stack.pop()
-            if not group["tombstone"].iloc[k]:
+            if not dead[k]:
                 out.append(k)
             stack += below.get(ids[k], [])
         got = group.iloc[out]
