@@ -26,12 +26,14 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a toxicity score below 0.3; a null or empty text has the score of the bias alone."""
+    ship(spark)
     scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir), key_cols=DOCUMENT)
     return scored.where(F.col("score") < 0.3).select(*DOCUMENT)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
+    ship(spark)
     path = shared_dir(spark)
     drawn = materialize(quality.select(docs, queries.quality_model(spark, sf_dir)).select("doc_id", "kept"), path, "drawn")
     return _without(docs, drawn.where(~F.col("kept")).select("doc_id"))
@@ -39,6 +41,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id, and of rows with one id that of the least text."""
+    ship(spark)
     path = shared_dir(spark)
     found = materialize(jaccard.join(docs), path, "groups")
     kept = _without(docs, found.where(F.col("component_id") != F.col("doc_id")).select("doc_id"))
@@ -51,6 +54,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    ship(spark)
     path = shared_dir(spark)
     found = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = materialize(found.where(F.size("items") > 0).select("doc_id"), path, "hit")
@@ -59,6 +63,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document's whole text, and the text that they decode to."""
+    ship(spark)
     out = bpe.encode_decode(docs, queries.tokenizer("word_bpe_49k.json"), key_cols=("doc_id", "lang", "source"))
     return out.withColumn("n_tokens", F.size("ids").cast("long"))
 

@@ -41,8 +41,8 @@ from tidewater.runtime import materialize, shared_dir
 WORDS = 5
 #: Shingles whose counts order the sets; beyond these the order is by hash alone, which changes cost, not results.
 COUNTED = 1 << 18
-#: Rows of ids up to which a table of them is broadcast: 16 bytes each, 32 MB.
-BROADCAST = 2_000_000
+#: Rows of ids up to which a table of them is broadcast: 16 bytes each, 16 MB.
+BROADCAST = 1_000_000
 
 
 def needed(n: np.ndarray | int) -> np.ndarray | int:
@@ -92,7 +92,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(found))
             held.append(found)
             size += len(found)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield counted()
                 held, size = [], 0
         none = pa.nulls(len(docs), pa.int64())
@@ -189,8 +189,10 @@ def _shared_prefixes(texts: DataFrame, members: DataFrame, classes: DataFrame, c
     own = made.join(_bounded(copies), ["doc", "cls"], "left_anti")
     each = own.select("cls", "meta", F.posexplode("tokens").alias("at", "shingle"))
     # An id given twice with one text would stand in a group twice; such groups are only larger than need be.
-    grouped = each.withColumn("group", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where(F.col("group") > 1)
-    return materialize(grouped.select("shingle", "cls", F.shiftright("meta", 8).alias("n"), F.col("at").cast("int").alias("at"), F.col("meta").bitwiseAND(F.lit(255)).cast("int").alias("l"), "group"), path, "shared")
+    w = Window.partitionBy("shingle")
+    grouped = each.withColumns({"group": F.count(F.lit(1)).over(w), "least": F.shiftright(F.min("meta").over(w), 8)}).where(F.col("group") > 1)
+    rows = grouped.select("shingle", "cls", F.shiftright("meta", 8).alias("n"), F.col("at").cast("int").alias("at"), F.col("meta").bitwiseAND(F.lit(255)).cast("int").alias("l"), F.col("group").cast("int").alias("group"), "least")
+    return materialize(_useful(rows).drop("least"), path, "shared")
 
 
 def _fits(a: str, b: str) -> Column:
@@ -211,10 +213,14 @@ def _open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
         return shared.withColumn("comp", F.col("cls"))
     rows = shared.join(_bounded(labels.select(F.col("node").alias("cls"), "label")), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
     mixed = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least")).where(F.col("x") != F.col("y")).select("shingle", "least")
-    rows = rows.join(mixed, "shingle")
-    # With its shingle at this place a set can only link with ones of at most so many; a group without any is of no use to it.
+    mixed = materialize(mixed, shared_dir(shared.sparkSession), "mixed")
+    return _useful(rows.join(_bounded(mixed), "shingle")).drop("least")
+
+
+def _useful(rows: DataFrame) -> DataFrame:
+    """Rows that can still link: with its shingle at this place a set links with ones of at most so many, and the group's least has no more."""
     most = F.floor((F.col("n") - F.col("at") + F.col("l") - 1) * 180 / 80) - F.col("n")
-    return rows.where((most >= F.col("least")) & (most * 100 >= F.col("n") * 80)).drop("least")
+    return rows.where((most >= F.col("least")) & (most * 100 >= F.col("n") * 80))
 
 
 def _pair(rows: DataFrame) -> DataFrame:
@@ -281,7 +287,7 @@ def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, path: str, k
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = made.select(F.col("cls").alias("a"), F.col("s").alias("x")), made.select(F.col("cls").alias("b"), F.col("s").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    both = left.join(_bounded(pairs), "a").join(right, "b").select("a", "b", "x", "y")
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
