@@ -35,7 +35,14 @@ def materialize(df: DataFrame, path: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python tasks can import it."""
+    """Make a session fit for Python tasks over long texts.
+
+    The package is sent to the executors once per application, so that tasks can import it, and
+    Arrow batches are made smaller than Spark's default of 10,000 rows, which whole documents
+    would make too large for small executors; a value that the user has set stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
