@@ -298,6 +298,17 @@ def test_language_id(spark, docs):
     assert langid.predict(empty(docs), model).count() == 0
 
 
+def test_language_id_learns_every_language_whose_texts_are_very_long(spark):
+    english, german, french = "the cat and this house are with them ", "der hund und dieses haus sind mit ihnen ", "le chat et cette maison sont avec eux "
+    rows = [(i, english * 3, "en") for i in range(20)] + [(100 + i, german * (70_000 + i), "de") for i in range(3)] + [(None, french * 3, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = langid.fit(docs)
+    assert model.labels == ["de", "en", "fr"]
+    asked = spark.createDataFrame([(1, english), (2, german), (3, french)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()} == {1: "en", 2: "de", 3: "fr"}
+    assert langid._room([5, 50, 1000], 100) == 47 and langid._room([5, 1000, 1000], 105) == 50 and langid._room([5, 6], 100) == 6
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(1)
     emit, move = rng.normal(size=(4, 3)), rng.normal(size=(3, 3))

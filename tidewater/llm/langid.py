@@ -110,16 +110,46 @@ def _marginals(emit: np.ndarray, move: np.ndarray, start: np.ndarray, size: np.n
     return out, total
 
 
+def _room(sizes: list[int], total: int) -> int:
+    """The size to which the longest texts are shortened, so that all together hold at most ``total`` bytes."""
+    for i, x in enumerate(sorted(sizes)):
+        if x * (len(sizes) - i) > total:
+            return max(1, total // (len(sizes) - i))
+        total -= x
+    return max(sizes)
+
+
+def _spread(text: pa.Buffer, room: int, pieces: int = 16) -> str:
+    """The text, or about ``room`` bytes of it in pieces at even distances."""
+    if text.size <= room:
+        return text.to_pybytes().decode()
+    p = max(1, min(pieces, room // 512))
+    return " ".join(text.slice(i * (text.size // p), room // p).to_pybytes().decode("utf-8", "ignore") for i in range(p))
+
+
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", key_col: str = "doc_id", max_per_label: int = 300, max_bytes: int = 2_500_000, epochs: int = 6, rate: float = 0.3, lexicon_size: int = 400) -> Model:
-    """Fit on at most ``max_per_label`` whole texts of each label, those of the smallest hash of the key.
+    """Fit on at most ``max_per_label`` texts of each label, those of the smallest hash of key and text; every label with a text takes part.
 
-    ``max_bytes`` bounds them further: of each label, texts are taken in that order while they fit.
+    ``max_bytes`` bounds what is learned of a label. Where its sampled texts hold more, none is left
+    out: the longest are shortened to one size at which all fit, by pieces spread over the whole text.
     """
-    size = F.octet_length(text_col)
-    chosen = per_label(docs.where(size.isNotNull()), key_col, label_col, max_per_label, size).withColumn("n", F.xxhash64("k")).toPandas().sort_values(["y", "n", "k"])
-    chosen = chosen[chosen.groupby("y").x.cumsum() <= max_bytes]
-    keys = docs.sparkSession.createDataFrame([(k,) for k in chosen.k.tolist()], docs.select(F.col(key_col).alias("k")).schema)
-    got = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).alias("y")).where(F.col("y").isNotNull()).join(F.broadcast(keys), "k").withColumn("n", F.xxhash64("k")).toPandas().sort_values(["n", "y", "t"])
+    size, row = F.octet_length(text_col), F.struct(F.col(key_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    chosen = per_label(docs.where(size.isNotNull()).withColumn("_row", row), "_row", label_col, max_per_label, size).select("k.id", "k.h", "y", "x").collect()
+    sizes: dict = {}
+    for r in chosen:
+        sizes.setdefault(r.y, []).append(r.x)
+    room = {y: _room(x, max_bytes) for y, x in sizes.items()}
+    keys = docs.sparkSession.createDataFrame([(r.id, r.h, room[r.y]) for r in chosen], docs.select(F.col(key_col).alias("_id")).schema.add("_h", "long").add("room", "long"))
+    known = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).alias("y")).where(F.col("y").isNotNull() & F.col("t").isNotNull())
+    known = known.join(F.broadcast(keys), F.col("k").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_h")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [_spread(t.as_buffer(), n) for t, n in zip(b.column(0), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[2:]], ["t", "y", "n"])
+
+    known = known.select("t", "room", "y", F.xxhash64("k").alias("n"))
+    got = known.mapInArrow(cut, known.select("t", "y", "n").schema).distinct().toPandas().sort_values(["n", "y", "t"])
     labels = sorted(set(got.y))
     k = len(labels)
     if not k:
