@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_operators import brute_jaccard, low
-from tidewater.llm import queries
+from tidewater.llm import quality, queries
 from tidewater.runtime import materialize, shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +47,30 @@ def test_every_stage_works_on_all_that_the_one_before_kept(spark):
     assert {r.doc_id for r in got} == set(texts) and all(list(r.ids) == t.encode(texts[r.doc_id], add_special_tokens=False).ids for r in got)
 
 
+def test_rows_without_id_and_ids_with_two_texts_are_judged_by_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    clean, other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma"))
+    rows = [(None, f"{clean} {item} {clean}"), (None, clean), (7, f"{other} {item}"), (7, other), (8, third)]
+    made = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], docs.schema)
+    left = corpus_pipeline.decontamination_stage(spark, made, SF)
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(None, clean), (7, other), (8, third)}
+
+    rows = [(3, clean), (None, clean), (5, clean), (5, other), (None, third), (None, third), (9, third + " more"), (None, ""), (None, ""), (None, None), (5, other), (2**40, other + " x")]
+    made = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], docs.schema)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, made, SF).collect()]
+    assert sorted(left, key=str) == sorted([(3, clean), (5, other), (9, third + " more"), (None, ""), (None, ""), (None, None)], key=str)
+
+    alike = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    two = docs.withColumn("doc_id", F.lit(4).cast("long"))
+    model = queries.quality_model(spark, SF)
+    for odd in (alike, two):
+        scored = quality.select(odd.withColumn("h", F.xxhash64("text")), model, also=("h",))
+        good = {r.h for r in scored.where("kept").collect()}
+        assert 0 < len(good) < odd.count()
+        assert {r.h for r in corpus_pipeline.quality_stage(spark, odd, SF).select(F.xxhash64("text").alias("h")).collect()} == good
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

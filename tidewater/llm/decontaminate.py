@@ -52,7 +52,7 @@ def windows(items: DataFrame, text_col: str, item_col: str, window: int) -> Data
 
 
 def hits(docs: DataFrame, items: DataFrame, doc_text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = 10, shingle: int = 3, max_broadcast: int = 1_000_000) -> DataFrame:
-    """Per document: id, ``n_words``, ``spans`` (array of start and length of each occurrence) and ``items`` (sorted ids, as text)."""
+    """Per document: id, ``text_hash`` (xxhash64 of the text), ``n_words``, ``spans`` (array of start and length of each occurrence) and ``items`` (sorted ids, as text)."""
     path = shared_dir(docs.sparkSession)
     found = windows(items, item_text, item_id, window)
     found = materialize(found.withColumn("window", F.xxhash64(F.concat_ws(" ", "words"))).withColumn("size", F.size("words")), path, "windows")
@@ -82,15 +82,16 @@ def hits(docs: DataFrame, items: DataFrame, doc_text: str = "text", doc_id: str
     own = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(doc_text).alias("text_hash"), F.col(doc_text).alias("_text"))
     if candidates is None:
         none = F.array().cast("array<struct<start:int,size:int>>")
-        return own.select(F.col("doc").alias(doc_id), F.size(words(F.col("_text"))).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
+        return own.select(F.col("doc").alias(doc_id), "text_hash", F.size(words(F.col("_text"))).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
     spots = candidates.join(near(found.select("window", "words", "items")), "window")
     per_document = materialize(spots.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "words", "items")).alias("spots")), path, "spots")
     tried = own.join(per_document.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"}), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     # The words of a document without candidates are only counted.
-    tried = tried.select("doc", words(F.col("_text")).alias("w"), "spots").select("doc", F.size("w").cast("long").alias("n_words"), F.when(F.col("spots").isNotNull(), F.expr("filter(spots, s -> s.start + size(s.words) <= size(w) AND slice(w, s.start + 1, size(s.words)) = s.words)")).alias("spots"))
+    tried = tried.select("doc", "text_hash", words(F.col("_text")).alias("w"), "spots").select("doc", "text_hash", F.size("w").cast("long").alias("n_words"), F.when(F.col("spots").isNotNull(), F.expr("filter(spots, s -> s.start + size(s.words) <= size(w) AND slice(w, s.start + 1, size(s.words)) = s.words)")).alias("spots"))
     spots = F.coalesce("spots", F.array().cast(tried.schema["spots"].dataType))
     return tried.select(
         F.col("doc").alias(doc_id),
+        "text_hash",
         "n_words",
         F.transform(spots, lambda s: F.struct(s.start.alias("start"), F.size(s.words).alias("size"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.transform(spots, lambda s: s["items"])))).alias("items"),

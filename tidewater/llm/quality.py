@@ -87,9 +87,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     return Model(model.ratio, min(q[1][0], (q[1][0] + q[0][1]) / 2) if 0 in q and 1 in q else -np.inf)
 
 
-def select(docs: DataFrame, model: Model, text_col: str = "text", key_col: str = "doc_id", sharpness: float = 64.0) -> DataFrame:
-    """``resample`` of the documents with as many kept as pass the model's threshold."""
-    scored = importance(docs, model, text_col, (key_col,))
+def select(docs: DataFrame, model: Model, text_col: str = "text", key_col: str = "doc_id", sharpness: float = 64.0, also: tuple[str, ...] = ()) -> DataFrame:
+    """``resample`` of the documents, with the columns ``also``, and with as many kept as pass the model's threshold."""
+    scored = importance(docs, model, text_col, (key_col, *also))
     k = scored.where(F.col("log_importance") >= F.lit(float(model.threshold))).count()
     return resample(scored, k, key_col, sharpness)
 
