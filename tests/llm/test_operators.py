@@ -195,6 +195,28 @@ def test_neighbours_odd_cases(spark):
     assert ann.search(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows_over_several_batches(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(600, 8))
+    base = [(i, [float(c) for c in v[i]]) for i in range(600)]
+    rows = spark.createDataFrame(base * 11 + base[:20], "id long, v array<double>").coalesce(1)
+    once = spark.createDataFrame(base, "id long, v array<double>")
+    asked = rows.where(F.col("id") % 2 == 0)
+    key = lambda out: {(r.query_id, r["rank"], r.vec_id) for r in out.collect()}
+    got = key(ann.search(rows, asked, k=5, shortlist=600))
+    exact = v @ v.T
+    np.fill_diagonal(exact, -np.inf)
+    assert got == {(q, k + 1, int(i)) for q in range(0, 600, 2) for k, i in enumerate(np.argsort(-exact[q])[:5])}
+    assert key(ann.search(rows, asked, k=5, shortlist=60)) >= {x for x in key(ann.search(once, once.where(F.col("id") % 2 == 0), k=5, shortlist=20)) if x[1] == 1 and x in got}
+
+
+def test_an_id_with_many_vectors_takes_one_place_of_a_shortlist(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * i]) for i in range(50)] + [(i, [0.9, 0.01 * i]) for i in range(2, 8)]
+    rows = spark.createDataFrame(rows, "id long, v array<double>")
+    got = ann.search(rows, rows.where(F.col("id") == 0), k=3, shortlist=10).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 2), (3, 3)]
+
+
 def brute_jaccard(rows):
     sets = {}
     for i, x in rows:

@@ -97,7 +97,8 @@ def index(rows: DataFrame, books: Codebooks, k: int = 20, block: int = 4096) ->
             pairs = [(i, x) for x, ids in seen.items() for i in sorted(set(ids))[: k + 1]]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.binary())], ["id", "raw"])
 
-    copies = rows.select("id", "v").mapInArrow(first_copies, "id long, raw binary")
+    # Equal rows become one across all batches: repeats would use up shortlists.
+    copies = rows.select("id", "v").mapInArrow(first_copies, "id long, raw binary").distinct()
     copies = copies.withColumn("n", F.dense_rank().over(Window.partitionBy("raw").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,19 +133,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = 20
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     found = materialize(index(rows, books, k), path, "index")
     books_b = spark.sparkContext.broadcast(books)
+    hashes = rows.groupBy("id").agg(F.min(F.xxhash64("v")).alias("a"), F.max(F.xxhash64("v")).alias("z"))
+    several = bool(hashes.where(F.col("a") != F.col("z")).limit(1).count())  # an id with several vectors
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, query_block):
                 part = b.slice(a, query_block)
                 ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_pydict({"qblock": pa.array([int(ids.min())]), "qids": [ids.tobytes()], "qs": [_matrix(part.column(1)).astype(np.float32).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"qids": [ids.tobytes()], "qs": [_matrix(part.column(1)).astype(np.float32).tobytes()]})
 
-    packed = materialize(queries.select("id", "v").coalesce(max(1, -(-queries.count() // 20_000))).mapInArrow(pack, "qblock long, qids binary, qs binary"), path, "queries")
+    asked = queries.select("id", "v").distinct()
+    packed = asked.coalesce(max(1, -(-asked.count() // 20_000))).mapInArrow(pack, "qids binary, qs binary")
+    # A number of its own for each block, fixed by being written.
+    packed = materialize(packed.withColumn("qblock", F.monotonically_increasing_id()), path, "queries")
     slices = max(1, found.count() // slice_blocks)
     # Blocks, not rows, are paired: each query block is sent to every slice once, and so is each index block to every query block.
     sliced = found.withColumn("slice", F.pmod(F.xxhash64("block"), F.lit(slices)).cast("int"))
-    asked = packed.select("qblock").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).join(packed, "qblock")
+    asked = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     parts = slices * packed.count()
     paired = asked.join(sliced, "slice").repartition(max(1, min(parts, 20_000)), "qblock", "slice").sortWithinPartitions("qblock", "slice")
 
@@ -174,12 +180,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = 20
                     near += tables[codes[:, j]]
                 near = (near * np.frombuffer(r["scale"], np.float32)[:, None]).T
                 near[ids[None, :] == qids[:, None]] = -np.inf
-                state = _best(np.concatenate([state[0], np.broadcast_to(ids, near.shape)], 1), np.concatenate([state[1], near], 1), shortlist)
+                both = np.concatenate([state[0], np.broadcast_to(ids, near.shape)], 1), np.concatenate([state[1], near], 1)
+                if several:
+                    _once(*both)
+                state = _best(*both, shortlist)
         if at is not None:
             yield out()
 
     near = paired.select("qblock", "slice", "qids", "qs", "ids", "codes", "scale").mapInArrow(score, "query_id long, vec_id long, near double")
     if slices > 1:
+        if several:
+            near = near.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
         near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).where(F.col("n") <= shortlist)
     exact = near.select("query_id", "vec_id").join(rows.select(F.col("id").alias("vec_id"), F.col("v").alias("a")), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("b")), "query_id")
     product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
@@ -188,6 +199,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = 20
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _once(ids: np.ndarray, near: np.ndarray) -> None:
+    """Leaves each id of a row only its largest value; the others become minus infinity."""
+    for i, x in zip(ids, near, strict=True):
+        order = np.argsort(-x, kind="stable")
+        again = np.ones(len(x), bool)
+        again[order[np.unique(i[order], return_index=True)[1]]] = False
+        x[again] = -np.inf
+
+
 def _best(ids: np.ndarray, near: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the n largest, ties to smaller ids."""
     if near.shape[1] <= n:
