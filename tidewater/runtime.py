@@ -12,24 +12,34 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
+#: Short rows that one task writes, and the fewest files of a table.
+ROWS, FILES = 250_000, 8
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
+    Only where that setting is absent and all runs in one process (tests) a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.sparkContext.getConf().set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidewater-"))
     return f"{base.rstrip('/')}/tidewater-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, path: str, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below ``path`` and read it back: lineage ends at the files."""
+def materialize(df: DataFrame, path: str, name: str, most: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below ``path`` and read it back: lineage ends at the files.
+
+    Where the caller knows that it has at most ``most`` short rows, they go to a file for each ``ROWS`` of these
+    (``FILES`` at least), in place of one for each shuffle partition, however empty.
+    """
     target = f"{path}/{name}"
     schema = df.schema
+    if most is not None:
+        df = df.coalesce(max(FILES, -(-most // ROWS)))
     df.write.mode("overwrite").parquet(target)
     return df.sparkSession.read.schema(schema).parquet(target)
 
@@ -38,11 +48,13 @@ def ship(spark: SparkSession) -> None:
     """Make a session fit for Python tasks over long texts.
 
     The package is sent to the executors once per application, so that tasks can import it, and
-    Arrow batches are made smaller than Spark's default of 10,000 rows, which whole documents
-    would make too large for small executors; a value that the user has set stays.
+    where the user has set no bounds of their own, Arrow batches hold at most 1,000 rows and about 4 MB, as whole documents
+    would make Spark's default of 10,000 rows too large for small executors.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for key, default, own in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", str(2**31 - 1), str(1 << 22))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
