@@ -61,7 +61,7 @@ class _Table:
 class Pieces:
     """Ids of pieces seen so far in this process; started anew when ``most`` pieces are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list], whole: Callable[[str], list], white: bool, most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], list], whole: Callable[[str], list], white: bool, most: int = 1_000_000):
         """encode: ids of each of many pieces; whole: ids of a text that pieces can't be used for; white: pieces carry the white space before them."""
         self.encode, self.whole, self.white, self.most = encode, whole, white, most
         self.clear()
@@ -70,9 +70,18 @@ class Pieces:
         self.at = _Table(self.most)
         self.ids, self.off, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int16)
         self.used = 0
+        self.raw, self.raw_off, self.raw_used = np.zeros(1 << 16, np.uint8), np.zeros((1 << 12) + 1, np.int64), 0
 
-    def _add(self, keys: np.ndarray, ids: list) -> None:
+    def _add(self, keys: np.ndarray, ids: list, pieces: list[bytes]) -> None:
         n, size = self.at.n, np.fromiter(map(len, ids), np.int64, len(ids))
+        text = np.frombuffer(b"".join(pieces), np.uint8)
+        while len(self.raw) < self.raw_used + len(text) + 8:  # eight bytes are read from any place
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        while len(self.raw_off) <= n + len(keys):
+            self.raw_off = np.concatenate([self.raw_off, np.zeros_like(self.raw_off)])
+        self.raw[self.raw_used : self.raw_used + len(text)] = text
+        self.raw_off[n + 1 : n + len(keys) + 1] = self.raw_used + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        self.raw_used += len(text)
         while len(self.off) < n + len(keys):
             self.off, self.size = np.concatenate([self.off, self.off]), np.concatenate([self.size, self.size])
         while len(self.ids) < self.used + size.sum():
@@ -88,6 +97,18 @@ class Pieces:
         for a, z, data, offs in T.blocks(column):
             yield a, z, *self._block(data, offs, odd[a:z])
 
+    def _other(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Which ranges are not, byte by byte, the pieces that their hashes stand for."""
+        a, b = (np.ndarray(len(x) - 7, "<u8", x, strides=(1,)) for x in (raw, self.raw))
+        at, size = self.raw_off[piece], end - start
+        out = self.raw_off[piece + 1] - at != size
+        todo, k = np.flatnonzero(~out), 0
+        while len(todo):
+            rest = T.head(np.minimum(size[todo] - k, 8))
+            out[todo] = ((a[start[todo] + k] ^ b[at[todo] + k]) & rest) != 0
+            todo, k = todo[~out[todo] & (size[todo] > k + 8)], k + 8
+        return out
+
     @staticmethod
     def _cut(data: np.ndarray, s: T.Spans, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, cut besides where a mark follows a letter: no token spans that either."""
@@ -125,7 +146,8 @@ class Pieces:
         if odd.any():
             use = ~odd[text]
             start, end, text = start[use], end[use], text[use]
-        h = s.ranges(s.sums(), start, end)
+        padded = s.bytes()
+        h = s.ranges(padded, start, end)
         keys, where, back = np.unique(h, return_index=True, return_inverse=True)
         if self.at.n + len(keys) > self.most:
             self.clear()
@@ -134,8 +156,13 @@ class Pieces:
         if len(new):
             raw = data.tobytes()
             got[new] = np.arange(self.at.n, self.at.n + len(new))
-            self._add(keys[new], self.encode([raw[a:b].decode() for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)]))
+            pieces = [raw[a:b] for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
+            self._add(keys[new], self.encode([x.decode() for x in pieces]), pieces)
         piece = got[back]
+        other = self._other(padded, start, end, piece)
+        if other.any():  # one hash, two pieces: their texts are encoded whole
+            odd[text[other]] = True
+            return self._block(data, offs, odd)
         size = self.size[piece].astype(np.int64)
         ids = self.ids[np.repeat(self.off[piece] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         count = np.bincount(text, size, n).astype(np.int64)

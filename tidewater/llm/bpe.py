@@ -24,16 +24,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from tidewater.llm._pieces import Pieces
+from tidewater.llm._tasks import in_arrow, kept
 
-NONE = 1 << 60
+#: Above any packed leaf: ranks of a file and positions in a word of memory's size stay far below.
+NONE = 1 << 100
 
 
 class RankTree:
-    """Minimum over leaves, packed as rank << 24 | position; position breaks ties to the left."""
+    """Minimum over leaves, packed as rank times the number of leaves plus position; position breaks ties to the left."""
 
     def __init__(self, ranks: list[int]):
-        self.size = size = 1 << max(0, (len(ranks) - 1).bit_length())
-        self.node = node = [NONE] * size + [NONE if r < 0 else r << 24 | i for i, r in enumerate(ranks)] + [NONE] * (size - len(ranks))
+        self.bits = bits = max(0, (len(ranks) - 1).bit_length())
+        self.size = size = 1 << bits
+        self.node = node = [NONE] * size + [NONE if r < 0 else r << bits | i for i, r in enumerate(ranks)] + [NONE] * (size - len(ranks))
         for i in range(size - 1, 0, -1):
             a, b = node[2 * i], node[2 * i + 1]
             node[i] = a if a < b else b
@@ -41,7 +44,7 @@ class RankTree:
     def set(self, i: int, rank: int) -> None:
         node = self.node
         k = i + self.size
-        node[k] = NONE if rank < 0 else rank << 24 | i
+        node[k] = NONE if rank < 0 else rank << self.bits | i
         while k > 1:
             k >>= 1
             a, b = node[2 * k], node[2 * k + 1]
@@ -53,7 +56,7 @@ class RankTree:
     def lowest(self) -> int:
         """Position of the leftmost lowest rank, or -1."""
         top = self.node[1]
-        return -1 if top == NONE else top & 0xFFFFFF
+        return -1 if top == NONE else top & (self.size - 1)
 
 
 class Bpe:
@@ -148,14 +151,9 @@ class Bpe:
         return " ".join(map(self.token.__getitem__, ids))
 
 
-_KEPT: dict[str, tuple[Bpe, Pieces]] = {}
-
-
-def _kept(path: str) -> tuple[Bpe, Pieces]:
-    if path not in _KEPT:
-        b = Bpe(path)
-        _KEPT[path] = b, Pieces(lambda pieces: list(map(b.encode, pieces)), b.encode, False)
-    return _KEPT[path]
+def _made(path: str) -> tuple[Bpe, Pieces]:
+    b = Bpe(path)
+    return b, Pieces(lambda pieces: list(map(b.encode, pieces)), b.encode, False)
 
 
 def _pattern(text: str) -> str:
@@ -167,7 +165,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", key_c
     schema = docs.select(*key_cols).schema.add("ids", ArrayType(IntegerType(), False), False).add("decoded", "string", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, pieces = _kept(tokenizer)
+        b, pieces = kept(f"bpe {tokenizer}", lambda: _made(tokenizer))
         special = "|".join(map(_pattern, b.special)) or "(?:^.)^"
         for batch in batches:
             texts = pc.fill_null(batch.column(0), "")
@@ -177,4 +175,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text", key_c
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, z - a) for c in batch.columns[1:]), lists, pa.array(decoded, pa.string())], schema.names)
 
-    return docs.select(F.col(text_col), *key_cols).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(text_col), *key_cols), run, schema, f"bpe {tokenizer}")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm._tasks import in_arrow
+
 #: Elements whose text is never shown, and such as hold controls.
 HIDDEN = frozenset("script style template noscript head title iframe object svg math canvas textarea select option datalist button input audio video map".split())
 #: Of these, what is inside is no markup.
@@ -260,7 +262,7 @@ def extract(pages: DataFrame, model: Model, html_col: str = "html", key_cols: tu
                 out = [text_of(x, model) for x in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.string())], schema.names)
 
-    return pages.select(F.col(html_col), *key_cols).mapInArrow(run, schema)
+    return in_arrow(pages.select(F.col(html_col), *key_cols), run, schema)
 
 
 def fit(pages: list[tuple[str, list[bool]]] | None = None, smoothing: float = 0.5) -> Model:

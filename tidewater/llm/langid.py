@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import _text as T
 from tidewater.llm._sample import per_label
+from tidewater.llm._tasks import in_arrow
 
 BITS = 16
 SHIFT = np.uint64(64 - BITS)
@@ -45,14 +46,14 @@ class Model:
 def _features(data: np.ndarray, offs: np.ndarray):
     """Spans; (words, KINDS) rows of the table; trigram rows and the word of each; word hashes."""
     s = T.words(data, offs, T.NON_LETTER)
-    sums = s.sums(T.LOWER)
-    whole = s.ranges(sums, s.start, s.end)
-    cols = [s.ranges(sums, s.start, np.minimum(s.start + k, s.end)) for k in (1, 2, 3)] + [s.ranges(sums, np.maximum(s.end - k, s.start), s.end) for k in (1, 2, 3)] + [whole]
+    raw = s.bytes(T.LOWER)
+    whole = s.ranges(raw, s.start, s.end)
+    cols = [s.ranges(raw, s.start, np.minimum(s.start + k, s.end)) for k in (1, 2, 3)] + [s.ranges(raw, np.maximum(s.end - k, s.start), s.end) for k in (1, 2, 3)] + [whole]
     rows = np.stack([(c >> SHIFT).astype(np.int64) + (i << BITS) for i, c in enumerate(cols)], 1)
     size = np.maximum(s.end - s.start - 2, 0)
     word = np.repeat(np.arange(len(size)), size)
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s.start, size)
-    tri = (s.ranges(sums, at, at + 3) >> SHIFT).astype(np.int64) + (KINDS << BITS)
+    tri = (s.ranges(raw, at, at + 3) >> SHIFT).astype(np.int64) + (KINDS << BITS)
     return s, rows, tri, word, whole
 
 
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", key_co
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[2:]], ["t", "y", "n"])
 
     known = known.select("t", "room", "y", F.xxhash64("k").alias("n"))
-    got = known.mapInArrow(cut, known.select("t", "y", "n").schema).distinct().toPandas().sort_values(["n", "y", "t"])
+    got = in_arrow(known, cut, known.select("t", "y", "n").schema).distinct().toPandas().sort_values(["n", "y", "t"])
     labels = sorted(set(got.y))
     k = len(labels)
     if not k:
@@ -257,4 +258,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", key_cols: tup
                 score.append(np.where(best < k, np.take_along_axis(np.concatenate([p, np.zeros((n, 1))], 1), best[:, None], 1)[:, 0], 0.0))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names[np.concatenate(pick)], pa.string()), pa.array(np.clip(np.concatenate(score), 0, 1))], schema.names)
 
-    return docs.select(F.col(text_col), *key_cols).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(text_col), *key_cols), run, schema)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import _text as T
 from tidewater.llm._sample import per_label
+from tidewater.llm._tasks import in_arrow
 
 BITS = 16
 SHIFT = np.uint64(64 - BITS)
@@ -61,7 +62,7 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return in_arrow(docs.select(text_col), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", key_col: str = "doc_id", max_per_label: int = 20_000, smoothing: float = 0.5) -> Model:
@@ -109,7 +110,7 @@ def importance(docs: DataFrame, model: Model, text_col: str = "text", key_cols:
                 logs.append(T.per_text(ratio[bucket], text, z - a) / np.maximum(T.per_text(np.ones(len(text)), text, z - a), 1))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(tokens)), pa.array(np.concatenate(logs))], schema.names)
 
-    return docs.select(F.col(text_col), *key_cols).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(text_col), *key_cols), run, schema)
 
 
 def resample(scored: DataFrame, k: int, key_col: str = "doc_id", sharpness: float = 1.0, seed: int = 11) -> DataFrame:

@@ -10,7 +10,7 @@ number of ids of each document. Sequence ``s`` of a shard is row ``s % rows`` of
 is written under a name of its own and then renamed: a repeated task leaves the same file.
 
 Defined results: a null or empty text is the end id alone; rows with equal keys stand in
-the order of their texts; rows with a null key come first; an empty table leaves no
+the order of their texts within a shard, and of hashes of these between shards; rows with a null key come first; an empty table leaves no
 files and an empty result; other columns of the input are not read.
 """
 
@@ -31,24 +31,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm._pieces import Pieces
+from tidewater.llm._tasks import in_arrow, kept
 from tidewater.runtime import materialize, shared_dir
 
 #: White space that is not ASCII, or that not all libraries take for white space: such texts are encoded whole.
 ODD = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_KEPT: dict[str, tuple[Pieces, int, str]] = {}
 
 
 def _encoder(path: str) -> tuple[Pieces, int, str]:
-    """Pieces, vocabulary size and pattern of odd texts; one for each tokenizer file and process."""
-    if path not in _KEPT:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    """Pieces, vocabulary size and pattern of odd texts."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        many = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-        added = [pc_escape(x.content) for x in t.get_added_tokens_decoder().values()]
-        _KEPT[path] = Pieces(many, lambda x: many([x])[0], True), t.get_vocab_size(True), "|".join([ODD, *added])
-    return _KEPT[path]
+    t = Tokenizer.from_file(path)
+    many = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    added = [pc_escape(x.content) for x in t.get_added_tokens_decoder().values()]
+    return Pieces(many, lambda x: many([x])[0], True), t.get_vocab_size(True), "|".join([ODD, *added])
 
 
 def pc_escape(text: str) -> str:
@@ -107,7 +105,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "text",
     folder = folder or f"{path}/tokens"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, vocabulary, odd = _encoder(tokenizer)
+        pieces, vocabulary, odd = kept(f"token files {tokenizer}", lambda: _encoder(tokenizer))
         dtype = np.dtype(np.uint16 if max(vocabulary - 1, end_id) < 1 << 16 else np.uint32)
         out = None
         for b in batches:
@@ -124,7 +122,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "text",
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "n_docs": pa.array([out.docs]), "n_tokens": pa.array([out.total])})
 
     rows_in = docs.select(F.col(key_col).cast("long").alias("k"), F.col(text_col).alias("t")).repartitionByRange("k", F.xxhash64("t")).sortWithinPartitions("k", "t")
-    shards = materialize(rows_in.mapInArrow(run, "shard int, n_docs long, n_tokens long"), path, "shards")
+    shards = materialize(in_arrow(rows_in, run, "shard int, n_docs long, n_tokens long", f"token files {tokenizer}"), path, "shards")
     start = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return shards.select(F.lit(folder).alias("folder"), "shard", "n_docs", "n_tokens", start.alias("start"))
 
@@ -165,4 +163,4 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([index["key"].combine_chunks()[cut], pa.array(start + offset[cut]), pa.array(n[cut]), pa.array(crc[cut], pa.int64())], names)
 
     shards = manifest.select("folder", "shard", "start")
-    return shards.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(shards.repartition(max(1, manifest.count())), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import _text as T
 from tidewater.llm._sample import per_label
+from tidewater.llm._tasks import in_arrow
 
 BITS = 20
 SHIFT = np.uint64(64 - BITS)
@@ -66,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
                 raw = [bucket[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(raw, pa.binary())], ["y", "n", "x"])
 
-    got = rows.mapInArrow(extract, "y int, n long, x binary").toPandas().sort_values(["n", "y"])
+    got = in_arrow(rows, extract, "y int, n long, x binary").toPandas().sort_values(["n", "y"])
     xs, ys = [np.frombuffer(x, np.int32) for x in got.x], got.y.to_numpy(float)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = np.array([1 << BITS], np.int32)
@@ -108,4 +109,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", key_cols: tuple
                 out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(out))], schema.names)
 
-    return docs.select(F.col(text_col), *key_cols).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(text_col), *key_cols), run, schema)

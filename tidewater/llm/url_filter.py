@@ -24,6 +24,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm._tasks import in_arrow
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -106,7 +108,7 @@ def judge(urls: DataFrame, rules: list[tuple[str, ...]], url_col: str = "url", k
                 out.append(min(fits)[1] if fits else None)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.string())], schema.names)
 
-    return urls.select(tokens(F.col(url_col)).alias("_tokens"), *key_cols).mapInArrow(run, schema)
+    return in_arrow(urls.select(tokens(F.col(url_col)).alias("_tokens"), *key_cols), run, schema)
 
 
 def hinted(url: Column, words: tuple[str, ...]) -> Column:
