@@ -4,8 +4,8 @@ A word's emission is the sum of learned weights of its prefixes and suffixes (1
 bytes), its inner byte trigrams, the word itself and its membership in learned word
 lists; transitions between neighbouring words are learned too, from chains of which
 some switch language midway. Forward-backward gives each word's marginals, whose sum
-over the text decides. Chains are cut every ``CHAIN`` words: all words of the whole text
-are labelled, and the cut lets many chains advance together.
+over the text decides. A whole text is one chain. Its segments of ``SEGMENT`` words advance together: the product
+of a segment's transitions carries messages over it, so that what enters and leaves each is exact.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; ties
 go to the label first in code-point order; repeated rows are judged alike; an empty table
@@ -28,7 +28,8 @@ from tidewater.llm._tasks import in_arrow
 
 BITS = 16
 SHIFT = np.uint64(64 - BITS)
-CHAIN = 64
+#: Words by which all segments advance together.
+SEGMENT = 64
 #: Feature kinds: prefix and suffix of 1, 2, 3 bytes and the whole word; trigrams have a table of their own.
 KINDS = 7
 
@@ -72,43 +73,71 @@ def _emissions(m: Model, rows, tri, word, whole) -> np.ndarray:
     return out
 
 
-def _chains(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and number of words of each chain; none crosses texts."""
+def _segments(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and number of words of each segment of a text, and its number in the text."""
     n = np.diff(first)
     parts = -(-n // length)
     text = np.repeat(np.arange(len(n)), parts)
     k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     start = first[:-1][text] + k * length
-    return start, np.minimum(length, first[1:][text] - start)
+    return start, np.minimum(length, first[1:][text] - start), k
 
 
-def _marginals(emit: np.ndarray, move: np.ndarray, start: np.ndarray, size: np.ndarray, pairs: bool = False):
-    """Forward-backward over all chains at once: (words, labels) marginals, and summed pair marginals if asked for."""
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
+def _share(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(tuple(range(1, x.ndim)), keepdims=True)
+
+
+def _messages(e: np.ndarray, a: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each segment from the words before it, and what its last word gets from those after it."""
+    k, first = len(a), number == 0
+    over = np.where(first[:, None, None], np.eye(k), a) * e[start][:, None, :]  # (segments, label before, label at its end)
+    for t in range(1, int(size.max())):
+        more = np.flatnonzero(size > t)
+        over[more] = _share((over[more] @ a) * e[start[more] + t][:, None, :])
+    enter, leave, end = np.ones((len(start), k)), np.ones((len(start), k)), _share(over.sum(1))
+    levels = np.split(np.argsort(number, kind="stable"), np.cumsum(np.bincount(number))[:-1])[1:]
+    for at in levels:
+        enter[at] = end[at - 1]
+        end[at] = _share((enter[at][:, None, :] @ over[at])[:, 0])
+    for at in reversed(levels):
+        leave[at - 1] = _share((over[at] @ leave[at][:, :, None])[:, :, 0])
+    return enter, leave
+
+
+def _marginals(emit: np.ndarray, move: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray | None = None, pairs: bool = False):
+    """Forward-backward over all segments at once: (words, labels) marginals, and summed pair marginals if asked for.
+
+    number: each segment's place in its chain, whose segments follow one another; without it each is a chain of its own.
+    """
     e = np.exp(emit - emit.max(1, keepdims=True)) if len(emit) else emit
     a = np.exp(move - move.max())
     alpha, beta = np.empty_like(e), np.ones_like(e)
+    enter = None
+    if number is not None and len(number) and number.max() > 0:
+        enter, leave = _messages(e, a, start, size, number)
+        beta[start + size - 1] = leave
+        enter = np.where((number == 0)[:, None], 1.0, enter @ a)
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
     longest = int(size[0]) if len(size) else 0
-    alive = np.searchsorted(-size, -np.arange(longest), "left")  # chains with more than t words
+    alive = np.searchsorted(-size, -np.arange(longest), "left")  # segments with more than t words
     f = None
     for t in range(longest):
         at = start[: alive[t]] + t
-        f = e[at] if f is None else (f[: alive[t]] @ a) * e[at]
-        f /= f.sum(1, keepdims=True)
+        if f is None:
+            f = e[at] if enter is None else enter[order] * e[at]
+        else:
+            f = (f[: alive[t]] @ a) * e[at]
+        f = _share(f)
         alpha[at] = f
     total = np.zeros_like(a)
     for t in range(longest - 2, -1, -1):
         at = start[: alive[t + 1]] + t
         right = beta[at + 1] * e[at + 1]
-        b = right @ a.T
         if pairs:
-            w = alpha[at][:, :, None] * a[None] * right[:, None, :]
-            total += (w / w.sum((1, 2), keepdims=True)).sum(0)
-        beta[at] = b / b.sum(1, keepdims=True)
-    out = alpha * beta
-    out /= out.sum(1, keepdims=True)
-    return out, total
+            total += _share(alpha[at][:, :, None] * a[None] * right[:, None, :]).sum(0)
+        beta[at] = _share(right @ a.T)
+    return _share(alpha * beta), total
 
 
 def _room(sizes: list[int], total: int) -> int:
@@ -173,7 +202,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", key_co
 
     for _ in range(epochs):
         for r, tri, word, whole, y, first in parts:
-            start, size = _chains(first, 12)
+            start, size, _ = _segments(first, 12)
             cut = rng.permutation(len(start))
             for some in np.array_split(cut, max(1, len(cut) // 400)):
                 w = np.concatenate([np.arange(a, a + n) for a, n in zip(start[some], size[some], strict=True)] or [np.zeros(0, int)])
@@ -185,7 +214,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", key_co
                 ti, tw = tri[t], mine[word[t]]
                 e = _emissions(m, r[w], ti, tw, whole[w])
                 chain = np.arange(0, len(w), 48)
-                marg, pair = _marginals(e, m.move, chain, np.minimum(48, len(w) - chain), True)
+                marg, pair = _marginals(e, m.move, chain, np.minimum(48, len(w) - chain), pairs=True)
                 gold = np.eye(k)[y[w]]
                 g = gold - marg
                 n = len(w)
@@ -241,8 +270,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", key_cols: tup
                 p, best = np.zeros((n, k)), np.full(n, k)
                 count = np.diff(s.first)
                 if len(s.start) and k:
-                    start, size = _chains(s.first, CHAIN)
-                    marg, _ = _marginals(_emissions(m, *f), m.move, start, size)
+                    marg, _ = _marginals(_emissions(m, *f), m.move, *_segments(s.first, SEGMENT))
                     text = np.repeat(np.arange(n), count)
                     for j in range(k):
                         p[:, j] = T.per_text(marg[:, j], text, n)

@@ -1,15 +1,14 @@
 """Quality classifier: importance resampling of raw text towards a target.
 
 Two generative models over hashed token unigrams and bigrams, and one for immediate repetition, are counted: one of the
-target texts, one of all raw texts. A text's importance is the log ratio of its
-probability under both; it is taken per n-gram, so that long and short texts compare,
-and sharpened by a factor. Resampling without replacement is the Gumbel top-k: the k
-largest of sharpened log importance plus Gumbel noise, with k the number of texts
-that are as like the target as nearly all of the labelled good ones. The noise comes
-from a hash of the key, so that runs and retries agree.
+target texts, one of all raw texts. A text's log importance is the log ratio of its
+probability under both, the sum over its n-grams. Resampling without replacement is the
+Gumbel top-k: the k largest of log importance plus Gumbel noise. k is the caller's; by default
+it is the labelled share of the target, at the upper end of three standard errors so that no good text goes by
+the chance of the sample, of the number of texts. The noise comes from a hash of the key, so that runs and retries agree.
 
 Defined results: a null or empty text has no tokens, importance 0, and takes part in
-the draw; repeated rows have equal keys and so stand or fall together where they tie;
+the draw; rows that tie with the k-th, as repeated ones do, are all kept; a null key is a key like others;
 an empty table gives an empty result; other columns of the input are not read.
 """
 
@@ -20,12 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _text as T
 from tidewater.llm._sample import per_label
 from tidewater.llm._tasks import in_arrow
+from tidewater.runtime import materialize, shared_dir
 
 BITS = 16
 SHIFT = np.uint64(64 - BITS)
@@ -35,10 +35,10 @@ KINDS = np.array([0 if b <= 0x20 or b == 0x7F else 1 if b >= 0x80 or chr(b).isal
 
 @dataclass(frozen=True)
 class Model:
-    """Log ratio of target to raw by bucket, and the mean log ratio of a text from which it counts as like the target."""
+    """Log ratio of target to raw by bucket, and the share of texts that are like the target."""
 
     ratio: np.ndarray
-    threshold: float = -np.inf
+    share: float = 1.0
 
 
 def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,37 +66,34 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", key_col: str = "doc_id", max_per_label: int = 20_000, smoothing: float = 0.5) -> Model:
-    """Raw counts over all documents; target counts over those labelled 1, and a threshold from both labels.
+    """Raw counts over all documents; target counts over those labelled 1; the share of these among all labelled.
 
-    Of each label at most ``max_per_label`` rows are used, those of the smallest hash of the
-    key, a bound that makes their keys small enough to broadcast. The threshold is midway
-    between the 1 % quantile of good texts and the 90 % quantile of bad ones; without
-    good or bad texts there is nothing to tell apart, and every text counts as good. The
-    driver gets counts of 65,536 buckets and the two quantiles.
+    At most ``max_per_label`` target rows are used, those of the smallest hash of the
+    key, a bound that makes their keys small enough to broadcast. Without labels every text counts as
+    good. The driver gets counts of 65,536 buckets and two numbers.
     """
-    sample = per_label(labels, key_col, F.col(label_col).cast("int"), max_per_label)
-    known = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k")
+    good = F.col(label_col).cast("int") == 1
+    n, share = labels.where(good.isNotNull()).agg(F.count(F.lit(1)), F.avg(good.cast("double"))).first()
+    sample = per_label(labels.where(good), key_col, F.lit(1), max_per_label)
+    target = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k")
     logs = []
-    for some, column in ((known.where(F.col("y") == 1), "t"), (docs, text_col)):
+    for some, column in ((target, "t"), (docs, text_col)):
         got = counts(some, column).toPandas()
-        n = np.zeros(1 << BITS)
-        n[got.bucket.to_numpy(int)] = got.n
-        logs.append(np.log((n + smoothing) / (n.sum() + smoothing * (1 << BITS))))
-    model = Model(logs[0] - logs[1])
-    rows = importance(known, model, "t", ("y",)).groupBy("y").agg(F.percentile_approx("log_importance", [0.01, 0.9], 10_000).alias("q")).collect()
-    q = {r.y: r.q for r in rows}
-    return Model(model.ratio, min(q[1][0], (q[1][0] + q[0][1]) / 2) if 0 in q and 1 in q else -np.inf)
+        total = np.zeros(1 << BITS)
+        total[got.bucket.to_numpy(int)] = got.n
+        logs.append(np.log((total + smoothing) / (total.sum() + smoothing * (1 << BITS))))
+    return Model(logs[0] - logs[1], min(1.0, share + 3 * (share * (1 - share) / n) ** 0.5) if share else 1.0)
 
 
-def select(docs: DataFrame, model: Model, text_col: str = "text", key_col: str = "doc_id", sharpness: float = 64.0, also: tuple[str, ...] = ()) -> DataFrame:
-    """``resample`` of the documents, with the columns ``also``, and with as many kept as pass the model's threshold."""
+def select(docs: DataFrame, model: Model, text_col: str = "text", key_col: str = "doc_id", k: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """``resample`` of the documents, with the columns ``also``. Texts are read once: their importance is written and reread."""
     scored = importance(docs, model, text_col, (key_col, *also))
-    k = scored.where(F.col("log_importance") >= F.lit(float(model.threshold))).count()
-    return resample(scored, k, key_col, sharpness)
+    scored = materialize(scored, shared_dir(docs.sparkSession), "importance")
+    return resample(scored, round(model.share * scored.count()) if k is None else k, key_col)
 
 
 def importance(docs: DataFrame, model: Model, text_col: str = "text", key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``key_cols``, ``n_tokens`` and ``log_importance``, the mean over its n-grams, of every whole text."""
+    """``key_cols``, ``n_tokens`` and ``log_importance``, the sum over its n-grams, of every whole text."""
     model = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*key_cols).schema.add("n_tokens", "long", False).add("log_importance", "double", False)
 
@@ -107,29 +104,33 @@ def importance(docs: DataFrame, model: Model, text_col: str = "text", key_cols:
             for a, z, data, offs in T.blocks(b.column(0)):
                 bucket, text, n = _grams(data, offs)
                 tokens.append(n.astype(np.int64))
-                logs.append(T.per_text(ratio[bucket], text, z - a) / np.maximum(T.per_text(np.ones(len(text)), text, z - a), 1))
+                logs.append(T.per_text(ratio[bucket], text, z - a))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(tokens)), pa.array(np.concatenate(logs))], schema.names)
 
     return in_arrow(docs.select(F.col(text_col), *key_cols), run, schema)
 
 
-def resample(scored: DataFrame, k: int, key_col: str = "doc_id", sharpness: float = 1.0, seed: int = 11) -> DataFrame:
-    """Adds ``gumbel`` and ``kept``: whether the row is among the k largest of sharpened log importance plus Gumbel noise.
-
-    The k-th largest is found from a histogram of the sums, in steps of about a 4,000th, and only
-    the rows of the step where k falls are ranked; none but these meet in one task.
-    """
+def resample(scored: DataFrame, k: int, key_col: str = "doc_id", seed: int = 11) -> DataFrame:
+    """Adds ``gumbel`` and ``kept``: whether the row is among the k largest of log importance plus Gumbel noise, or ties with the k-th."""
     u = (F.xxhash64(F.lit(seed), F.col(key_col).cast("string")).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = scored.withColumn("gumbel", -F.log(-F.log(u)))
-    total = F.col("log_importance") * sharpness + F.col("gumbel")
-    step = F.floor(F.signum(total) * F.log1p(F.abs(total)) * 4096).cast("int")
-    hist = rows.groupBy(step.alias("step")).count().toPandas().sort_values("step", ascending=False)
-    above = hist["count"].cumsum()
-    if above.empty or k >= above.iloc[-1]:
-        return rows.withColumn("kept", F.lit(True))
+    total = F.col("log_importance") + F.col("gumbel")
     if k <= 0:
         return rows.withColumn("kept", F.lit(False))
-    at = int((above < k).sum())
-    edge, room = int(hist.step.iloc[at]), int(k - (above.iloc[at - 1] if at else 0))
-    ties = rows.where(step == edge).select(F.col(key_col).alias("_k"), total.alias("_t")).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("_t"), "_k"))).where(F.col("_r") <= room).select("_k").distinct()
-    return rows.join(ties, F.col(key_col).eqNullSafe(F.col("_k")), "left").withColumn("kept", (step > edge) | F.col("_k").isNotNull() & (step == edge)).drop("_k")
+    return rows.withColumn("kept", total >= F.lit(_kth(rows.select(total.alias("x")), k)))
+
+
+def _kth(rows: DataFrame, k: int, bins: int = 4096) -> float:
+    """The k-th largest x, by counts in bins of the range where it must be, until a bin holds one value; of fewer rows minus infinity."""
+    low, high, n = rows.agg(F.min("x"), F.max("x"), F.count("x")).first()
+    if k > n:
+        return -float("inf")
+    while low < high:
+        at = F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(high - low) * bins), F.lit(bins - 1))
+        found = rows.where(F.col("x").between(low, high)).groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        for r in sorted(found.collect(), key=lambda r: -r["at"]):  # at most ``bins`` rows
+            if k <= r.n:
+                low, high = r.low, r.high
+                break
+            k -= r.n
+    return low

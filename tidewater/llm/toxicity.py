@@ -50,11 +50,12 @@ def distinct(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (key & ((1 << BITS) - 1)).astype(np.int32), key >> BITS
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_per_label: int = 4000, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_per_label: int = 4000, max_features: int = 4096, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> Model:
     """Fit on at most ``max_per_label`` labelled rows of each label, those of the smallest hash of the key.
 
     That bound is a parameter of the fit alone, and makes the sampled keys small enough
-    to broadcast. Texts become feature lists on the executors; the driver gets only these.
+    to broadcast. Texts become feature lists on the executors, of which one with more than ``max_features`` gives so
+    many, drawn over the whole text; the driver gets only these, at most 16 kB a row.
     """
     sample = per_label(labels, key_col, F.col(label_col).cast("int"), max_per_label)
     rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k").select("t", "y", F.xxhash64("k").alias("n"))
@@ -64,7 +65,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
             for a, z, data, offs in T.blocks(b.column(0)):
                 bucket, text = distinct(*features(data, offs))
                 cuts = np.searchsorted(text, np.arange(z - a + 1))
-                raw = [bucket[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                raw = [_some(bucket[i:j], max_features).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(raw, pa.binary())], ["y", "n", "x"])
 
     got = in_arrow(rows, extract, "y int, n long, x binary").toPandas().sort_values(["n", "y"])
@@ -90,6 +91,11 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     return Model(at.astype(np.int32), w[at], float(w[-1]))
 
 
+def _some(bucket: np.ndarray, most: int) -> np.ndarray:
+    """The buckets, or ``most`` of them drawn alike each time."""
+    return bucket if len(bucket) <= most else bucket[np.sort(np.random.default_rng(len(bucket)).permutation(len(bucket))[:most])]
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``key_cols`` and ``score``, from 0 to 1, of every whole text."""
     model = docs.sparkSession.sparkContext.broadcast(model)
