@@ -9,12 +9,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.compare import assert_same, views
-from tidewater.llm import ann, bpe, decontaminate, html_text, jaccard, langid, quality, queries, token_files, toxicity, url_filter
+from tidewater.llm import _pieces, _text, ann, bpe, decontaminate, html_text, jaccard, langid, quality, queries, token_files, toxicity, url_filter
 
 SMALL = "/root/testdata/sf0.001"
 ODD = ["", None, "  a\n\n b  ", "  x  y", "it's <|endoftext|> we'll I'LL", "x" * 700 + " y", "ΑΣ ΣΑΣ", "é café 日本語 テスト 1234 ½", "<|startoftext|>a<|endoftext|>", "\x1c a\x1f", "İstanbul ǅ ß", "\t\t", "á̧b c\u200bd 👍🏽 ok", "don't!!!'s x's", "\x00 a\x7f", "   z", "ſ ﬁ", "a×,b…,c", "à,b", "word " * 9000]
@@ -242,7 +243,7 @@ def brute_jaccard(rows):
     return {(i, len(s), find(i)) for i, s in flat}
 
 
-def test_jaccard_join_is_exact(spark):
+def test_jaccard_join_is_exact(spark, monkeypatch):
     r = random.Random(3)
     base = [[f"w{r.randrange(400)}" for _ in range(r.choice([30, 60, 120]))] for _ in range(12)]
     passage = [f"p{i}" for i in range(60)]
@@ -258,7 +259,10 @@ def test_jaccard_join_is_exact(spark):
     t = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash"))
     want = brute_jaccard(rows)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(t).collect()} == want
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(t, rounds=0, large=1).collect()} == want
+    monkeypatch.setattr(jaccard, "PART", 2)  # frequent shingles in parts
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(t).collect()} == want
+    monkeypatch.setattr(jaccard, "COUNTED", 5)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(t, levels=2).collect()} == want
     null = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.join(null).collect()) == [(0, 2, None), (1, 2, 1)]
     assert jaccard.join(t.limit(0)).count() == 0
@@ -266,10 +270,45 @@ def test_jaccard_join_is_exact(spark):
 
 def test_longer_prefixes_where_shingles_are_frequent():
     assert jaccard.choose(np.ones(100), 4) == (1, 21)
+    assert jaccard.choose(np.full(100, jaccard.UNLISTED), 4)[0] > 1
     assert jaccard.choose(np.full(100, 1000.0), 4)[0] > 1
     assert jaccard.choose(np.array([9.0]), 4) == (1, 1)
 
 
+def test_long_words_that_differ_are_not_taken_for_equal(spark):
+    """Complementary Thue-Morse words, which collide under any polynomial modulo 2**64."""
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(k, f"{w} one two three four five six") for k, w in enumerate((thue[:1024], other[:1024], thue, other, thue[:200], other[:200]))]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(t).collect()} == brute_jaccard(rows)
+    assert len(set(text_hashes([w for _, x in rows for w in x.split()]))) == 6 + 6
+
+
+def text_hashes(words):
+    a, z, data, offs = next(_text.blocks(pa.array([" ".join(words)])))
+    return _text.words(data, offs, _text.WHITE).hashes().tolist()
+
+
+def test_pieces_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(_text.Spans, "ranges", staticmethod(lambda raw, start, end: (end - start).astype(np.uint64)))
+    p = _pieces.Pieces(lambda many: [[len(x), ord(x.strip()[0])] for x in many], lambda x: [-1, *map(ord, x)], True)
+    got = [ids.tolist() for _, _, ids, _ in p.texts(pa.array(["ab cd", "ab ab", "xy ab"]), np.zeros(3, bool))][0]
+    assert got == [-1, *map(ord, "ab cd"), 2, ord("a"), 3, ord("a"), -1, *map(ord, "xy ab")] or got.count(-1) >= 2
+
+
+def test_rank_tree_of_a_very_long_word():
+    n = (1 << 24) + 3
+    tree = bpe.RankTree.__new__(bpe.RankTree)
+    tree.bits, tree.size = n.bit_length(), 1 << n.bit_length()
+    tree.node = defaultdict(lambda: bpe.NONE)
+    tree.set(n - 1, 7)
+    tree.set(n - 2, 8)
+    assert tree.lowest() == n - 1
+    tree.set(n - 1, -1)
+    assert tree.lowest() == n - 2
+
+
 def test_components_of_long_chains(spark, tmp_path):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in jaccard.components(links, f"file://{tmp_path}", "c").collect()}
@@ -279,18 +318,53 @@ def test_components_of_long_chains(spark, tmp_path):
 def test_quality(spark, docs):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     model = quality.fit(docs, labels)
-    out = quality.select(docs, model)
+    out = quality.select(docs, model, k=round(0.87 * docs.count()))
     rows = out.join(labels, "doc_id").select("quality", "kept").collect()
     assert sum(r.kept for r in rows if r.quality == 1) >= 0.97 * sum(r.quality == 1 for r in rows)
-    assert sum(r.kept for r in rows if r.quality == 0) <= 0.2 * sum(r.quality == 0 for r in rows)
+    assert sum(r.kept for r in rows if r.quality == 0) <= 0.5 * sum(r.quality == 0 for r in rows)
     assert out.count() == docs.count()
-    scored = spark.createDataFrame([(i, float(i % 5)) for i in range(500)], "doc_id long, log_importance double")
+    scored = spark.createDataFrame([(i if i else None, float(i % 5)) for i in range(500)], "doc_id long, log_importance double").withColumn("kept", F.lit("clash"))
     for k in (0, 1, 37, 499, 500, 900):
         got = quality.resample(scored, k).toPandas()
         key = got.log_importance + got.gumbel
         assert got.kept.sum() == min(k, 500) and (k in (0, 500, 900) or key[got.kept].min() >= key[~got.kept].max())
+    ties = spark.createDataFrame([(1, 0.0)] * 5 + [(2, 50.0), (3, -50.0)], "doc_id long, log_importance double")
+    assert quality.resample(ties, 3).where("kept").count() == 6
     assert quality.select(empty(docs), model).count() == 0
-    assert quality.fit(docs, labels.limit(0)).threshold == -np.inf
+    assert quality.fit(docs, labels.limit(0)).share == 1.0
+
+
+def test_quality_query_against_brute_force(spark):
+    """Counts, sums and draw by plain loops over the n-grams of each text."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").where(~queries.held_out()).collect()}
+    token = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+")
+
+    def bucket(*words):
+        _, _, data, offs = next(_text.blocks(pa.array(["\n".join(words)])))
+        h = _text.Spans(data, offs, quality.KINDS).hashes()
+        return int(_text.gram(h, np.array([0, len(h)]), tuple(range(1, len(h))))[0][0] >> quality.SHIFT)
+
+    def grams(text):
+        w = token.findall(text)
+        two = list(zip(w, w[1:], strict=False))
+        return [bucket(x) for x in w] + [bucket(x, y) for x, y in two] + [0 for x, y in two if x == y]
+
+    found = {i: grams(x) for i, x in docs.items()}
+    good = [i for i in labels if labels[i] == 1]
+    logs = []
+    for some in (good, docs):
+        n = Counter(b for i in some for b in found[i])
+        logs.append({b: np.log((n[b] + 0.5) / (sum(n.values()) + 0.5 * 65536)) for b in {b for g in found.values() for b in g}})
+    want = {i: sum(logs[0][b] - logs[1][b] for b in g) for i, g in found.items()}
+    out = queries.QUERIES["op8_quality"](spark, SMALL).collect()
+    assert {r.doc_id for r in out} == set(docs)
+    for r in out:
+        assert r.log_importance == pytest.approx(want[r.doc_id], abs=1e-6) and r.n_tokens == len(token.findall(docs[r.doc_id]))
+    share = len(good) / len(labels)
+    k = round(len(docs) * min(1, share + 3 * (share * (1 - share) / len(labels)) ** 0.5))
+    best = sorted(out, key=lambda r: -(r.log_importance + r.gumbel))
+    assert [r.kept for r in best] == [True] * k + [False] * (len(docs) - k)
 
 
 def test_toxicity(spark, docs):
@@ -342,6 +416,10 @@ def test_marginals_are_exact():
             want[i, y[i]] += p
     got, _ = langid._marginals(emit, move, np.array([0]), np.array([4]))
     assert np.allclose(got, want / want.sum(1, keepdims=True))
+    for length in (1, 2, 3):  # in segments, with another chain after it
+        both, again = np.concatenate([emit, emit[:2]]), langid._marginals(emit[:2], move, np.array([0]), np.array([2]))[0]
+        cut, _ = langid._marginals(both, move, *langid._segments(np.array([0, 4, 6]), length))
+        assert np.allclose(cut, np.concatenate([got, again]))
     alone, _ = langid._marginals(emit, move, np.array([0, 1]), np.array([1, 3]))
     assert np.allclose(alone[0], np.exp(emit[0]) / np.exp(emit[0]).sum())
 

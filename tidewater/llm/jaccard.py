@@ -8,15 +8,17 @@ Texts of equal sets are one class, and only classes are joined. All sets are ord
 how often a shingle was counted and then by hash. If two sets of n and m shingles link, they
 share at least T(n) = ceil(0.8 n) of them, so that the prefixes of n - T(n) + l and
 m - T(m) + l shingles share at least l, for any l up to T. Each class chooses its l, from 1
-to ``levels``, by the estimated cost of its candidates: frequent shingles make it lengthen
+to ``levels`` (7 at most), by the estimated cost of its candidates: frequent shingles make it lengthen
 its prefix, and then more of them must be shared before a pair is verified. A pair is held to the
 smaller l of the two, and to prefixes for just its two sizes.
 
 What is asked for are components, not all pairs, so that a large group of similar texts is
-never expanded. In rounds, the classes that share a prefix shingle are first paired with
-a few leaders of the group, pairs are verified, and links make components; a group whose
+never expanded. First the classes that share a prefix shingle are paired with one leader of
+the group, pairs that meet often enough are verified, and links make components; a group whose
 classes are all in one component is done. What is left is joined exactly: every pair of
-classes of different components that shares prefix shingles enough is verified.
+classes of different components that shares prefix shingles enough is verified. A shingle
+that very many texts were counted to have is split into parts by class, each with
+its own leader, and the leaders of the parts are paired with the first of them.
 
 Defined results: an empty or null text has an empty set and links with nothing, its component is
 its own id; rows with a null id get their number of shingles and no component; an id given
@@ -35,12 +37,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import _text as T
+from tidewater.llm._tasks import in_arrow
 from tidewater.runtime import materialize, shared_dir
 
 #: Where the words of texts end.
 WORDS = 5
-#: Shingles whose counts order the sets; beyond these the order is by hash alone, which changes cost, not results.
-COUNTED = 1 << 18
+#: Shingles whose counts order the sets, 10 bytes each in a task; beyond these the order is by hash alone, which changes cost, not results.
+COUNTED = 1 << 20
+#: How often a shingle beyond these is taken to stand: once, but for one in so many.
+UNLISTED = 1.01
+#: Counted texts with a shingle for which its group has one more part.
+PART = 4096
 #: Rows of ids up to which a table of them is broadcast: 16 bytes each, 16 MB.
 BROADCAST = 1_000_000
 
@@ -109,9 +116,9 @@ def choose(counts: np.ndarray, levels: int, verify: float = 16.0) -> tuple[int,
     n = len(counts)
     t = int(needed(n))
     most = max(1, min(levels, t))
-    postings = np.cumsum(counts[: n - t + most] - 1.0)[n - t :]
+    postings = np.cumsum(counts[: n - t + most].astype(np.float64) - 1.0)[n - t :]
     steps = np.arange(1, most + 1)
-    best = int(np.argmin(postings + verify * postings / steps)) if postings[0] > 0 else 0
+    best = int(np.argmin(postings + verify * postings / steps))
     return best + 1, n - t + best + 1
 
 
@@ -120,44 +127,44 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", levels: int = 4, large: int = 32, rounds: int = 2) -> DataFrame:
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", levels: int = 4) -> DataFrame:
     """(id, ``n_shingles``, ``component_id``) per row of the documents; component_id is the smallest id that links reach."""
-    spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
+    path = shared_dir(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    first = materialize(texts.mapInArrow(_first_pass, "doc long, cls long, n long, shingle long, count long"), path, "first")
+    first = materialize(in_arrow(texts, _first_pass, "doc long, cls long, n long, shingle long, count long"), path, "first")
     rows = first.where(F.col("n").isNotNull()).select("doc", "cls", "n")
     members = rows.where((F.col("n") > 0) & F.col("doc").isNotNull())
     counts = first.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "shingle").limit(COUNTED).toPandas()
-    classes = materialize(members.groupBy("cls").agg(F.min("doc").alias("rep"), F.first("n").alias("n")), path, "classes")
+    total = members.count()
+    classes = materialize(members.groupBy("cls").agg(F.min("doc").alias("rep"), F.first("n").alias("n")), path, "classes", total)
 
     shared = _shared_prefixes(texts, members, classes, counts, levels, path)
-    links, seen = _same_id(members, path), None
-    labels = None
-    for k in range(rounds + 1):
-        pairs = _leader_pairs(shared, labels, k) if k < rounds else _rest_pairs(shared, labels, large)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, path, f"pairs{k}")
-        found = materialize(_verify(texts, classes, pairs, path, k), path, f"links{k}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, path, f"round{k}", labels)
-        seen = pairs if seen is None else seen.unionByName(pairs)
+    most = shared.count()
+    links, labels, seen = _same_id(members, path, total), None, None
+    for k, pairs in enumerate((_leader_pairs, _rest_pairs)):
+        pairs = pairs(shared, labels, seen, path, most)
+        found = _verify(texts, classes, pairs, path, k)
+        if k == 0 or found.limit(1).count():
+            links = links.unionByName(found)
+            labels = components(links, path, f"round{k}", labels)
+        seen = pairs
     low = labels.join(classes, labels.node == classes.cls).groupBy("label").agg(F.min("rep").alias("component"))
-    of_class = materialize(labels.join(low, "label").select(F.col("node").alias("cls"), "component"), path, "of_class")
-    out = rows.join(classes.select("cls", "rep"), "cls", "left").join(_bounded(of_class), "cls", "left")
-    component = F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc")))
+    of_class = classes.join(labels.join(low, "label").select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
+    out = rows.join(of_class, "cls", "left")
+    component = F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _same_id(members: DataFrame, path: str) -> DataFrame | None:
+def _same_id(members: DataFrame, path: str, total: int) -> DataFrame:
     """Links between the classes of an id that has several."""
     several = members.groupBy("doc").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where(F.col("a") != F.col("z")).select("doc", "a")
-    links = materialize(members.join(several, "doc").where(F.col("cls") != F.col("a")).select("a", F.col("cls").alias("b")).distinct(), path, "same")
-    return links
+    several = materialize(several, path, "several", total)
+    return members.join(_bounded(several), "doc").where(F.col("cls") != F.col("a")).select("a", F.col("cls").alias("b")).distinct()
 
 
 def _shared_prefixes(texts: DataFrame, members: DataFrame, classes: DataFrame, counts, levels: int, path: str) -> DataFrame:
-    """(shingle, cls, n, at, l, group): prefix shingles that several classes have, their place in the set's order, and how many have them."""
+    """(shingle, part, cls, n, at, l, lead): prefix shingles that several classes have, their place in the set's order, and the leader of the group. Part 0 is of a group with no others."""
+    hot = counts[counts["count"] > PART]
     counts = counts.sort_values("shingle", key=lambda x: x.to_numpy().astype(np.int64).view(np.uint64))
     order_b = texts.sparkSession.sparkContext.broadcast((counts["shingle"].to_numpy(np.int64).view(np.uint64), np.minimum(counts["count"].to_numpy(np.int64), 65_535).astype(np.uint16)))
 
@@ -169,32 +176,56 @@ def _shared_prefixes(texts: DataFrame, members: DataFrame, classes: DataFrame, c
                 n = len(found)
                 if not n or doc is None:
                     continue
-                often = np.ones(n, np.uint16)
+                often = np.full(n, UNLISTED, np.float32)
                 if len(value):
                     at = np.minimum(np.searchsorted(value, found), len(value) - 1)
                     hit = value[at] == found
                     often[hit] = count[at[hit]]
                 order = np.argsort(often, kind="stable")
-                l, p = choose(often[order].astype(np.float64), levels)
+                l, p = choose(often[order], levels)
                 docs.append(doc)
                 cls.append(class_of(found))
-                meta.append(n << 8 | l)
+                meta.append(n << 33 | l)
                 tokens.append(found[order[:p]].view(np.int64))
                 size.append(p)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cls, pa.int64()), pa.array(meta, pa.int64()), lists], ["doc", "cls", "meta", "tokens"])
 
-    made = texts.mapInArrow(run, "doc long, cls long, meta long, tokens array<long>")
-    copies = members.join(classes.select("cls", "rep"), "cls").where(F.col("doc") != F.col("rep")).select("doc", "cls").distinct()
+    made = in_arrow(texts, run, "doc long, cls long, meta long, tokens array<long>")
+    # Of each class its text with the smallest id speaks; the ids of all others are few, or shuffled.
+    reps = classes.select(F.col("rep").alias("doc"), "cls")
+    copies = materialize(members.join(reps, ["doc", "cls"], "left_anti").distinct(), path, "copies", members.count())
     own = made.join(_bounded(copies), ["doc", "cls"], "left_anti")
+    # What is shuffled of each row: the shingle, its part, the class, and n, place and l in one number (30, 30 and 3 bits).
     each = own.select("cls", "meta", F.posexplode("tokens").alias("at", "shingle"))
+    each = each.select("shingle", "cls", F.col("meta").bitwiseOR(F.shiftleft(F.col("at").cast("long"), 3)).alias("meta"))
+    part, split = F.lit(0), F.lit(False)
+    if len(hot):  # at most COUNTED rows
+        parts = texts.sparkSession.createDataFrame(list(zip(hot["shingle"].tolist(), (hot["count"] // PART + 1).tolist(), strict=True)), "shingle long, parts long")
+        each = each.join(F.broadcast(parts), "shingle", "left")
+        part, split = F.coalesce(F.pmod(F.xxhash64("cls"), "parts") + 1, F.lit(0)), F.col("part") > 0
+    each = each.select("shingle", part.cast("int").alias("part"), "cls", "meta")
     # An id given twice with one text would stand in a group twice; such groups are only larger than need be.
-    w = Window.partitionBy("shingle")
-    grouped = each.withColumns({"group": F.count(F.lit(1)).over(w), "least": F.shiftright(F.min("meta").over(w), 8)}).where(F.col("group") > 1)
-    rows = grouped.select("shingle", "cls", F.shiftright("meta", 8).alias("n"), F.col("at").cast("int").alias("at"), F.col("meta").bitwiseAND(F.lit(255)).cast("int").alias("l"), F.col("group").cast("int").alias("group"), "least")
+    w = Window.partitionBy("shingle", "part")
+    lead = F.struct(_at("meta").alias("at"), "cls", "meta")  # the one with the fewest rarer shingles, as what others were copied from has
+    grouped = each.withColumns({"group": F.count(F.lit(1)).over(w), "least": _n(F.min("meta").over(w)), "lead": F.min(lead).over(w)}).where((F.col("group") > 1) | split)
+    whole = F.struct(F.col("lead.cls").alias("cls"), _n("lead.meta").alias("n"), F.col("lead.at").alias("at"), _l("lead.meta").alias("l"))
+    rows = grouped.select("shingle", "part", "cls", _n("meta").alias("n"), _at("meta").alias("at"), _l("meta").alias("l"), whole.alias("lead"), F.when(split, 0).otherwise(F.col("least")).alias("least"))
     return materialize(_useful(rows).drop("least"), path, "shared")
 
 
+def _n(meta: str | Column) -> Column:
+    return F.shiftright(meta, 33)
+
+
+def _at(meta: str | Column) -> Column:
+    return F.shiftright(meta, 3).bitwiseAND(F.lit((1 << 30) - 1)).cast("int")
+
+
+def _l(meta: str | Column) -> Column:
+    return F.col(meta).bitwiseAND(F.lit(7)).cast("int")
+
+
 def _fits(a: str, b: str) -> Column:
     """Whether sets of these sizes may link and, if so, the shingle's places are within the prefixes for just these sizes.
 
@@ -207,66 +238,50 @@ def _fits(a: str, b: str) -> Column:
     return (n * 100 >= m * 80) & (m * 100 >= n * 80) & (F.col(f"{a}.at") < n - least + l) & (F.col(f"{b}.at") < m - least + l)
 
 
-def _open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of groups whose classes are not all in one component, with the component of each."""
-    if labels is None:
-        return shared.withColumn("comp", F.col("cls"))
-    rows = shared.join(_bounded(labels.select(F.col("node").alias("cls"), "label")), "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
-    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least")).where(F.col("x") != F.col("y")).select("shingle", "least")
-    mixed = materialize(mixed, shared_dir(shared.sparkSession), "mixed")
-    return _useful(rows.join(_bounded(mixed), "shingle")).drop("least")
-
-
 def _useful(rows: DataFrame) -> DataFrame:
     """Rows that can still link: with its shingle at this place a set links with ones of at most so many, and the group's least has no more."""
     most = F.floor((F.col("n") - F.col("at") + F.col("l") - 1) * 180 / 80) - F.col("n")
     return rows.where((most >= F.col("least")) & (most * 100 >= F.col("n") * 80))
 
 
-def _pair(rows: DataFrame) -> DataFrame:
-    a, b = F.col("p.cls"), F.col("q.cls")
-    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+def _often(met: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Pairs (a, b) that meet under as many shingles as the smaller l of the two."""
+    each = met.where(_fits("p", "q")).select(a.alias("a"), b.alias("b"), F.least(F.col("p.l"), F.col("q.l")).alias("low"))
+    return each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.max("low").alias("low")).where(F.col("met") >= F.col("low")).select("a", "b")
 
 
-def _leader_pairs(shared: DataFrame, labels: DataFrame | None, k: int) -> DataFrame:
-    """Each class of a group with leaders of it.
-
-    First the one that has the fewest rarer shingles, as what others were copied from has, and
-    then others by a hash, chosen alike in all groups of a round.
-    """
-    rows = _open(shared, labels)
-    row = (F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("comp").alias("comp"), F.col("at").alias("at"), F.col("l").alias("l"))
-    by_hash = F.struct(F.xxhash64(F.lit(k), "cls").alias("o"), *row)
-    by_place = F.struct(F.col("at").cast("long").alias("o"), *row)
-    leaders = rows.groupBy("shingle").agg(F.min(by_place if k == 0 else by_hash).alias("low"), F.max(by_hash).alias("high"))
-    leaders = leaders.select("shingle", F.explode(F.array("low", "high")).alias("q")).select("shingle", "q.cls", "q.n", "q.comp", "q.at", "q.l")
-    met = rows.alias("p").join(leaders.alias("q"), (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")) & _fits("p", "q"))
-    return _pair(met).distinct()
+def _leader_pairs(shared: DataFrame, labels: None, seen: None, path: str, most: int) -> DataFrame:
+    """Each class with leaders of its groups, where it meets one often enough under its lead; what meets less often is left to the rest."""
+    own = shared.select("shingle", F.struct("cls", "n", "at", "l").alias("p"), F.col("lead").alias("q"))
+    parts = shared.where(F.col("part") > 0).select("shingle", "lead").distinct()
+    top = parts.groupBy("shingle").agg(F.min(F.struct("lead.at", "lead.cls", "lead")).alias("top")).select("shingle", F.col("top.lead").alias("q"))
+    met = own.unionByName(parts.join(top, "shingle").select("shingle", F.col("lead").alias("p"), "q")).where(F.col("p.cls") != F.col("q.cls"))
+    return materialize(_often(met, F.col("p.cls"), F.col("q.cls")), path, "pairs0", most)
 
 
-def _rest_pairs(shared: DataFrame, labels: DataFrame | None, large: int) -> DataFrame:
+def _rest_pairs(shared: DataFrame, labels: DataFrame, seen: DataFrame, path: str, most: int) -> DataFrame:
     """Every pair of classes of different components that shares prefix shingles enough.
 
-    A group's commonest component is not joined with itself, so that its size enters once. A pair
-    with a shingle of a small group in common is taken; one with none but those of
-    large groups needs as many as the smaller l of the two.
+    Only groups with several components take part. The component of a group's smallest label, as
+    a rule its largest, is not joined with itself, so that its size enters once.
     """
-    rows = materialize(_open(shared, labels), shared_dir(shared.sparkSession), "open")
-    size = rows.groupBy("shingle", "comp").count()
-    main = size.groupBy("shingle").agg(F.max(F.struct("count", "comp")).alias("m")).select("shingle", F.col("m.comp").alias("main"))
-    marked = rows.join(main, "shingle").withColumn("rest", F.col("comp") != F.col("main"))
-    p, q = marked.where("rest").alias("p"), marked.alias("q")
-    low = F.least(F.col("p.l"), F.col("q.l"))
-    met = p.join(q, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")) & (~F.col("q.rest") | (F.col("p.cls") < F.col("q.cls"))) & _fits("p", "q"))
-    a, b = F.col("p.cls"), F.col("q.cls")
-    each = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(F.col("p.group") <= large, F.lit(255)).otherwise(1).alias("w"), low.alias("low"))
-    return each.groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("low").alias("low")).where(F.col("w") >= F.col("low")).select("a", "b")
+    comp = _bounded(labels.select(F.col("node").alias("cls"), "label"))
+    rows = shared.select("shingle", "cls", "n", "at", "l").join(comp, "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
+    rows = materialize(rows, path, "labelled")
+    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("main"), F.max("comp").alias("z"), F.min("n").alias("least")).where(F.col("main") != F.col("z")).select("shingle", "main", "least")
+    rows = materialize(_useful(rows.join(mixed, "shingle")), path, "open")
+    p, q = rows.where(F.col("comp") != F.col("main")).alias("p"), rows.alias("q")
+    met = p.join(q, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cls") < F.col("q.cls"))))
+    pairs = _often(met, F.least("p.cls", "q.cls"), F.greatest("p.cls", "q.cls"))
+    tried = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialize(pairs.join(_bounded(tried), ["a", "b"], "left_anti"), path, "pairs1")
 
 
 def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, path: str, k: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by their whole sets."""
+    most = pairs.count()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("rep").alias("doc"), "cls")
-    wanted = materialize(wanted, path, f"wanted{k}")
+    wanted = materialize(wanted, path, f"wanted{k}", 2 * most)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,7 +290,7 @@ def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, path: str, k
                 got = [(c, x.tobytes()) for c, x in zip(want[a:z], shingle_sets(data, offs), strict=True) if class_of(x) == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], ["cls", "s"])
 
-    made = materialize(texts.join(_bounded(wanted), "doc").select("doc", "text", "cls").mapInArrow(sets, "cls long, s binary"), path, f"sets{k}")
+    made = materialize(in_arrow(texts.join(_bounded(wanted), "doc").select("doc", "text", "cls"), sets, "cls long, s binary"), path, f"sets{k}")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,7 +303,7 @@ def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, path: str, k
 
     left, right = made.select(F.col("cls").alias("a"), F.col("s").alias("x")), made.select(F.col("cls").alias("b"), F.col("s").alias("y"))
     both = left.join(_bounded(pairs), "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(check, "a long, b long").distinct()
+    return materialize(in_arrow(both, check, "a long, b long").distinct(), path, f"links{k}", most)
 
 
 def components(links: DataFrame, path: str, name: str, labels: DataFrame | None = None) -> DataFrame:
@@ -297,19 +312,20 @@ def components(links: DataFrame, path: str, name: str, labels: DataFrame | None
     Each round takes the least label among a node's neighbours and then the label of that
     label; each is written and read again, which ends its lineage.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), path, f"{name}-links")
-    nodes = both.select(F.col("a").alias("node")).distinct()
-    now = nodes.withColumn("label", F.col("node"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    most = 2 * links.count()
+    both = materialize(both, path, f"{name}-links", most)
+    now = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label"))
     if labels is not None:
-        now = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    now, k = materialize(now, path, f"{name}-0"), 0
+        now = now.join(labels.withColumnRenamed("label", "had"), "node", "left").select("node", F.least("label", F.coalesce("had", "label")).alias("label"))
+    now, k = materialize(now, path, f"{name}-0", most), 0
     while True:
         k += 1
         least = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = now.join(least, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         far = now.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = new.join(far, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        new = materialize(new, path, f"{name}-{k}")
+        new = materialize(new, path, f"{name}-{k}", most)
         changed = new.where(F.col("label") != F.col("old")).limit(1).count()
         now = new.select("node", "label")
         if not changed:
