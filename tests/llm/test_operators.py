@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +128,30 @@ def test_html_text(spark):
     assert html_text.extract(rows.limit(0), model).count() == 0
 
 
+def test_html_text_of_broken_markup():
+    model = html_text.fit()
+    say = lambda x: html_text.text_of(x, model)
+    assert say("<html><head><title>t</title><body><article><p>kept text of the page</p></article>") == "kept text of the page"
+    assert say("<head><meta charset=x><p>also kept") == say("<head>also kept") == "also kept"
+    assert say('<article><p>one <a href="x"">two</a> three</p><p title="q">four</p></article>') == "one two three\nfour"
+    assert say("<article><p>hello <![CDATA[world wide") == "hello world wide"
+    assert say("<article><p>a <![CDATA[b]]> c") == "a b c"
+    assert say("<article><select><option>x<option>y<p>after it") == "after it"
+    deep = html_text.parse("<p><a href='#'><b><i><em><span><u>all of it is linked</u></span></em></i></b></a>")
+    assert [x.features[1] for x in deep if x.tag == "#"] == ["links:all"]
+
+
+def test_html_parsing_takes_time_in_proportion():
+    def seconds(n):
+        page = "<article>" + "<b>x<p>y<li>z</i>" * n
+        began = time.process_time()
+        html_text.parse(page)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(16_000) < 12 * max(0.05, seconds(4_000))
+
+
 def test_html_text_of_styles_not_fitted_on():
     model = html_text.fit()
     right = total = 0
@@ -160,14 +186,48 @@ def test_url_filter(spark):
     rule, verdict = url_filter.fixed(host, path, queries.URL_RULES)
     got = {r.page_id: (r.h, r.p, r.r, r.v) for r in rows.select("page_id", host.alias("h"), path.alias("p"), rule.alias("r"), verdict.alias("v")).collect()}
     assert got == {0: ("a.example.net", "/en/x", "example.net/en/", "allow"), 1: ("example.net", "/de/", "net/", "block"), 2: ("b.example.com", "/de/1", "example.com/de/", "block"), 3: ("x.org", "/fr/", "org/fr/", "allow"), 4: ("x.org", "/fr", None, None), 5: ("", "", None, None), 6: ("", "", None, None), 7: ("h", "", None, None), 8: ("b:", "//c/d", None, None), 9: ("notexample.com", "/de/", None, None), 10: ("www.casino-win.example.com", "/en/9", None, None)}
-    known = spark.createDataFrame([(f"http://{'casino' if i % 4 == 0 else 'site'}{'' if i % 8 else '-x'}.example.com/p{i % 3}/{i}", "block" if i % 4 == 0 else "allow") for i in range(200)], "url string, label string")
-    mined = url_filter.mine(known)
-    assert ("w:casino",) in mined and not any("w:site" in r for r in mined)
-    said = {r.page_id: r.mined for r in url_filter.judge(rows, mined).collect()}
-    assert said[10] == "w:casino" and said[0] is None and said[6] is None
-    assert url_filter.mine(known.limit(0)) == [] and url_filter.judge(rows.limit(0), mined).count() == 0
-    out = queries.QUERIES["op5_url_filter"](spark, SMALL)
-    assert out.count() == spark.read.parquet(f"{SMALL}/pages.parquet").count() and {r.verdict for r in out.select("verdict").distinct().collect()} <= {"allow", "block"}
+    assert url_filter.mine(rows.limit(0).select("url", F.lit("block").alias("label"))) == []
+
+
+def test_mined_rules_are_those_of_brute_force(spark):
+    r = random.Random(6)
+    known = []
+    for i in range(400):
+        name, top, folder = r.choice(["win", "news", "shop"]), r.choice(["com", "net"]), r.choice(["a", "b"])
+        bad = name == "win" or top == "net" and folder == "b"
+        known.append((f"http://{name}.example.{top}/{folder}/{i}", ("block" if bad != (r.random() < 0.03) else "allow")))
+    known += [("http://h.org/x?" + "&".join(f"q{k}=1" for k in range(24)), "block")] * 12  # each subset of 24 names would be a rule
+    table = spark.createDataFrame(known, "url string, label string")
+    mined = url_filter.mine(table)
+    sets = [(frozenset(x.t), x.label == "block") for x in table.select(url_filter.tokens(F.col("url")).alias("t"), "label").collect()]
+    where = defaultdict(set)
+    for i, (t, _) in enumerate(sets):
+        for x in t:
+            where[x].add(i)
+    first = {}
+    for x in sorted(where):
+        first.setdefault(frozenset(where[x]), x)
+    speak = set(first.values())
+    want = []
+    for size in range(1, 6):
+        for c in sorted({c for t, _ in sets for c in combinations(sorted(t & speak), size)}):
+            held = [y for t, y in sets if t.issuperset(c)]
+            if sum(held) >= 8 and sum(held) >= 0.9 * len(held) and not any(set(w) < set(c) for w in want):
+                want.append(c)
+    assert set(mined) == set(want) and ("h:win",) in mined and any(len(c) == 2 for c in mined)
+    asked = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(known)] + [(9_000, None), (9_001, "x"), (9_002, "https://my-win.de")], "page_id long, url string").withColumn("mined", F.lit("clash"))
+    said = {r.page_id: r.mined for r in url_filter.judge(asked, mined).collect()}
+    assert all((said[i] is not None) == any(t.issuperset(c) for c in want) for i, (t, _) in enumerate(sets)) and said[9_000] is said[9_001] is None
+
+
+def test_url_query_judges_by_rules_and_then_by_mined_ones(spark):
+    out = queries.QUERIES["op5_url_filter"](spark, "/root/testdata/sf0.01").toPandas()
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").toPandas().merge(out, on="page_id")
+    fixed = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    assert len(pages) == len(out)
+    for r in pages.itertuples():
+        fits = [(len(h + p), h + p, v) for h, p, v in fixed if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "allow" if r.mined is None else "block"))
 
 
 def test_neighbours_against_brute_force_where_the_shortlist_is_a_small_share(spark, tmp_path):

@@ -11,7 +11,7 @@ Text whose marginal is at least one half is content. White space in a block beco
 space, blocks stand in page order with a line break between.
 
 Defined results: a null or empty page has an empty text; markup that is cut off or not closed
-is read as far as it goes; a page of plain text is all content; repeated rows give equal
+is read as far as it goes, a head ends where a page's body must have begun, controls end at a block; a page of plain text is all content; repeated rows give equal
 texts; an empty table gives an empty result; other columns of the input are not read.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -36,22 +37,29 @@ HIDDEN = frozenset("script style template noscript head title iframe object svg
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+#: Controls that a block ends.
+CONTROLS = ("select", "datalist", "button", "option")
 #: What an opening tag closes, if it is open within the nearest of ``SCOPE``.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table html body div section article main aside nav header footer form".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+#: A quote opens a string only after an equals sign.
+MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))?|[^>=])*+)(?:>|$)", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s>]+))", re.I)
+ENDS = {t: re.compile(f"</{t}\\s*>", re.I) for t in RAW}
 SPACE = re.compile(r"\s+")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("block", "children", "features", "parent", "tag", "text")
+    __slots__ = ("block", "children", "features", "linked", "parent", "tag", "text")
 
     def __init__(self, tag: str, parent: Node | None, features: list[str], text: str = "", block: int = 0):
         self.tag, self.parent, self.features, self.text, self.block = tag, parent, features, text, block
         self.children: list[Node] = []
+        self.linked = tag == "a" or parent is not None and parent.linked
         if parent is not None:
             parent.children.append(self)
 
@@ -61,10 +69,14 @@ def parse(page: str) -> list[Node]:
     root = Node("#root", None, [])
     nodes, at, top, block = [root], 0, root, 0
     end = len(page)
+    open_: dict[str, list[Node]] = defaultdict(list)  # open elements of each tag, the innermost last
+    depth, scopes = {id(root): 0}, [0]  # how deep each open element stands, and those of SCOPE
 
     def say(a: int, z: int) -> None:
         text = page[a:z]
         if text and not text.isspace():
+            if open_["head"] and top is open_["head"][-1]:
+                close(top.parent)
             text = unescape(text) if "&" in text else text
             nodes.append(Node("#", top, [], text, block))
         elif text:
@@ -76,9 +88,20 @@ def parse(page: str) -> list[Node]:
         while x is not to:
             if x.tag in BLOCK:
                 block += 1
+            if x.tag in SCOPE:
+                scopes.pop()
+            open_[x.tag].pop()
+            del depth[id(x)]
             x = x.parent
         top = to
 
+    def within(tag: str) -> list[Node]:
+        """Open elements of the tag inside the nearest scope."""
+        found, k = open_[tag], len(open_[tag])
+        while k and depth[id(found[k - 1])] > scopes[-1]:
+            k -= 1
+        return found[k:]
+
     while at < end:
         m = MARKUP.search(page, at)
         if m is None:
@@ -89,42 +112,45 @@ def parse(page: str) -> list[Node]:
         tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                say(m.start() + 9, m.end() - 3)
+                say(m.start() + 9, m.end() - 3 * m[0].endswith("]]>"))
             continue
         tag = tag.lower()
         if m[1]:
-            x = top
-            while x is not None and x.tag != tag:
-                x = x.parent
-            if x is not None:
-                close(x.parent)
-                if tag in BLOCK:
-                    block += 1
-            elif tag in BLOCK:
+            if open_[tag]:
+                close(open_[tag][-1].parent)
+            if tag in BLOCK:
                 block += 1
             continue
+        if open_["head"] and tag not in IN_HEAD:
+            close(open_["head"][-1].parent)
         if tag in RAW:
-            z = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
+            z = ENDS[tag].search(page, at)
             at = z.end() if z else end
             continue
         if tag == "br":
             nodes.append(Node("# ", top, [], " ", block))
             continue
+        closes = CLOSES.get(tag, ())
         if tag in BLOCK:
             block += 1
-            x = top
-            while x is not root and x.tag not in SCOPE:
-                if x.tag == "p" or x.tag in CLOSES.get(tag, ()):
-                    close(x.parent)
-                    break
-                x = x.parent
-        for x in _open(top, CLOSES.get(tag, ()), root):
-            close(x.parent)
+            for t in CONTROLS:
+                if open_[t]:
+                    close(open_[t][0].parent)
+            inner = [x[-1] for t in ("p", *closes) if (x := within(t))]
+            if inner:
+                close(max(inner, key=lambda x: depth[id(x)]).parent)
+        outer = [x[0] for t in closes if (x := within(t))]
+        if outer:
+            close(min(outer, key=lambda x: depth[id(x)]).parent)
         if tag in VOID:
             continue
         made = Node(tag, top, _named(tag, m[3]))
         nodes.append(made)
         if not m[3].endswith("/") or tag in BLOCK:
+            depth[id(made)] = depth[id(top)] + 1
+            open_[tag].append(made)
+            if tag in SCOPE:
+                scopes.append(depth[id(made)])
             top = made
     return _measured(_shown(nodes))
 
@@ -138,23 +164,13 @@ def _measured(nodes: list[Node]) -> list[Node]:
             first.setdefault(x.block, x)
             n = size.setdefault(x.block, [0, 0])
             n[0] += len(x.text)
-            n[1] += len(x.text) * _inside(x.parent, "a")
+            n[1] += len(x.text) * x.linked
     for b, x in first.items():
         n, linked = size[b]
         x.features = [f"length:{min(6, n.bit_length() // 2)}", "links:all" if linked > 0.8 * n else "links:some" if linked else "links:none"]
     return nodes
 
 
-def _open(top: Node, tags, root: Node) -> list[Node]:
-    """The outermost of these tags that is open within the nearest scope."""
-    found, x = None, top
-    while tags and x is not root and x.tag not in SCOPE:
-        if x.tag in tags:
-            found = x
-        x = x.parent
-    return [found] if found else []
-
-
 def _shown(nodes: list[Node]) -> list[Node]:
     hidden: set[int] = set()
     out = []
@@ -166,16 +182,6 @@ def _shown(nodes: list[Node]) -> list[Node]:
     return out
 
 
-def _inside(node: Node, tag: str) -> bool:
-    for _ in range(4):
-        if node is None:
-            return False
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
 def _named(tag: str, rest: str) -> list[str]:
     """An element's features: its tag, and the words in its class, id and role."""
     out = [f"tag:{tag}"] if tag in BLOCK else []

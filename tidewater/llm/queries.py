@@ -54,15 +54,14 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed rules of the URL filter: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Words in hosts by which URLs without a fixed rule are labelled for mining.
-URL_HINTS = ("spam", "pills", "casino", "bets", "ads")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
     rule, verdict = url_filter.fixed(host, path, URL_RULES)
-    mined = url_filter.mine(pages.where(rule.isNull() & F.col("url").isNotNull()).select("url", url_filter.hinted(F.col("url"), URL_HINTS).alias("label")))
+    # What is known are the verdicts of the fixed rules; what these URLs have in common judges all others.
+    mined = url_filter.mine(pages.where(verdict.isNotNull()).select("url", verdict.alias("label")))
     out = url_filter.judge(pages, mined, key_cols=("page_id", "url"))
     own = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "mined")

@@ -3,8 +3,10 @@
 A URL's tokens are its host's labels and their parts, the first folder of its path, the path's
 ending, and the names in its query. From labelled URLs, FP-growth mines the sets of
 tokens that come with a label; rules of enough support and confidence are kept, and of
-these only such as hold no shorter one. An inverted index from each rule's rarest token to
-the rule finds those whose tokens a URL has: with one, it is blocked.
+these only such as hold no shorter one. Tokens that are rules by themselves, and all but one of
+tokens that stand in just the same URLs, are counted before and don't enter the mining: no minimal rule
+needs them, and copies of a URL with many names would else have every subset of these as a rule. An
+inverted index from each rule's rarest token to the rule finds those whose tokens a URL has: with one, it is blocked.
 
 Fixed rules (host, path, verdict) go first: a rule fits its host and all subdomains where
 the URL's path starts with the rule's, and the longest that fits wins.
@@ -16,8 +18,10 @@ other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -25,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm._tasks import in_arrow
+from tidewater.runtime import materialize, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,26 +72,44 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(*[marked(*x) for x in kinds]))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", block: str = "block", min_count: int = 8, min_support: float = 0.0005, min_confidence: float = 0.9, max_rules: int = 2000, common: float = 0.5) -> list[tuple[str, ...]]:
-    """Token sets that imply ``block``, shortest first, at most ``max_rules`` of the highest support.
+def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", block: str = "block", min_count: int = 8, min_support: float = 0.0005, min_confidence: float = 0.9) -> list[tuple[str, ...]]:
+    """Token sets that imply ``block``, shortest first and then by support: all minimal ones that stand in at least
+    ``min_count`` blocked URLs and a share of ``min_support`` of all, ``min_confidence`` of them blocked.
 
-    Tokens in more than ``common`` of the labelled URLs tell nothing and are left out. Only
-    the rules reach the driver.
+    Of tokens that stand in just the same URLs the first by name speaks for all. Only tokens of that support,
+    and rules, reach the driver.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(tokens(F.col(url_col)).alias("t"), F.col(label_col).alias("y"))
+    rows = labelled.where(F.col(label_col).isNotNull()).select(F.monotonically_increasing_id().alias("id"), tokens(F.col(url_col)).alias("t"), (F.col(label_col) == block).alias("y"), F.xxhash64(url_col).alias("h"))
     n = rows.count()
     if not n:
         return []
-    usual = [r.x for r in rows.select(F.explode("t").alias("x")).groupBy("x").count().where(F.col("count") > common * n).collect()]
-    kept = F.array_except("t", F.array(*map(F.lit, usual)).cast("array<string>"))
-    items = rows.select(F.when(F.col("y") == block, F.concat(kept, F.array(F.lit("label")))).otherwise(kept).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where(F.array_contains("consequent", "label")).select(F.array_sort("antecedent").alias("a"), "support")
-    out: list[tuple[str, ...]] = []
-    single: set[frozenset] = set()
-    for r in rules.orderBy(F.size("a"), F.desc("support"), "a").limit(max_rules).collect():
-        if not any(s <= set(r.a) for s in single):
-            single.add(frozenset(r.a))
+    need = max(min_count, math.ceil(min_support * n))
+    each = rows.select("id", F.explode("t").alias("x"), F.col("y").cast("long").alias("y"), "h")
+    places = [F.sum(F.shiftright("h", k).bitwiseAND(F.lit((1 << 30) - 1))) for k in (0, 30)]  # of equal URLs, equal sums
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b"), F.array(*places).alias("places")).where(F.col("b") >= need)
+    found = sorted(often.collect(), key=lambda r: r.x)
+    single = sorted((r for r in found if r.b >= min_confidence * r.n), key=lambda r: (-r.b, r.x))
+    first: dict = {}
+    for r in found:
+        first.setdefault((r.n, *r.places), r)
+    alone = {r.x for r in single}
+    out = [(r.x,) for r in single if first[(r.n, *r.places)].x == r.x]
+    left = [(r.x,) for r in first.values() if r.x not in alone]
+    if len(left) < 2:
+        return out
+    kept = each.join(F.broadcast(labelled.sparkSession.createDataFrame(left, "x string")), "x")
+    items = kept.groupBy("id").agg(F.collect_set("x").alias("items"), F.max("y").alias("y")).select(F.when(F.col("y") == 1, F.concat("items", F.array(F.lit("label")))).otherwise(F.col("items")).alias("items"))
+    items = materialize(items, shared_dir(labelled.sparkSession), "items")
+    total = items.count()
+    if not total:
+        return out
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (need - 0.5) / total), minConfidence=min_confidence).fit(items)
+    rules = model.associationRules.where((F.size("consequent") == 1) & F.array_contains("consequent", "label")).select(F.array_sort("antecedent").alias("a"), "support")
+    minimal: dict[frozenset, float] = {}
+    for r in sorted(rules.collect(), key=lambda r: (len(r.a), -r.support, r.a)):
+        own = frozenset(r.a)
+        if not any(frozenset(s) in minimal for k in range(1, len(r.a)) for s in combinations(r.a, k)):
+            minimal[own] = r.support
             out.append(tuple(r.a))
     return out
 
@@ -109,8 +132,3 @@ def judge(urls: DataFrame, rules: list[tuple[str, ...]], url_col: str = "url", k
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.string())], schema.names)
 
     return in_arrow(urls.select(tokens(F.col(url_col)).alias("_tokens"), *key_cols), run, schema)
-
-
-def hinted(url: Column, words: tuple[str, ...]) -> Column:
-    """Label of a URL by words of its host: block with any of them, else allow. For fits only."""
-    return F.when(F.arrays_overlap(F.split(host(url), r"[.\-]"), F.array(*map(F.lit, words))), "block").otherwise("allow")
