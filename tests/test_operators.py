@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.database import Database
 from tidewater.functions import scalars
-from tidewater.operators import crdt, documents, hooks, kv, migrate, mutate, search
+from tidewater.operators import crdt, documents, hooks, joins, kv, migrate, mutate, search
 from tidewater.schema import Field, Relation, TableDef, split_tag, to_snake_case
 from tidewater.sources.tables import VersionedTable, documents as read_documents, fixtures
 from tidewater.streaming import state, transforms
@@ -268,3 +268,90 @@ def test_streaming_fold_and_presence(spark, tmp_path):
     q.awaitTermination(180)
     got = {(r.node, r.event) for r in spark.table("presence").collect()}
     assert ("a", "join") in got and ("b", "join") in got and ("a", "leave") in got
+
+
+def test_writes_meet_row_filters_defaults_and_required_fields(db, spark):
+    db.hooks.add(hooks.RowFilter("tenant = 2"), tables=("users",))
+    assert db.update("users", {"name": "'x'"}, "id < 9").count() == 2
+    assert {r.id: r.name for r in db.raw_rows("users").collect()} == {1: "Ann", 2: "Bob", 3: "x", 4: "x"}
+    db.delete("users", "id <= 3", force=True)
+    assert ids(db.raw_rows("users")) == [1, 2, 4]
+    kept = db.frames["users"]
+    with pytest.raises(Exception, match="may not be written"):
+        db.insert("users", spark.createDataFrame([(9, "Eve", None, 1)], "id long, name string, deleted string, tenant int")).collect()
+    db.frames["users"] = kept
+    with pytest.raises(Exception, match="may not be written"):
+        db.insert("users", spark.createDataFrame([(None, "Eve", None, 2)], "id long, name string, deleted string, tenant int")).collect()
+    db.frames["users"] = kept
+    hidden = spark.createDataFrame([(1, "taken over", None, 2), (4, "Dan", None, 2), (5, "new", None, 2)], "id long, name string, deleted string, tenant int")
+    assert ids(db.upsert("users", hidden)) == [4, 5]
+    assert {r.id: r.name for r in db.raw_rows("users").collect()} == {1: "Ann", 2: "Bob", 4: "Dan", 5: "new"}
+
+
+def test_a_hook_may_refuse_a_mutation_and_others_see_it(db):
+    class ReadOnly:
+        def before_mutation(self, ctx):
+            raise hooks.Denied(ctx.operation)
+
+    log = hooks.Audit()
+    db.hooks.add(log)
+    db.update("posts", {"title": "'z'"}, "id > 11")
+    assert [tuple(r) for r in log.entries().collect()] == [("update", "posts", 2)]
+    db.hooks.add(ReadOnly(), tables=("posts",))
+    for change in (lambda: db.update("posts", {"title": "'z'"}), lambda: db.delete("posts")):
+        with pytest.raises(hooks.Denied):
+            change()
+
+
+def test_masks_hold_under_any_name(db, spark):
+    db.hooks.add(hooks.Mask({"name": "'***'"}), tables=("users",))
+    assert {r.x for r in db.select("users").column_expr("name AS x").df().collect()} == {"***"}
+    assert {r.name for r in db.sql("SELECT name FROM {users}").collect()} == {"***"}
+    assert db.select("posts").join("JOIN", "users", "p.user_id = u.id").column("u.name").df().distinct().collect()[0].name == "***"
+
+
+def test_one_row_for_each_conflicting_key(spark):
+    table = spark.createDataFrame([(1, "a")], "id long, v string")
+    new = spark.createDataFrame([(2, "x", 1), (2, "b", 2), (1, "y", 1), (1, "c", 5), (None, "n", 1), (None, "n", 1)], "id long, v string, seq int")
+    got = lambda out: sorted((r.id or 0, r.v) for r in out.collect())
+    assert got(mutate.upsert(table, new, ["id"], order="seq")[0]) == [(0, "n"), (0, "n"), (1, "c"), (2, "b")]
+    assert got(mutate.upsert(table, new, ["id"], nothing=True)[0]) == [(0, "n"), (0, "n"), (1, "a"), (2, "x")]
+    store = spark.createDataFrame([("k", "1", None)], "k string, v string, expires_at timestamp")
+    twice = spark.createDataFrame([("k", "2", None), ("k", "3", None), ("j", "4", None), ("j", "5", None)], "k string, v string, expires_at timestamp")
+    assert sorted((r.k, r.v) for r in kv.put(store, twice, "nx").collect()) == [("j", "5"), ("k", "1")]
+    assert sorted((r.k, r.v) for r in kv.put(store, twice).collect()) == [("j", "5"), ("k", "3")]
+
+
+def test_first_rows_are_known_by_their_key(spark):
+    rows = spark.createDataFrame([(i, i // 4, "v") for i in range(12)], "id long, rank int, v string")
+    after, hit = mutate.update(rows, {"v": "'w'"}, "id > 0", [F.col("rank")], 2, ["id"])
+    assert ids(hit) == [1, 2] and ids(after.where("v = 'w'")) == [1, 2]
+    assert ids(mutate.delete(rows, None, order=[F.desc("rank")], limit=1, key=["id"])[1]) == [8]
+    assert ids(documents.update(rows, {"rank": 1}, {"$set": {"v": "w"}}, key=["id"]).where("v = 'w'")) == [4]
+    maps = rows.withColumn("m", F.create_map("v", "id"))
+    assert ids(documents.delete(maps, {"rank": 1}, order=["rank"], key=["id"])) == [0, 1, 2, 3, 5, 6, 7, 8, 9, 10, 11]
+
+
+def test_asof_against_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    left = [(i, r.randrange(3), r.choice([None, *range(40)])) for i in range(120)]
+    right = [(i, r.randrange(3), r.randrange(40)) for i in range(60)]
+    a = spark.createDataFrame(left, "id long, k int, t long")
+    b = spark.createDataFrame(right, "rid long, k int, t long")
+    for width in (1, 7, 1000):
+        got = {x.id: x.rid for x in joins.asof(a, b, ["k"], "t", ["rid"], "rid", width).collect()}
+        want = {i: max(((u, j) for j, q, u in right if q == k and t is not None and u <= t), default=(0, None))[1] for i, k, t in left}
+        assert got == want
+
+
+def test_ranks_and_counters_and_compare_and_set(spark):
+    scores = spark.createDataFrame([(m, float(s)) for m, s in zip("abcdef", [5, 9, 9, 1, 5, 7], strict=True)], "member string, score double")
+    assert {r.member: r["rank"] for r in kv.leaderboard(scores).collect()} == {"b": 1, "c": 1, "f": 3, "a": 4, "e": 4, "d": 6}
+    store = spark.createDataFrame([("a", "1", None), ("b", "x", None)], "k string, v string, expires_at timestamp")
+    new = spark.createDataFrame([("a", "2", None, "1"), ("b", "y", None, "z"), ("c", "n", None, None), ("d", "n", None, "o")], "k string, v string, expires_at timestamp, expected string")
+    after, won = kv.compare_and_set(store, new)
+    assert sorted((r.k, r.v) for r in after.collect()) == [("a", "2"), ("b", "x"), ("c", "n")] and sorted(r.k for r in won.collect()) == ["a", "c"]
+    moves = spark.createDataFrame([("r", n, leave, i) for i, (n, leave) in enumerate([("x", False), ("y", False), ("z", False), ("x", True), ("z", False), ("q", True)])] + [("s", "x", False, 0)], "room string, node string, leave boolean, seq int")
+    assert [r.admitted for r in state.admissions(moves, 2).where("room = 'r'").orderBy("seq").collect()] == [True, True, False, True, True, False]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.operators import mutate
 from tidewater.operators.hooks import Context, Engine
 from tidewater.schema import TableDef
 
@@ -37,6 +40,59 @@ class Database:
             df = df.where(F.col(sd).isNull())
         return self.hooks.scan(Context(operation, name), df)
 
+    # Mutations. Each gives the affected rows, as RETURNING does, and the table's rows are from then on those after it.
+    def _allowed(self, name: str, operation: str) -> Column:
+        """Which rows every hook lets the operation change; a hook may refuse it altogether."""
+        filters = self.hooks.filters(Context(operation, name), "before_mutation")
+        return F.coalesce(reduce(Column.__and__, [F.expr(f"({f})") for f in filters], F.lit(True)), F.lit(False))
+
+    def _done(self, name: str, operation: str, after: DataFrame, affected: DataFrame) -> DataFrame:
+        self.frames[name] = after
+        self.hooks.mutated(Context(operation, name), affected)
+        return affected
+
+    def _checked(self, name: str, operation: str, rows: DataFrame) -> DataFrame:
+        """New rows as they may be written: with defaults; one without a required field, or that the hooks' filters don't let through, fails the job."""
+        t = self.table(name)
+        for f in t.fields:
+            if f.flags.get("default") and f.name in rows.columns:
+                rows = rows.withColumn(f.name, F.coalesce(f.name, F.expr(f.flags["default"])).cast(rows.schema[f.name].dataType))
+        need = [f.name for f in t.fields if f.name in rows.columns and ("notnull" in f.flags or "pk" in f.flags)]
+        ok = reduce(Column.__and__, [F.col(c).isNotNull() for c in need], self._allowed(name, operation))
+        return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(f"a row may not be written to {name}")).cast("boolean")))
+
+    def insert(self, name: str, new: DataFrame) -> DataFrame:
+        t, stored = self.table(name), self.raw_rows(name)
+        defaults = {f.name: f.flags["default"] for f in t.fields if f.flags.get("default")}
+        number = next((f.name for f in t.fields if "autoincrement" in f.flags and f.name not in new.columns), None)
+        _, rows = mutate.insert(stored, new, defaults, number)
+        rows = self._checked(name, "insert", rows)
+        return self._done(name, "insert", stored.unionByName(rows), rows)
+
+    def upsert(self, name: str, new: DataFrame, update: dict[str, str] | None = None, nothing: bool = False, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
+        """On a conflict of the key (or ``keys``): nothing, or the columns set; rows that the hooks hide are not changed."""
+        stored, ok = self.raw_rows(name), self._allowed(name, "upsert")
+        keys = keys or self.table(name).pk
+        own, hidden = stored.where(ok), stored.where(~ok)
+        new = self._checked(name, "upsert", new).join(hidden.select(*keys), keys, "left_anti")
+        after, affected = mutate.upsert(own, new, keys, update, nothing, order)
+        return self._done(name, "upsert", after.unionByName(hidden), affected)
+
+    def update(self, name: str, changes: dict[str, str | Column], where: str | Column | None = None, order: list[Column] | None = None, limit: int = 0) -> DataFrame:
+        after, affected = mutate.update(self.raw_rows(name), changes, self._where(name, "update", where), order, limit, self.table(name).pk or None)
+        return self._done(name, "update", after, affected)
+
+    def delete(self, name: str, where: str | Column | None = None, force: bool = False, order: list[Column] | None = None, limit: int = 0, now: Column | None = None) -> DataFrame:
+        """Softly where the table has a column for that, unless forced."""
+        t = self.table(name)
+        after, affected = mutate.delete(self.raw_rows(name), self._where(name, "delete", where, force), None if force else t.soft_delete, order, limit, now, t.pk or None)
+        return self._done(name, "delete", after, affected)
+
+    def _where(self, name: str, operation: str, where: str | Column | None, deleted: bool = False) -> Column:
+        sd = self.table(name).soft_delete
+        c = mutate._cond(where) & self._allowed(name, operation)
+        return c & F.col(sd).isNull() if sd and not deleted else c
+
     def select(self, name: str | None = None, frame: DataFrame | None = None, alias: str | None = None):
         from tidewater.operators.select import Select
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators import relations
+from tidewater.operators import mutate, relations
 
 
 def match(spec: dict) -> Column:
@@ -144,27 +144,27 @@ def pipeline(df: DataFrame, stages: list[dict], tables: dict[str, DataFrame] | N
     return df
 
 
-def update(df: DataFrame, spec: dict, changes: dict, many: bool = False, order: list[str] | None = None) -> DataFrame:
-    """All documents, those that match changed: $set, $inc, $mul, $unset, $push, $min, $max. Only the first in order unless many."""
-    hit = match(spec)
+def _first(df: DataFrame, spec: dict, order: list[str] | None, key: list[str] | None) -> DataFrame:
+    """The documents with ``_hit``: the first match by ``order`` and the unique ``key`` (all of a document where there is none)."""
+    return mutate._marked(df, match(spec), [F.col(c) for c in order or []], 1, key or order)
+
+
+def update(df: DataFrame, spec: dict, changes: dict, many: bool = False, order: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
+    """All documents, those that match changed: $set, $inc, $mul, $unset, $push, $min, $max. Only the first in order, known by a unique key, unless many."""
+    hit = F.coalesce(match(spec), F.lit(False))
     if not many:
-        key = order or df.columns
-        first = df.where(hit).select(F.min(F.struct(*key)).alias("_k"))
-        df = df.crossJoin(F.broadcast(first))  # one row
-        hit = F.coalesce(hit & F.struct(*key).eqNullSafe(F.col("_k")), F.lit(False))
+        df, hit = _first(df, spec, order, key), F.col("_hit")
     new: dict[str, Column] = {}
     for op, fields in changes.items():
         for k, v in fields.items():
             c = F.col(k) if k in df.columns else F.lit(None)
             made = {"$set": lambda v=v: F.lit(v), "$inc": lambda c=c, v=v: F.coalesce(c, F.lit(0)) + F.lit(v), "$mul": lambda c=c, v=v: F.coalesce(c, F.lit(0)) * F.lit(v), "$unset": lambda: F.lit(None), "$push": lambda c=c, v=v: F.array_append(c, F.lit(v)), "$min": lambda c=c, v=v: F.least(c, F.lit(v)), "$max": lambda c=c, v=v: F.greatest(c, F.lit(v))}[op]()
             new[k] = F.when(hit, made).otherwise(c)
-    return df.withColumns(new).drop("_k")
+    return df.withColumns(new).drop("_hit")
 
 
-def delete(df: DataFrame, spec: dict, many: bool = False, order: list[str] | None = None) -> DataFrame:
-    """The documents that stay; without ``many`` only the first match in order goes."""
+def delete(df: DataFrame, spec: dict, many: bool = False, order: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
+    """The documents that stay; without ``many`` only the first match in order, known by a unique key, goes."""
     if many:
-        return df.where(~match(spec))
-    key = order or df.columns
-    hits = df.where(match(spec)).withColumn("_n", F.row_number().over(Window.orderBy(*key))).where(F.col("_n") == 1).drop("_n")
-    return df.exceptAll(hits)
+        return df.where(~F.coalesce(match(spec), F.lit(False)))
+    return _first(df, spec, order, key).where(~F.col("_hit")).drop("_hit")

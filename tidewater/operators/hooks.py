@@ -2,8 +2,8 @@
 
 A hook is an object with any of these methods, each of which gets the context first:
 ``before_query`` and ``before_mutation`` return None (allow), a string or list of strings
-(filters, SQL, all of which rows must meet) or raise ``Denied``; ``after_query`` returns the
-result that callers get; ``after_mutation`` sees the affected rows.
+(filters, SQL, all of which rows must meet) or raise ``Denied``; ``at_scan`` returns the rows that
+all of a query works on; ``after_query`` returns the result that callers get; ``after_mutation`` sees the affected rows.
 """
 
 from __future__ import annotations
@@ -49,9 +49,11 @@ class Engine:
         return out
 
     def scan(self, ctx: Context, df: DataFrame) -> DataFrame:
-        """The rows that every matching hook lets through, whatever else the query says."""
+        """The rows that every matching hook lets through, as it lets them be seen, whatever else the query says."""
         for f in self.filters(ctx):
             df = df.where(F.expr(f))
+        for f in self._for(ctx, "at_scan"):
+            df = f(ctx, df)
         return df
 
     def result(self, ctx: Context, df: DataFrame) -> DataFrame:
@@ -77,12 +79,12 @@ class RowFilter:
 
 
 class Mask:
-    """Replaces columns of results by expressions of themselves."""
+    """Replaces columns by expressions of themselves where a table is scanned: no alias, group, join, relation or raw query shows the others."""
 
     def __init__(self, columns: dict[str, str]):
         self.columns = columns
 
-    def after_query(self, ctx: Context, df: DataFrame) -> DataFrame:
+    def at_scan(self, ctx: Context, df: DataFrame) -> DataFrame:
         return df.withColumns({c: F.expr(e) for c, e in self.columns.items() if c in df.columns})
 
 

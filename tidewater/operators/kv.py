@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.mutate import one_per_key
+from tidewater.streaming.transforms import before
+
 COLUMNS = ("k", "v", "expires_at")
 
 
@@ -23,14 +26,17 @@ def mget(store: DataFrame, keys: DataFrame | list[str], now: Column | None = Non
     return rows.where(F.col("k").isin(keys)) if isinstance(keys, list) else rows.join(keys.select("k").distinct(), "k", "left_semi")
 
 
-def exists(store: DataFrame, keys: list[str], now: Column | None = None) -> DataFrame:
+def exists(store: DataFrame, keys: DataFrame | list[str], now: Column | None = None) -> DataFrame:
     return mget(store, keys, now).agg(F.count_distinct("k").alias("n"))
 
 
-def put(store: DataFrame, new: DataFrame, only: str | None = None, now: Column | None = None) -> DataFrame:
-    """The store after writing: all, those not there (``nx``), or those there (``xx``)."""
+def put(store: DataFrame, new: DataFrame, only: str | None = None, now: Column | None = None, order: str | None = None) -> DataFrame:
+    """The store after writing: all, those not there (``nx``), or those there (``xx``).
+
+    Of new entries of one key that which is largest by ``order``, and then by value, counts.
+    """
     kept = live(store, now)
-    new = new.select(*COLUMNS)
+    new = one_per_key(new.select(*COLUMNS, *([order] if order else [])), ["k"], order).select(*COLUMNS)
     if only == "nx":
         return kept.unionByName(new.join(kept.select("k"), "k", "left_anti").select(*COLUMNS))
     if only == "xx":
@@ -47,8 +53,39 @@ def ttl(store: DataFrame, now: Column) -> DataFrame:
     return live(store, now).select("k", (F.unix_micros(F.col("expires_at").cast("timestamp")) / 1e6 - F.unix_micros(now.cast("timestamp")) / 1e6).alias("seconds"))
 
 
-def expire(store: DataFrame, keys: list[str], at: Column) -> DataFrame:
-    return store.withColumn("expires_at", F.when(F.col("k").isin(keys), at).otherwise(F.col("expires_at")))
+def expire(store: DataFrame, keys: DataFrame | list[str], at: Column) -> DataFrame:
+    """The entries of the keys, a list or a table (k) of any size, end at a time."""
+    if isinstance(keys, list):
+        return store.withColumn("expires_at", F.when(F.col("k").isin(keys), at).otherwise(F.col("expires_at")))
+    marked = store.join(keys.select("k").distinct().withColumn("_hit", F.lit(True)), "k", "left")
+    return marked.withColumn("expires_at", F.when(F.col("_hit"), at).otherwise(F.col("expires_at"))).select(*store.columns)
+
+
+def compare_and_set(store: DataFrame, new: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the store after, the keys written) for rows (k, v, expires_at, expected): a row writes only where the entry's value is as expected, null for no entry.
+
+    Of rows of one key the largest by value is the one tried.
+    """
+    kept = live(store, now)
+    tried = one_per_key(new.select(*COLUMNS, "expected"), ["k"]).alias("n").join(kept.select("k", F.col("v").alias("_v")), "k", "left")
+    won = tried.where(F.col("_v").eqNullSafe(F.col("expected"))).select(*COLUMNS)
+    return kept.join(won.select("k"), "k", "left_anti").select(*COLUMNS).unionByName(won), won.select("k")
+
+
+def increment(store: DataFrame, deltas: DataFrame, now: Column | None = None) -> DataFrame:
+    """The store after adding deltas (k, n) to counters kept as text; an absent one starts from 0, and times to live stay."""
+    kept = live(store, now)
+    total = deltas.groupBy("k").agg(F.sum("n").alias("_n"))
+    both = kept.join(total, "k", "full")
+    return both.select("k", F.when(F.col("_n").isNull(), F.col("v")).otherwise((F.coalesce(F.col("v").cast("long"), F.lit(0)) + F.col("_n")).cast("string")).alias("v"), "expires_at")
+
+
+def update_items(items: DataFrame, key: list[str], changes: DataFrame, condition: str | None = None, **assign: str) -> DataFrame:
+    """Items with assignments, SQL over ``item.`` and ``change.``, where a row of ``changes`` has the key and the condition holds; one row of changes a key."""
+    one = one_per_key(changes, key).withColumn("_hit", F.lit(True))
+    both = items.alias("item").join(one.alias("change"), [F.col(f"item.{k}").eqNullSafe(F.col(f"change.{k}")) for k in key], "left")
+    hit = F.col("change._hit") & (F.coalesce(F.expr(condition), F.lit(False)) if condition else F.lit(True))
+    return both.select(*[F.when(hit, F.expr(assign[c])).otherwise(F.col(f"item.{c}")).cast(items.schema[c].dataType).alias(c) if c in assign else F.col(f"item.{c}") for c in items.columns])
 
 
 def scan(store: DataFrame, glob: str, now: Column | None = None) -> DataFrame:
@@ -84,12 +121,11 @@ def query(items: DataFrame, key: str | Column, sort: str, after=None, limit: int
 def leaderboard(scores: DataFrame, order: str | None = None) -> DataFrame:
     """(member, score, rank): last score of each member by ``order``; equal scores share the better rank.
 
-    Ranks need only the number of members with each score, so that the sort is of distinct scores.
+    Ranks need only the number of members with each score, so that the sort, by ranges, is of distinct scores.
     """
     rows = scores.groupBy("member").agg(F.max_by("score", order).alias("score")) if order else scores.select("member", "score")
     per = rows.groupBy("score").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = per.select("score", (before + 1).cast("long").alias("rank"))
+    ranks = before(per, "_n", F.desc("score")).select("score", (F.col("_b") + 1).cast("long").alias("rank"))
     return rows.join(ranks, "score").select("member", "score", "rank")
 
 

@@ -99,9 +99,9 @@ def es_count(spark, d):
     return search.Search(_t(spark, d, "events")).term("event_type", "purchase").range("value", gte=10).count()
 
 
-@query("es_highlight", "SELECT p_partkey, regexp_replace(p_type, '\\b(STANDARD|PROMO)\\b', '<em>\\1</em>', 'gi') AS p_type_highlight FROM part WHERE p_partkey <= 50")
+@query("es_highlight", "SELECT p_partkey, regexp_replace(p_type, '\\b(STANDARD|PROMO)\\b', '<em>\\1</em>', 'gi') AS p_type_highlight FROM part")
 def es_highlight(spark, d):
-    return search.Search(_t(spark, d, "part").where("p_partkey <= 50")).highlight("p_type", "standard promo").page(0, -1).source("p_partkey").df()
+    return search.Search(_t(spark, d, "part")).highlight("p_type", "standard promo").page(0, -1).source("p_partkey").df()
 
 
 @query("es_terms", "SELECT event_type AS key, count(*) AS doc_count, round(avg(value), 4) AS mean FROM events GROUP BY event_type ORDER BY doc_count DESC, key LIMIT 10")
@@ -110,10 +110,10 @@ def es_terms(spark, d):
 
 
 @query("es_date_histogram", """
-WITH k AS (SELECT date_trunc('hour', ts) AS h FROM events WHERE user_id = 3), b AS (SELECT h, count(*) AS n FROM k GROUP BY h)
+WITH k AS (SELECT date_trunc('hour', ts) AS h FROM events), b AS (SELECT h, count(*) AS n FROM k GROUP BY h)
 SELECT s.h AS key, coalesce(b.n, 0) AS doc_count FROM (SELECT unnest(generate_series((SELECT min(h) FROM k), (SELECT max(h) FROM k), INTERVAL 1 HOUR)) AS h) s LEFT JOIN b ON b.h = s.h""")
 def es_dates(spark, d):
-    return search.date_histogram(_t(spark, d, "events").where("user_id = 3"), "ts", "hour")
+    return search.date_histogram(_t(spark, d, "events"), "ts", "hour")
 
 
 @query("es_cardinality", "SELECT count(DISTINCT user_id) AS users, round(sum(value), 2) AS total, max(value) AS top FROM events")
@@ -313,10 +313,10 @@ def kv_range(spark, d):
 
 for _mode in (None, "nx", "xx"):
     @query(f"kv_set{'_' + _mode if _mode else ''}", f"""
-WITH s AS (SELECT k, v FROM {_LIVE}), n AS (SELECT '1:' || c_custkey AS k, c_name AS v FROM customer WHERE c_custkey <= 300)
+WITH s AS (SELECT k, v FROM {_LIVE}), n AS (SELECT '1:' || c_custkey AS k, c_name AS v FROM customer)
 """ + {None: "SELECT k, v FROM n UNION ALL SELECT k, v FROM s WHERE k NOT IN (SELECT k FROM n)", "nx": "SELECT k, v FROM s UNION ALL SELECT k, v FROM n WHERE k NOT IN (SELECT k FROM s)", "xx": "SELECT k, v FROM n WHERE k IN (SELECT k FROM s) UNION ALL SELECT k, v FROM s WHERE k NOT IN (SELECT k FROM n)"}[_mode])
     def kv_set(spark, d, mode=_mode):
-        new = _t(spark, d, "customer").where("c_custkey <= 300").select(F.concat(F.lit("1:"), F.col("c_custkey")).alias("k"), F.col("c_name").alias("v"), F.lit(None).cast("timestamp").alias("expires_at"))
+        new = _t(spark, d, "customer").select(F.concat(F.lit("1:"), F.col("c_custkey")).alias("k"), F.col("c_name").alias("v"), F.lit(None).cast("timestamp").alias("expires_at"))
         return kv.put(_store(spark, d), new, mode, _now()).select("k", "v")
 
 
@@ -325,10 +325,36 @@ def kv_ttl(spark, d):
     return kv.ttl(_store(spark, d), _now()).withColumn("seconds", F.round("seconds", 6))
 
 
-@query("kv_exists_delete", f"SELECT count(*) AS n FROM {_LIVE} WHERE k LIKE '%:7' AND k <> '1:7'")
+@query("kv_exists_delete", f"SELECT count(*) AS n FROM {_LIVE} WHERE k LIKE '%7' AND k <> '1:7'")
 def kv_exists(spark, d):
-    store = kv.remove(_store(spark, d), ["1:7"])
-    return kv.live(store, _now()).where(F.col("k").like("%:7")).agg(F.count(F.lit(1)).alias("n"))
+    store = _store(spark, d)
+    asked = store.where(F.col("k").like("%7")).select("k").unionAll(store.limit(0).select("k"))
+    return kv.exists(kv.remove(store, ["1:7"]), asked, _now())
+
+
+@query("kv_get", f"SELECT k, v FROM {_LIVE} WHERE k = '3:3' OR k = (SELECT min(k) FROM {_LIVE})")
+def kv_get(spark, d):
+    store = _store(spark, d)
+    first = kv.live(store, _now()).agg(F.min("k")).first()[0]
+    return kv.get(store, first, _now()).unionByName(kv.get(store, "3:3", _now())).select("k", "v").distinct()
+
+
+@query("kv_compare_and_set", f"""
+WITH s AS (SELECT k, v FROM {_LIVE}), n AS (SELECT user_id || ':' || event_id AS k, 'new' AS v, CASE WHEN event_id % 2 = 0 THEN props ELSE 'other' END AS expected FROM events UNION ALL SELECT 'fresh', 'new', NULL),
+w AS (SELECT n.k, n.v FROM n LEFT JOIN s ON s.k = n.k WHERE n.expected IS NOT DISTINCT FROM s.v) SELECT k, v FROM w UNION ALL SELECT k, v FROM s WHERE k NOT IN (SELECT k FROM w)""")
+def kv_cas(spark, d):
+    """Entries whose value is as expected get a new one; one expected to be absent is made."""
+    store = _store(spark, d)
+    new = _t(spark, d, "events").select(F.concat_ws(":", "user_id", "event_id").alias("k"), F.lit("new").alias("v"), F.lit(None).cast("timestamp").alias("expires_at"), F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("other").alias("expected"))
+    fresh = spark.createDataFrame([("fresh", "new", None, None)], "k string, v string, expires_at timestamp, expected string")
+    return kv.compare_and_set(store, new.unionByName(fresh), _now())[0].select("k", "v")
+
+
+@query("kv_update_items", "SELECT c_custkey, CASE WHEN t IS NOT NULL AND c_acctbal >= 0 THEN c_acctbal + t ELSE c_acctbal END AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def kv_update_items(spark, d):
+    """An update expression with a condition, for each item that a change names."""
+    changes = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("t"))
+    return kv.update_items(_t(spark, d, "customer"), ["c_custkey"], changes, "item.c_acctbal >= 0", c_acctbal="item.c_acctbal + change.t").select("c_custkey", "c_acctbal")
 
 
 @query("kv_query_page", "SELECT event_id, value FROM (SELECT * FROM events WHERE user_id = 5 AND event_id > 100 ORDER BY event_id LIMIT 30) WHERE value > 20")
@@ -359,7 +385,9 @@ def ratelimit_sliding(spark, d):
 
 @query("plug_counter", "SELECT event_type, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS n FROM events GROUP BY event_type")
 def plug_counter(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(F.sum(F.round("value").cast("long")).alias("n"))
+    store = spark.createDataFrame([("view", "0", None)], "k string, v string, expires_at timestamp")
+    deltas = _t(spark, d, "events").select(F.col("event_type").alias("k"), F.round("value").cast("long").alias("n"))
+    return kv.increment(store, deltas, _now()).select(F.col("k").alias("event_type"), F.col("v").cast("long").alias("n"))
 
 
 @query("plug_queue", "SELECT event_id AS id FROM events WHERE event_type = 'signup' AND event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 50000) ORDER BY ts, event_id LIMIT 10")

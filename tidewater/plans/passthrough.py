@@ -102,7 +102,7 @@ def unwind_group(spark, d):
 @query("kv_expire", "SELECT count(*) AS n FROM events WHERE user_id <> 1")
 def kv_expire(spark, d):
     store = _t(spark, d, "events").select(F.concat_ws(":", "user_id", "event_id").alias("k"), F.col("props").alias("v"), F.lit(None).cast("timestamp").alias("expires_at"))
-    keys = [r.k for r in store.where("k like '1:%'").collect()]
+    keys = store.where("k like '1:%'").select("k")
     past = F.lit("2000-01-01 00:00:00").cast("timestamp")
     return kv.live(kv.expire(store, keys, past), F.lit("2024-01-01 00:00:00").cast("timestamp")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.runtime import shared_dir
+
 
 class VersionedTable:
     """A folder of whole versions; a mutation writes the next one, and readers see the largest number that is complete.
@@ -48,8 +50,10 @@ def fixtures(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a JSON file ``[{"table": name, "records": [...]}]``; columns are inferred for each table by itself."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<table:string,records:array<variant>>>").alias("t"))
     rows = raw.select(F.explode("t").alias("t")).select("t.table", F.explode("t.records").alias("r")).select("table", F.to_json("r").alias("j"))
+    folder = f"{shared_dir(spark)}/fixtures"
+    rows.write.partitionBy("table").text(folder)  # one pass; each table's lines are then read as JSON by themselves
     names = [r.table for r in rows.select("table").distinct().collect()]
-    return {n: spark.read.json(rows.where(F.col("table") == n).select("j").rdd.map(lambda r: r.j)) for n in names}
+    return {n: spark.read.json(f"{folder}/table={n}") for n in names}
 
 
 def cursor(df: DataFrame) -> Iterator:
@@ -59,7 +63,8 @@ def cursor(df: DataFrame) -> Iterator:
 
 def documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(JSON lines that fit a schema, the lines that don't)."""
-    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
     return rows.where(F.col("_bad").isNull()).drop("_bad"), rows.where(F.col("_bad").isNotNull()).select("_bad")
 
 

@@ -53,23 +53,28 @@ def presence_stream(updates: DataFrame, seconds: int = 30) -> DataFrame:
 def admissions(moves: DataFrame, capacity: int) -> DataFrame:
     """Moves (room, node, leave, seq) with ``admitted``: a node is let in while fewer than ``capacity`` are inside.
 
-    Who is inside depends on all who came before: a room's moves are taken in order by one task.
+    Who is inside depends on all who came before: a room's moves go through one task in order, which sorts on
+    disk if it must and keeps just those inside, ``capacity`` at most.
     """
     schema = moves.select("room", "node", "leave", "seq").schema.add("admitted", "boolean", False)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group, inside, out = group.sort_values("seq"), set(), []
-        for node, leave in zip(group["node"], group["leave"], strict=True):
-            if leave:
-                out.append(node in inside)
-                inside.discard(node)
-            else:
-                out.append(node in inside or len(inside) < capacity)
-                if out[-1]:
-                    inside.add(node)
-        return group.assign(admitted=out)[schema.names]
-
-    return moves.select("room", "node", "leave", "seq").groupBy("room").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room, inside = object(), set()
+        for b in batches:
+            out = []
+            for at, node, leave in zip(b["room"], b["node"], b["leave"], strict=True):
+                if at != room:
+                    room, inside = at, set()
+                if leave:
+                    out.append(node in inside)
+                    inside.discard(node)
+                else:
+                    out.append(node in inside or len(inside) < capacity)
+                    if out[-1]:
+                        inside.add(node)
+            yield b.assign(admitted=out)[schema.names]
+
+    return moves.select("room", "node", "leave", "seq").repartition("room").sortWithinPartitions("room", "seq").mapInPandas(run, schema)
 
 
 def notify(stream: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], checkpoint: str, channel: str = "channel"):

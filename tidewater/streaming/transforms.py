@@ -42,6 +42,16 @@ def number(df: DataFrame, *order: str) -> DataFrame:
     return local.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("_n", F.col("_l") + F.col("_b")).drop("_p", "_q", "_l", "_b")
 
 
+def before(df: DataFrame, amount: str, *order) -> DataFrame:
+    """Adds ``_b``: the sum of ``amount`` over all rows before each in order, by range partitions as in ``number``."""
+    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    rows = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.withColumn("_l", F.coalesce(F.sum(amount).over(rows), F.lit(0)))
+    size = parts.groupBy("_p").agg(F.sum(amount).alias("_s"))
+    ahead = size.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_a"))
+    return local.join(F.broadcast(ahead), F.col("_p") == F.col("_q")).withColumn("_b", F.col("_l") + F.col("_a")).drop("_p", "_q", "_l", "_a")
+
+
 def fold(df: DataFrame, initial: Any, step: Callable[[Any, Any], Any], *order: str) -> Any:
     """A fold that needs its order, on the driver, a partition at a time; for what no aggregate expresses."""
     for row in df.orderBy(*order).toLocalIterator(prefetchPartitions=True):
