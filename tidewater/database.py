@@ -40,6 +40,21 @@ class Database:
             df = df.where(F.col(sd).isNull())
         return self.hooks.scan(Context(operation, name), df)
 
+    def create(self, table: TableDef, folder: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+        """An empty table of the definition's types and flags; with a folder, stored there as Parquet, partitioned."""
+        empty = self.spark.createDataFrame([], table.struct())
+        if folder is not None:
+            w = empty.write.mode("errorifexists")
+            (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{folder}/{table.name}")
+            empty = self.spark.read.schema(table.struct()).parquet(f"{folder}/{table.name}")
+        self.register(table, empty)
+        return empty
+
+    def drop(self, name: str) -> None:
+        """Forget a table; stored files stay."""
+        self.tables.pop(name, None)
+        self.frames.pop(name, None)
+
     # Mutations. Each gives the affected rows, as RETURNING does, and the table's rows are from then on those after it.
     def _allowed(self, name: str, operation: str) -> Column:
         """Which rows every hook lets the operation change; a hook may refuse it altogether."""

@@ -79,6 +79,22 @@ def set_remove(tags: DataFrame, ops: DataFrame, keys: tuple[str, ...] = ("pk", "
     return seen.select(*keys, "node", "hlc").distinct()
 
 
+def list_insert(ops: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> DataFrame:
+    """List nodes that operations (keys, after, hlc, value) add: each right after a node, or at the head where ``after`` is null."""
+    return ops.select(*keys, F.col("hlc").alias("id"), F.col("after").alias("parent"), "value", F.lit(False).alias("tombstone"))
+
+
+def list_delete(nodes: DataFrame, ops: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> DataFrame:
+    """Tombstones that operations (keys, id) add; one for a node that there is not adds none."""
+    return list_merge(nodes, keys).join(ops.select(*keys, "id").distinct(), [*keys, "id"], "left_semi").select(*keys, "id", "parent", "value", F.lit(True).alias("tombstone"))
+
+
+def list_move(nodes: DataFrame, ops: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> DataFrame:
+    """Nodes that operations (keys, id, after, hlc) add: a tombstone at the old place, and the value under a new id at the new one."""
+    known = list_merge(nodes, keys).select(*keys, "id", "value")
+    return list_delete(nodes, ops, keys).unionByName(list_insert(ops.join(known, [*keys, "id"]), keys))
+
+
 def list_merge(nodes: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> DataFrame:
     """One row per list node; once a tombstone, always one."""
     return nodes.groupBy(*keys, "id").agg(F.min("parent").alias("parent"), F.min("value").alias("value"), F.bool_or("tombstone").alias("tombstone"))
@@ -143,6 +159,23 @@ def document_json(fields: DataFrame, keys: tuple[str, ...] = ("pk", "field")) ->
     return fields.groupBy(*keys).applyInPandas(build, schema)
 
 
+def merge_fields(log: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> tuple[DataFrame, DataFrame]:
+    """(keys, crdt_type, value) of a log whose rows carry their field's type, each merged by its own rules, and the keys in conflict.
+
+    lww rows have hlc and value; counter rows node, inc and dec; set rows elem, node, hlc and set_op (add, or remove
+    with the removed tag's node and hlc). A set has a row per element. A field written under two types is in
+    conflict and has no value.
+    """
+    kinds = log.groupBy(*keys).agg(F.min("crdt_type").alias("_a"), F.max("crdt_type").alias("_z"))
+    conflicts = kinds.where(F.col("_a") != F.col("_z")).select(*keys)
+    good = log.join(kinds.where(F.col("_a") == F.col("_z")).select(*keys), [*keys], "left_semi")
+    of = lambda kind: good.where(F.col("crdt_type") == kind)
+    single = latest(of("lww"), keys).select(*keys, F.lit("lww").alias("crdt_type"), "value")
+    counted = counter(of("counter"), keys).select(*keys, F.lit("counter").alias("crdt_type"), F.col("value").cast("string").alias("value"))
+    elements = set_elements(of("set").where("set_op = 'add'"), of("set").where("set_op = 'remove'"), keys).select(*keys, F.lit("set").alias("crdt_type"), F.col("elem").alias("value"))
+    return single.unionByName(counted).unionByName(elements), conflicts
+
+
 def record_state(log: DataFrame, at: Column | None = None) -> DataFrame:
     """(pk, field, value) of records that are not deleted, from all of the log or from what was written up to a clock."""
     log = log.where(F.col("hlc") <= at) if at is not None else log
@@ -181,6 +214,26 @@ def sync(*logs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def exchange(local: DataFrame, remote: DataFrame, hooks: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """Both logs after an exchange that the local side's hooks watch over.
+
+    A hook may have ``before_inbound`` and ``before_outbound``, which get the changes that come or go and return
+    those that pass, changed or left out, or raise to stop the exchange; and ``after_inbound``, which sees what came.
+    """
+    coming, going = remote.join(local, _CHANGE, "left_anti"), local.join(remote, _CHANGE, "left_anti")
+    for h in hooks:
+        coming = h.before_inbound(coming) if hasattr(h, "before_inbound") else coming
+        going = h.before_outbound(going) if hasattr(h, "before_outbound") else going
+    for h in hooks:
+        if hasattr(h, "after_inbound"):
+            h.after_inbound(coming)
+    return sync(local, coming), sync(remote, going)
+
+
+#: What tells one change from another.
+_CHANGE = ["tbl", "pk", "field", "hlc"]
+
+
 def sync_filter(log: DataFrame, pks: list | None = None, fields: list[str] | None = None) -> DataFrame:
     """Changes of some keys and fields; tombstones of a whole record pass any filter of fields."""
     if pks is not None:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import crdt, documents, kv, migrate, search
 from tidewater.plans.registry import query
-from tidewater.streaming import transforms
+from tidewater.runtime import shared_dir
+from tidewater.sources.tables import stream
+from tidewater.streaming import state, transforms
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -247,6 +249,98 @@ def crdt_list(spark, d):
     return crdt.list_order(c).select("pk", "pos", F.col("id.ts").alias("turn"))
 
 
+_CHAIN = """SELECT DISTINCT conv_id AS pk, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM generate_series(CAST(0 AS BIGINT), c.turn) g(i) WHERE g.i NOT IN (SELECT turn FROM conversations x WHERE x.conv_id = c.conv_id))"""
+
+
+@query("crdt_list_edit", f"""
+WITH base AS ({_CHAIN}), edited AS (SELECT pk, turn, turn * 2.0 AS place FROM base WHERE turn NOT IN (1, 2) UNION ALL SELECT DISTINCT conv_id, 1000000, -1.0 FROM conversations
+UNION ALL SELECT DISTINCT conv_id, 2000000, 0.5 FROM conversations WHERE turn = 2 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0))
+SELECT pk, row_number() OVER (PARTITION BY pk ORDER BY place) AS pos, turn FROM edited""")
+def crdt_list_edit(spark, d):
+    """In each list: a new head, the second element deleted, and the third moved to right after the first."""
+    at = lambda ts: crdt.hlc(F.lit(ts) if isinstance(ts, int) else ts, F.lit(0), F.lit("n"))
+    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("pk"), F.lit("turns").alias("field"), at(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, at(F.col("turn") - 1)).alias("parent"), F.col("text").alias("value"), F.lit(False).alias("tombstone"))
+    lists = c.select("pk", "field").distinct()
+    head = crdt.list_insert(lists.select("pk", "field", F.lit(None).cast(c.schema["id"].dataType).alias("after"), at(1_000_000).alias("hlc"), F.lit("new").alias("value")))
+    gone = crdt.list_delete(c, lists.withColumn("id", at(1)))
+    moved = crdt.list_move(c, lists.withColumns({"id": at(2), "after": at(0), "hlc": at(2_000_000)}))
+    nodes = c.unionByName(head).unionByName(gone).unionByName(moved)
+    return crdt.list_order(nodes).select("pk", "pos", F.col("id.ts").alias("turn"))
+
+
+@query("crdt_merge_fields", """
+SELECT user_id AS pk, event_type AS field, 'lww' AS crdt_type, arg_max(props, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2
+UNION ALL SELECT user_id, event_type, 'counter', CAST(CAST(sum(event_id % 7) - sum(event_id % 3) AS BIGINT) AS VARCHAR) FROM events WHERE event_type = 'purchase' GROUP BY 1, 2
+UNION ALL SELECT DISTINCT user_id, event_type, 'set', CAST(event_id % 11 AS VARCHAR) FROM events WHERE event_type = 'click' AND event_id % 2 = 0""")
+def crdt_merge_fields(spark, d):
+    """Each field by the rules of its type; those under two types are left out."""
+    e, kind = _t(spark, d, "events"), F.col("event_type")
+    typed = F.when(kind == "view", "lww").when(kind == "purchase", "counter").when(kind == "click", "set").otherwise(F.when(F.col("event_id") % 2 == 0, "lww").otherwise("counter"))
+    log = e.select(F.col("user_id").alias("pk"), kind.alias("field"), typed.alias("crdt_type"), crdt.hlc(F.col("event_id"), F.lit(0), F.lit("n")).alias("hlc"), F.col("event_id").cast("string").alias("node"), F.col("props").alias("value"), (F.col("event_id") % 7).alias("inc"), (F.col("event_id") % 3).alias("dec"), F.lit("add").alias("set_op"), (F.col("event_id") % 11).cast("string").alias("elem"))
+    removed = log.where("crdt_type = 'set' AND hlc.ts % 2 = 1").withColumn("set_op", F.lit("remove"))
+    merged, _ = crdt.merge_fields(log.unionByName(removed))
+    return merged.where(F.col("field").isin("view", "purchase", "click"))
+
+
+@query("crdt_field_conflicts", "SELECT user_id AS pk, event_type AS field FROM events GROUP BY 1, 2 HAVING min(event_id % 2) <> max(event_id % 2)")
+def crdt_conflicts(spark, d):
+    """Fields written under two types."""
+    e = _t(spark, d, "events")
+    log = e.select(F.col("user_id").alias("pk"), F.col("event_type").alias("field"), F.when(F.col("event_id") % 2 == 0, "lww").otherwise("counter").alias("crdt_type"), crdt.hlc(F.col("event_id"), F.lit(0), F.lit("n")).alias("hlc"), F.lit("n").alias("node"), F.col("props").alias("value"), F.lit(1).alias("inc"), F.lit(0).alias("dec"), F.lit("add").alias("set_op"), F.lit("e").alias("elem"))
+    return crdt.merge_fields(log)[1]
+
+
+class _NoPurchases:
+    """Lets no purchase in, and nothing of odd records out."""
+
+    def before_inbound(self, changes):
+        return changes.where("field <> 'purchase'")
+
+    def before_outbound(self, changes):
+        return changes.where("pk % 2 = 0")
+
+
+@query("crdt_sync_hooks", """
+SELECT 'local' AS side, count(*) AS n FROM events WHERE event_id % 2 = 0 OR event_type <> 'purchase'
+UNION ALL SELECT 'remote', count(*) FROM events WHERE event_id % 2 = 1 OR user_id % 2 = 0""")
+def crdt_sync_hooks(spark, d):
+    """What each side holds after an exchange in which the local one's hooks refuse some changes either way."""
+    log = _log(spark, d).withColumn("tombstone", F.lit(False))
+    log = log.withColumn("field", F.coalesce("field", F.lit("error"))).withColumn("tbl", F.lit("events"))
+    sides = crdt.exchange(log.where("hlc.c % 2 = 0"), log.where("hlc.c % 2 = 1"), (_NoPurchases(),))
+    counts = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("side"), "n") for name, x in zip(("local", "remote"), sides, strict=True)]
+    return counts[0].unionByName(counts[1])
+
+
+@query("crdt_clean_tombstones", "SELECT count(*) AS n FROM events WHERE NOT (event_type = 'error' AND ts < TIMESTAMP '2024-01-15')")
+def crdt_clean(spark, d):
+    """The log without tombstones from before a time."""
+    before = spark.sql("SELECT unix_micros(TIMESTAMP '2024-01-15 00:00:00') AS t").first().t
+    return crdt.clean_tombstones(_log(spark, d), before).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("crdt_document_json", """
+SELECT user_id AS pk, CAST(json_object('last', json_object(event_type, CAST(max(event_id) AS VARCHAR))) AS VARCHAR) AS doc FROM events WHERE event_type = 'view' GROUP BY user_id, event_type""")
+def crdt_json(spark, d):
+    """Nested documents of paths."""
+    e = _t(spark, d, "events").where("event_type = 'view'")
+    facts = e.select(F.col("user_id").alias("pk"), F.lit("doc").alias("field"), F.concat(F.lit("last."), "event_type").alias("path"), crdt.hlc(F.col("event_id"), F.lit(0), F.lit("n")).alias("hlc"), F.col("event_id").cast("string").alias("value"), F.lit(False).alias("tombstone"))
+    docs = crdt.document_json(crdt.document_fields(facts))
+    return docs.select("pk", F.regexp_replace("doc", ": ", ":").alias("doc"))
+
+
+@query("st_change_stream", "SELECT user_id, event_type, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id, event_type")
+def st_change_stream(spark, d):
+    """A stream of new files, folded batch by batch, and the folds folded once more."""
+    path = shared_dir(spark)
+    _t(spark, d, "events").select("event_id", "user_id", "event_type").repartition(3).write.parquet(f"{path}/in")
+    changes = stream(spark, f"{path}/in", "event_id long, user_id long, event_type string", 1)
+    fold = lambda b: b.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
+    state.fold_batches(changes, f"{path}/out", fold, f"{path}/checkpoint").awaitTermination()
+    parts = spark.read.parquet(f"{path}/out")
+    return parts.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.sum("n").cast("long").alias("n"))
+
+
 @query("crdt_sync", "SELECT count(*) AS n, count(DISTINCT user_id) AS records FROM events")
 def crdt_sync(spark, d):
     log = _log(spark, d)
