@@ -329,10 +329,11 @@ def test_jaccard_join_is_exact(spark, monkeypatch):
         if i % 7 == 0:
             w = passage + w[: r.choice([3, 8, 12, 15])]
         rows.append((i, " ".join(w).upper() if i % 11 == 0 else " ".join(w)))
-    rows += [(500, ""), (501, None), (502, "a b"), (503, "A  B\n"), (504, "x"), (505, "a b c d e"), (3, rows[3][1]), (7, "other text of the same id as another one")]
+    rows += [(500, ""), (501, None), (502, "a b"), (503, "A  B\n"), (504, "x"), (505, "a b c d e"), (3, rows[3][1]), (600, rows[5][1]), (601, rows[5][1]), (7, "other text of the same id as another one")]
     t = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash"))
     want = brute_jaccard(rows)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(t).collect()} == want
+    monkeypatch.setattr(jaccard, "CROWD", 1)
     monkeypatch.setattr(jaccard, "PART", 2)  # frequent shingles in parts
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(t).collect()} == want
     monkeypatch.setattr(jaccard, "COUNTED", 5)

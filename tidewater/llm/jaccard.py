@@ -48,6 +48,8 @@ COUNTED = 1 << 20
 UNLISTED = 1.01
 #: Counted texts with a shingle for which its group has one more part.
 PART = 4096
+#: Texts of a class above which its component is sent to them.
+CROWD = 1000
 #: Rows of ids up to which a table of them is broadcast: 16 bytes each, 16 MB.
 BROADCAST = 1_000_000
 
@@ -136,7 +138,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", levels
     members = rows.where((F.col("n") > 0) & F.col("doc").isNotNull())
     counts = first.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "shingle").limit(COUNTED).toPandas()
     total = members.count()
-    classes = materialize(members.groupBy("cls").agg(F.min("doc").alias("rep"), F.first("n").alias("n")), path, "classes", total)
+    classes = materialize(members.groupBy("cls").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("texts")), path, "classes", total)
 
     shared = _shared_prefixes(texts, members, classes, counts, levels, path)
     most = shared.count()
@@ -149,10 +151,15 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", levels
             labels = components(links, path, f"round{k}", labels)
         seen = pairs
     low = labels.join(classes, labels.node == classes.cls).groupBy("label").agg(F.min("rep").alias("component"))
-    of_class = classes.join(labels.join(low, "label").select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(of_class, "cls", "left")
-    component = F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    of_class = classes.join(labels.join(low, "label").select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "texts", F.coalesce("component", "rep").alias("component"))
+    # The texts of a class with very many don't meet in one task: such classes are few, and their components are sent to the texts.
+    small, hot = of_class.where(F.col("texts") <= CROWD).select("cls", "component"), of_class.where(F.col("texts") > CROWD).select("cls", "component")
+    linked = F.col("doc").isNotNull() & (F.col("n") > 0)
+    alone, hot = rows.where(~linked).withColumn("component", F.col("doc")), _bounded(hot)
+    crowded = rows.where(linked).join(hot, "cls")
+    others = rows.where(linked).join(hot.select("cls"), "cls", "left_anti").join(small, "cls")
+    out = alone.unionByName(crowded).unionByName(others)
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def _same_id(members: DataFrame, path: str, total: int) -> DataFrame:
