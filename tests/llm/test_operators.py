@@ -281,6 +281,7 @@ def test_neighbours_of_repeated_rows_over_several_batches(spark):
     got = key(ann.search(rows, asked, k=5, shortlist=600))
     exact = v @ v.T
     np.fill_diagonal(exact, -np.inf)
+    assert got == key(ann.search(rows, asked, k=5, shortlist=600, slice_rows=100))  # in several slices
     assert got == {(q, k + 1, int(i)) for q in range(0, 600, 2) for k, i in enumerate(np.argsort(-exact[q])[:5])}
     assert key(ann.search(rows, asked, k=5, shortlist=60)) >= {x for x in key(ann.search(once, once.where(F.col("id") % 2 == 0), k=5, shortlist=20)) if x[1] == 1 and x in got}
 

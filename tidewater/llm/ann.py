@@ -132,13 +132,14 @@ def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (x / n[:, None]).astype(np.float32), np.minimum(top * n, 1e300)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = 200, query_block: int = 256, slice_rows: int = 1 << 20, least_rows: int = 1 << 13) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = 200, query_block: int = 256, slice_rows: int = 1 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query among ``rows``, both (id, v) of ``valid``.
 
     The shortlist is longer than k; more of it finds more. Each query meets each code, so that work is
     the product of both sizes: the query set is the caller's to state. (Cells around centroids would not
     spare enough: on directions without structure 30 % of 1,024 cells hold 86 % of the nearest.) A slice has at most
-    about ``slice_rows`` vectors, 70 MB, and of a smaller index each core has one, of ``least_rows`` at least.
+    about ``slice_rows`` vectors, 70 MB, so that shortlists are a small share of it; with fewer slices than cores, the
+    queries go in groups, each past a copy of the slice.
     """
     spark = rows.sparkSession
     path = shared_dir(spark)
@@ -162,10 +163,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = 20
     packed = in_arrow(asked.coalesce(max(1, -(-asked.count() // 20_000))), pack, "ids binary, raw binary").withColumn("number", F.monotonically_increasing_id())
     packed = materialize(packed, path, "queries")
     total = found.agg(F.sum(F.octet_length("ids") / 8)).first()[0]
-    slices = max(1, -(-int(total) // slice_rows), min(int(total) // least_rows, spark.sparkContext.defaultParallelism))
-    of_index = found.select(F.pmod(F.xxhash64("block", "ids"), F.lit(slices)).cast("int").alias("slice"), F.lit(-1).cast("long").alias("number"), "ids", F.col("codes").alias("raw"), "scale")
-    of_queries = packed.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "number", "ids", "raw", F.lit(None).cast("binary").alias("scale"))
-    paired = of_index.unionByName(of_queries).repartition(2 * slices, "slice").sortWithinPartitions("slice", "number")
+    slices = max(1, -(-int(total) // slice_rows))
+    groups = -(-spark.sparkContext.defaultParallelism // slices)
+    of_index = found.select(F.pmod(F.xxhash64("block", "ids"), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(-1).cast("long").alias("number"), "ids", F.col("codes").alias("raw"), "scale")
+    of_queries = packed.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.pmod("number", F.lit(groups)).cast("int").alias("group"), "number", "ids", "raw", F.lit(None).cast("binary").alias("scale"))
+    paired = of_index.unionByName(of_queries).repartition(2 * slices * groups, "slice", "group").sortWithinPartitions("slice", "group", "number")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = books_b.value
@@ -174,8 +176,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shortlist: int = 20
         at, held = None, []
         for b in batches:
             for r in b.to_pylist():
-                if at != r["slice"]:
-                    at, held = r["slice"], []
+                if at != (r["slice"], r["group"]):
+                    at, held = (r["slice"], r["group"]), []
                 ids = np.frombuffer(r["ids"], np.int64)
                 if r["number"] < 0:  # a block of the index, all of which come before the queries
                     held.append((ids, np.frombuffer(r["raw"], np.uint16).reshape(len(ids), m), np.frombuffer(r["scale"], np.float64)))
