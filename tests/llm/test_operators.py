@@ -111,6 +111,10 @@ def test_decontamination_odd_cases(spark):
         out = decontaminate.summary(decontaminate.hits(d, b, max_broadcast=most))
         got = sorted((r.doc_id or 0, r.n_words, r.n_hit, tuple(r["items"])) for r in out.collect())
         assert got == [(0, 4, 2, ("2", "7")), (1, 30, 30, ("1",)), (2, 32, 30, ("1",)), (3, 9, 0, ()), (4, 0, 0, ()), (5, 0, 0, ()), (6, 3, 2, ("2", "7")), (6, 3, 2, ("2", "7")), (7, 2, 0, ()), (8, 25, 25, ("6",))]
+        # Many items of one window, and an item without id, which hits but isn't listed.
+        many = spark.createDataFrame([(i, "Short item") for i in range(300)] + [(None, "É a")], "item_id long, text string")
+        got = {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.summary(decontaminate.hits(d, many, max_broadcast=most)).collect() if r.contaminated}
+        assert got == {(6, 2, 300, True), (None, 2, 300, True), (7, 2, 0, True)}
     assert decontaminate.hits(d.limit(0), b).count() == 0
     assert {r.n_hit for r in decontaminate.summary(decontaminate.hits(d, b.limit(0))).collect()} == {0}
 

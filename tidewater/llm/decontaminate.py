@@ -5,7 +5,8 @@ not none) are sets of word shingles with positions. A window stands in a documen
 all of its shingles do, so that by the prefix principle one shingle, the rarest of the
 documents, is the necessary prefix. Documents are joined on prefix shingles; the positional
 bound (a window begins no earlier than the document) and the length bound (it ends no
-later) cut candidates; and each that is left is verified word by word.
+later) cut candidates; and each that is left is verified word by word. Items join the
+documents last, by their windows that were verified.
 
 The windows' tables are broadcast if their checked number of rows is within
 ``max_broadcast``, else shuffled.
@@ -13,7 +14,7 @@ The windows' tables are broadcast if their checked number of rows is within
 Words are runs of characters other than ASCII non-alphanumerics, A-Z lower-cased.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no
-windows; items with equal windows all count; repeated documents are each judged; a
+windows; items with equal windows all count; an item without id hits words and is not listed; repeated documents are each judged; a
 null id is an id like others; empty tables give an empty result, or no hits; other columns of the
 input are not read.
 """
@@ -44,19 +45,20 @@ def shingles(words: Column, k: int) -> Column:
 
 
 def windows(items: DataFrame, text_col: str, item_col: str, window: int) -> DataFrame:
-    """(words, items): the distinct windows, and the sorted ids, as text, of the items that have each."""
+    """(words, item): the distinct windows of each item, whose id is given as text."""
     own = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - window, F.lit(0))
-    each = own.select("item", "w", F.explode(F.sequence(F.lit(0), last)).alias("i")).select("item", F.expr(f"slice(w, i + 1, {int(window)})").alias("words"))
-    return each.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    each = own.select("item", "w", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    return each.select(F.expr(f"slice(w, i + 1, {int(window)})").alias("words"), "item").distinct()
 
 
 def hits(docs: DataFrame, items: DataFrame, doc_text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = 10, shingle: int = 3, max_broadcast: int = 1_000_000) -> DataFrame:
     """Per document: id, ``text_hash`` (xxhash64 of the text), ``n_words``, ``spans`` (array of start and length of each occurrence) and ``items`` (sorted ids, as text)."""
     path = shared_dir(docs.sparkSession)
-    found = windows(items, item_text, item_id, window)
-    found = materialize(found.withColumn("window", F.xxhash64(F.concat_ws(" ", "words"))).withColumn("size", F.size("words")), path, "windows")
-    small = found.count() * window <= max_broadcast
+    owners = materialize(windows(items, item_text, item_id, window).withColumn("window", F.xxhash64(F.concat_ws(" ", "words"))), path, "owners")
+    found = materialize(owners.select("window", "words", F.size("words").alias("size")).distinct(), path, "windows")
+    # No fewer rows than the windows.
+    small = owners.count() * window <= max_broadcast
     near = (lambda d: F.broadcast(d)) if small else (lambda d: d)
     sizes = [r.k for r in found.select(F.least(F.lit(shingle), "size").alias("k")).distinct().collect()]
 
@@ -83,19 +85,20 @@ def hits(docs: DataFrame, items: DataFrame, doc_text: str = "text", doc_id: str
     if candidates is None:
         none = F.array().cast("array<struct<start:int,size:int>>")
         return own.select(F.col("doc").alias(doc_id), "text_hash", F.size(words(F.col("_text"))).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
-    spots = candidates.join(near(found.select("window", "words", "items")), "window")
-    per_document = materialize(spots.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "words", "items")).alias("spots")), path, "spots")
+    spots = candidates.join(near(found.select("window", "words")), "window")
+    per_document = materialize(spots.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "words")).alias("spots")), path, "spots")
     tried = own.join(per_document.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"}), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
     # The words of a document without candidates are only counted.
     tried = tried.select("doc", "text_hash", words(F.col("_text")).alias("w"), "spots").select("doc", "text_hash", F.size("w").cast("long").alias("n_words"), F.when(F.col("spots").isNotNull(), F.expr("filter(spots, s -> s.start + size(s.words) <= size(w) AND slice(w, s.start + 1, size(s.words)) = s.words)")).alias("spots"))
     spots = F.coalesce("spots", F.array().cast(tried.schema["spots"].dataType))
-    return tried.select(
-        F.col("doc").alias(doc_id),
-        "text_hash",
-        "n_words",
-        F.transform(spots, lambda s: F.struct(s.start.alias("start"), F.size(s.words).alias("size"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform(spots, lambda s: s["items"])))).alias("items"),
-    )
+    spans = F.transform(spots, lambda s: F.struct(s.start.alias("start"), F.size(s.words).alias("size")))
+    verified = materialize(tried.select("doc", "text_hash", "n_words", spans.alias("spans"), F.array_distinct(F.transform(spots, lambda s: s.words)).alias("had")), path, "verified")
+    # Items meet documents only by windows that do stand there: a window of many items is one row of theirs until then.
+    had = verified.select("doc", "text_hash", F.explode("had").alias("words")).withColumn("window", F.xxhash64(F.concat_ws(" ", "words")))
+    of_items = had.join(near(owners), ["window", "words"]).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    of_items = of_items.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
+    out = verified.join(of_items, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
+    return out.select(F.col("doc").alias(doc_id), "text_hash", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def summary(found: DataFrame) -> DataFrame:
