@@ -149,6 +149,9 @@ def test_search(spark):
     t = spark.createDataFrame([(1, "The quick fox"), (2, "quick, the"), (3, None)], "id long, text string")
     s = lambda: search.Search(t)
     assert ids(s().match("text", "QUICK fox").hits()) == [1, 2] and ids(s().match_phrase("text", "the quick").hits()) == [1]
+    edges = spark.createDataFrame([(1, "foxes"), (2, "über_fox"), (3, "fÜr, FOX."), (4, "fox-für"), (5, "fürs fox")], "id long, text string")
+    assert ids(search.Search(edges).match("text", {"query": "Für fox", "operator": "and"}).hits()) == [3, 4]
+    assert sorted((r.id, r._score) for r in search.Search(edges).match("text", "für fox").hits().collect()) == [(3, 2.0), (4, 2.0), (5, 1.0)]
     assert ids(s().bool(must_not=[{"exists": {"field": "text"}}]).hits()) == [3]
     assert ids(s().match("text", "quick").term("id", 2).hits()) == [2]
     assert [r.id for r in s().match("text", "quick fox").df().collect()] == [1, 2]

@@ -16,10 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A character of a word.
+LETTER = r"[\p{L}\p{N}_]"
+
+
 def analyse(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
+def has_word(text: Column, word: str) -> Column:
+    """Whether a lower-cased word stands in a text: a plain search, and only where that finds it a pattern with the word's ends."""
+    low = F.lower(text)
+    return F.coalesce(low.contains(word) & low.rlike(f"(?<!{LETTER}){word}(?!{LETTER})"), F.lit(False))
+
+
 def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[^\w]+", text.lower()) if w]
 
@@ -44,12 +54,15 @@ def clause(spec: dict) -> Clause:
     c = F.col(name)
     if kind == "match":
         words = list(dict.fromkeys(_words(str(v["query"] if isinstance(v, dict) else v))))
-        found = F.size(F.array_intersect(analyse(c), F.array(*map(F.lit, words)).cast("array<string>")))
-        need = len(words) if isinstance(v, dict) and v.get("operator") == "and" else 1
-        return Clause(sure(found >= need) if words else F.lit(False), F.coalesce(found, F.lit(0)).cast("double"))
+        has = [has_word(c, w) for w in words]
+        join = Column.__and__ if isinstance(v, dict) and v.get("operator") == "and" else Column.__or__
+        return Clause(reduce(join, has) if has else F.lit(False), reduce(Column.__add__, [h.cast("double") for h in has], F.lit(0.0)))
     if kind == "match_phrase":
+        words, low = _words(v), F.lower(c)
         line = F.concat(F.lit(" "), F.array_join(analyse(c), " "), F.lit(" "))
-        return Clause(sure(line.contains(" " + " ".join(_words(v)) + " ")), F.lit(float(len(_words(v)))))
+        # Only a text with all the words somewhere is cut.
+        maybe = reduce(Column.__and__, [low.contains(w) for w in dict.fromkeys(words)], F.lit(True))
+        return Clause(sure(maybe & line.contains(" " + " ".join(words) + " ")), F.lit(float(len(words))))
     if kind == "term":
         return Clause(sure(c == F.lit(v)), F.lit(1.0))
     if kind == "terms":
