@@ -89,11 +89,11 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item, one without id among them."""
     ship(spark)
     path = shared_dir(spark)
     found = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = materialize(found.where(F.size("items") > 0).select("doc_id", "text_hash"), path, "hit")
+    hit = materialize(found.where(F.size("spans") > 0).select("doc_id", "text_hash"), path, "hit")
     return _without(docs, hit)
 
 
