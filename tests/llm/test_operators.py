@@ -461,6 +461,40 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).first().score == 0.5
 
 
+def test_toxicity_fit_against_a_plain_learner(spark):
+    """The published update, a coordinate at a time, over the same rows in the same order."""
+    pick = random.Random(5)
+    texts = [" ".join(pick.choices(["good", "fine", "day", "sun"] + ["bad", "vile"] * (k % 2), k=pick.randint(0, 12))) for k in range(60)]
+    made = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    alpha, beta, l1, l2, epochs = 0.5, 1.0, 0.3, 1.0, 3
+    model = toxicity.fit(made, labels, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    order = [r.doc_id for r in made.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+
+    def buckets(text):
+        raw = text.encode()
+        return sorted({int(b) for b in toxicity.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]}) + [-1] if raw else [-1]
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    shuffled = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in shuffled.permutation(len(order)):
+            at, y = buckets(texts[order[k]]), order[k] % 2
+            now = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(now.values()))) - y
+            for i in at:
+                rate = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - rate * now[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in list(z) if i >= 0 and weight(i)}
+    assert {int(b): w for b, w in zip(model.buckets, model.weights, strict=True)} == pytest.approx(want) and 0 < len(want) < len(z) - 1
+    assert model.bias == pytest.approx(weight(-1))
+
+
 def test_language_id(spark, docs):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(big.where(~queries.held_out()), max_per_label=80)
