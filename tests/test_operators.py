@@ -9,7 +9,7 @@ from tidewater.database import Database
 from tidewater.functions import scalars
 from tidewater.operators import crdt, documents, hooks, joins, kv, migrate, mutate, search
 from tidewater.schema import Field, Relation, TableDef, split_tag, to_snake_case
-from tidewater.sources.tables import VersionedTable, documents as read_documents, fixtures
+from tidewater.sources.tables import documents as read_documents, fixtures, rewrite
 from tidewater.streaming import state, transforms
 
 
@@ -115,13 +115,35 @@ def test_mutations(spark):
     assert sorted((r.id, r.action) for r in failed.collect()) == [(1, "create"), (8, "update")]
 
 
-def test_versioned_table(spark, tmp_path):
-    table = VersionedTable(spark, f"file://{tmp_path}/t")
-    table.write(spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string"))
-    hit = table.mutate(mutate.update, {"name": "upper(name)"}, "id = 2")
-    assert [(r.id, r.name) for r in hit.collect()] == [(2, "B")]
-    assert table.versions() == [1, 2]
-    assert sorted(r.name for r in table.read().collect()) == ["B", "a"] and sorted(r.name for r in table.read(1).collect()) == ["a", "b"]
+def test_rewrite(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = [(1, "a", "x+y z"), (2, "b", "x+y z"), (3, "c", "50%/q:r"), (4, "d", None), (5, "e", "plain")]
+    spark.createDataFrame(rows, "id long, name string, p string").repartition("p").write.partitionBy("p").parquet(path)
+
+    def now():
+        return sorted((r.id, r.name, r.p) for r in spark.read.parquet(path).collect())
+
+    before = set(spark.read.parquet(path).inputFiles())
+    hit = rewrite(spark, path, "p", "id IN (2, 4)", mutate.update, {"name": "upper(name)"})
+    assert sorted((r.id, r.name) for r in hit.collect()) == [(2, "B"), (4, "D")]
+    assert now() == [(1, "a", "x+y z"), (2, "B", "x+y z"), (3, "c", "50%/q:r"), (4, "D", None), (5, "e", "plain")]
+    assert len(before & set(spark.read.parquet(path).inputFiles())) == 2  # of the partitions without such a row
+    for where, left in (("id IN (1, 3)", [2, 4, 5]), ("p IS NULL OR id = 2", [5]), ("id = 77", [5])):
+        rewrite(spark, path, "p", where, mutate.delete)
+        assert [r[0] for r in now()] == left
+    with pytest.raises(ValueError):
+        rewrite(spark, path, "p", "id = 5", mutate.update, {"p": "'elsewhere'"})
+    assert now() == [(5, "e", "plain")]
+
+
+def test_together(spark):
+    db = Database(spark)
+    db.frames["a"], db.frames["b"] = spark.range(1, 3), spark.range(3, 4)
+    with pytest.raises(Exception, match="not so"):
+        db.together(a=spark.range(9, 10), b=spark.range(1).select(F.raise_error(F.lit("not so")).cast("long").alias("id")))
+    assert ids(db.frames["a"]) == [1, 2]
+    db.together(a=spark.range(9, 10), b=spark.range(8, 9))
+    assert ids(db.frames["a"]) == [9] and ids(db.frames["b"]) == [8]
 
 
 def test_readers(spark, tmp_path):

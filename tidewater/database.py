@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import mutate
 from tidewater.operators.hooks import Context, Engine
+from tidewater.runtime import materialize, shared_dir
 from tidewater.schema import TableDef
 
 
@@ -103,6 +104,14 @@ class Database:
         after, affected = mutate.delete(self.raw_rows(name), self._where(name, "delete", where, force), None if force else t.soft_delete, order, limit, now, t.pk or None)
         return self._done(name, "delete", after, affected)
 
+    def together(self, **after: DataFrame) -> None:
+        """Tables that change together: all are written to the shared folder, and only then do their names stand for the new rows.
+
+        An error before leaves every table as it was.
+        """
+        path = shared_dir(self.spark)
+        self.frames.update({name: materialize(df, path, name) for name, df in after.items()})
+
     def _where(self, name: str, operation: str, where: str | Column | None, deleted: bool = False) -> Column:
         sd = self.table(name).soft_delete
         c = mutate._cond(where) & self._allowed(name, operation)

@@ -1,4 +1,4 @@
-"""Registered queries: what expressions and clauses pass through to Spark SQL, tables with versions, and rooms."""
+"""Registered queries: what expressions and clauses pass through to Spark SQL, stored tables that change, and rooms."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from tidewater.operators import documents, kv, mutate
 from tidewater.plans.registry import query
 from tidewater.plans.relational import database
 from tidewater.runtime import shared_dir
-from tidewater.sources.tables import Transaction, VersionedTable
+from tidewater.sources.tables import rewrite
 from tidewater.streaming import state
 
 
@@ -109,15 +109,25 @@ def kv_expire(spark, d):
 
 @query("mut_transaction", "SELECT (SELECT count(*) FROM supplier WHERE NOT s_acctbal < 0) AS suppliers, (SELECT count(*) FROM nation) + 1 AS nations")
 def transaction(spark, d):
-    """Two tables changed together: both new versions are there, or neither."""
-    path = shared_dir(spark)
-    a, b = VersionedTable(spark, f"{path}/supplier"), VersionedTable(spark, f"{path}/nation")
-    a.write(_t(spark, d, "supplier"))
-    b.write(_t(spark, d, "nation"))
-    with Transaction() as tx:
-        tx.put(a, mutate.delete(a.read(), "s_acctbal < 0")[0])
-        tx.put(b, mutate.insert(b.read(), spark.createDataFrame([(99, "NOWHERE", 0)], "n_nationkey int, n_name string, n_regionkey int"))[0])
-    return a.read().agg(F.count(F.lit(1)).alias("suppliers")).crossJoin(F.broadcast(b.read().agg(F.count(F.lit(1)).alias("nations"))))  # one row each
+    """Two tables changed together: the names stand for both new tables, or for neither."""
+    db = database(spark, d)
+    suppliers, _ = mutate.delete(db.raw_rows("supplier"), "s_acctbal < 0")
+    nation = db.raw_rows("nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    nations, _ = mutate.insert(nation, spark.createDataFrame([(99, "NOWHERE")], "n_nationkey int, n_name string"))
+    db.together(supplier=suppliers, nation=nations)
+    a, b = (db.raw_rows(t).agg(F.count(F.lit(1)).alias(n)) for t, n in (("supplier", "suppliers"), ("nation", "nations")))
+    return a.crossJoin(F.broadcast(b))  # one row each
+
+
+@query("mut_rewrite", "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey IN (5, 7) AND c_acctbal > 0 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_nationkey <> 3")
+def rewrite_partitions(spark, d):
+    """A stored table's update and deletion touch the partitions alone that hold such rows; one of them ends empty."""
+    path = f"{shared_dir(spark)}/customer"
+    rows = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    rows.repartition("c_nationkey").write.partitionBy("c_nationkey").parquet(path)
+    rewrite(spark, path, "c_nationkey", "c_nationkey IN (5, 7) AND c_acctbal > 0", mutate.update, {"c_acctbal": "c_acctbal * 2"})
+    rewrite(spark, path, "c_nationkey", "c_nationkey = 3", mutate.delete)
+    return spark.read.parquet(path).select("c_custkey", F.col("c_nationkey").cast(rows.schema["c_nationkey"].dataType).alias("c_nationkey"), "c_acctbal")
 
 
 @query("st_rooms", "SELECT o_custkey AS room, o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3 AS admitted FROM orders")

@@ -1,49 +1,39 @@
-"""Parquet tables with copy-on-write versions, fixtures, paged scans and change sources."""
+"""Parquet tables changed by whole partitions, fixtures, paged scans and change sources."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.runtime import shared_dir
+from tidewater.runtime import materialize, shared_dir
 
 
-class VersionedTable:
-    """A folder of whole versions; a mutation writes the next one, and readers see the largest number that is complete.
+def rewrite(spark: SparkSession, path: str, partition: str, where: str, change: Callable[..., tuple[DataFrame, DataFrame]], *args, **kwargs) -> DataFrame:
+    """Change a Parquet folder that is partitioned by a column, in place, and return the affected rows.
 
-    Paths go through Hadoop's file systems, so that any store that Spark writes will do. A
-    version counts once its ``_SUCCESS`` is there. One writer at a time.
+    Just the partitions with a row for which ``where`` holds are read and written; the files of all others stay.
+    change: a function of ``operators.mutate`` that takes the rows, what follows here, and ``where``; it must leave
+    rows in these partitions. The new rows are written to the shared folder before they replace the old.
+    The driver knows partitions alone, as it does for any such folder. One writer at a time: the
+    partitions are not swapped all at once, and a failure amid that leaves some of them changed.
     """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.jpath = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.jpath(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        if not self.fs.exists(self.jpath(self.path)):
-            return []
-        found = [f.getPath().getName() for f in self.fs.listStatus(self.jpath(self.path))]
-        return sorted(int(n[2:]) for n in found if n.startswith("v=") and self.fs.exists(self.jpath(f"{self.path}/{n}/_SUCCESS")))
-
-    def write(self, df: DataFrame, partition_by: list[str] | None = None, sort_by: list[str] | None = None) -> int:
-        n = (self.versions() or [0])[-1] + 1
-        if sort_by:
-            df = df.sortWithinPartitions(*sort_by)
-        w = df.write.mode("overwrite")
-        (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.path}/v={n}")
-        return n
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={version or self.versions()[-1]}")
-
-    def mutate(self, change, *args, **kwargs) -> DataFrame:
-        """Apply a function of ``operators.mutate``; returns the affected rows, read from the version before and so repeatable."""
-        after, affected = change(self.read(), *args, **kwargs)
-        self.write(after)
-        return affected
+    rows = spark.read.parquet(path)
+    # File paths are those of URLs, in which a plus is no space.
+    folder = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "/[^/]*$", ""), F.lit("+"), F.lit("%2B")))
+    hit = {r.p: r.folder for r in rows.where(where).groupBy(F.col(partition).alias("p")).agg(F.min(folder).alias("folder")).collect()}
+    mine = F.coalesce(F.col(partition).isin([v for v in hit if v is not None]), F.lit(None in hit))
+    after, affected = change(rows.where(mine), *args, where=where, **kwargs)
+    staged = shared_dir(spark)
+    after, affected = materialize(after, staged, "after"), materialize(affected, staged, "affected")
+    left = {r[0] for r in after.select(partition).distinct().collect()}
+    if left - hit.keys():
+        raise ValueError(f"rows would leave their partitions for {sorted(left - hit.keys(), key=str)[:5]}")
+    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    for gone in hit.keys() - left:  # no rows, and so nothing that would overwrite these
+        after.drop(partition).limit(0).write.mode("overwrite").parquet(hit[gone])
+    return affected
 
 
 def fixtures(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -71,33 +61,3 @@ def documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
 def stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     """New Parquet files of a folder as they come."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-
-
-class Transaction:
-    """New versions of several tables, written beside them first and then renamed one after another.
-
-    An error before the end leaves all tables as they were. There is no isolation between
-    writers, and a failure amid the renames is reported with what was done.
-    """
-
-    def __init__(self) -> None:
-        self.staged: list[tuple[VersionedTable, str]] = []
-
-    def put(self, table: VersionedTable, df: DataFrame) -> None:
-        temp = f"{table.path}/.staged-{len(self.staged)}"
-        df.write.mode("overwrite").parquet(temp)
-        self.staged.append((table, temp))
-
-    def __enter__(self) -> Transaction:
-        return self
-
-    def __exit__(self, kind, error, trace) -> None:
-        done = []
-        for table, temp in self.staged:
-            if kind is not None:
-                table.fs.delete(table.jpath(temp), True)
-                continue
-            n = (table.versions() or [0])[-1] + 1
-            if not table.fs.rename(table.jpath(temp), table.jpath(f"{table.path}/v={n}")):
-                raise OSError(f"{table.path} was not renamed; committed before it: {done}")
-            done.append(table.path)
