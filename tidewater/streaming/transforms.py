@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.runtime import materialize, shared_dir
+
 
 def map_rows(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(*[(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
@@ -24,8 +26,8 @@ def take(df: DataFrame, n: int, *order: str) -> DataFrame:
 def chunk(df: DataFrame, size: int, *order: str, by: str | None = None) -> DataFrame:
     """Adds ``chunk``, from 0: each holds ``size`` rows in order, the last of a stream the rest.
 
-    With ``by`` every key is a stream of its own. Without, rows are numbered over range
-    partitions from their counts, so that no one task sorts them all.
+    With ``by`` every key is a stream of its own. Without, rows are stored in order by ranges and numbered from
+    the ranges' counts, so that no one task sorts them all.
     """
     if by is not None:
         n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
@@ -33,23 +35,36 @@ def chunk(df: DataFrame, size: int, *order: str, by: str | None = None) -> DataF
     return number(df, *order).withColumn("chunk", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
-def number(df: DataFrame, *order: str) -> DataFrame:
-    """Adds ``_n``, from 1 in order: a range partition's rows are numbered by themselves, on from the rows before it."""
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_l", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    size = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_s"))
-    before = size.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return local.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("_n", F.col("_l") + F.col("_b")).drop("_p", "_q", "_l", "_b")
+def ordered(df: DataFrame, *order) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """The rows, stored once in order by ranges, with ``_m``: the range in its high bits and the place in it, from 0, in the low 33.
+
+    Also a function from a sum over each range's rows to (_p, _a): what it is over all ranges before. Numbers, counts and sums are
+    all read from the same files, so that ranges cannot be drawn or merged differently between them.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    stored = materialize(parts, shared_dir(df.sparkSession), "ordered")
+
+    def ahead(amount: Column) -> DataFrame:
+        """A row for each range, so that one window over them is short."""
+        size = stored.groupBy(F.shiftright("_m", 33).alias("_p")).agg(amount.alias("_s"))
+        return size.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_a"))
+
+    return stored, ahead
+
+
+def number(df: DataFrame, *order) -> DataFrame:
+    """Adds ``_n``, from 1 in order: a row's place in its range, on from the rows of the ranges before."""
+    stored, ahead = ordered(df, *order)
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return stored.join(F.broadcast(ahead(F.count(F.lit(1)))), F.shiftright("_m", 33) == F.col("_p")).withColumn("_n", place + F.col("_a")).drop("_m", "_p", "_a")
 
 
 def before(df: DataFrame, amount: str, *order) -> DataFrame:
-    """Adds ``_b``: the sum of ``amount`` over all rows before each in order, by range partitions as in ``number``."""
-    parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    rows = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = parts.withColumn("_l", F.coalesce(F.sum(amount).over(rows), F.lit(0)))
-    size = parts.groupBy("_p").agg(F.sum(amount).alias("_s"))
-    ahead = size.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_a"))
-    return local.join(F.broadcast(ahead), F.col("_p") == F.col("_q")).withColumn("_b", F.col("_l") + F.col("_a")).drop("_p", "_q", "_l", "_a")
+    """Adds ``_b``: the sum of ``amount`` over all rows before each in order, by the ranges of ``ordered``."""
+    stored, ahead = ordered(df, *order)
+    rows = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    local = stored.withColumn("_p", F.shiftright("_m", 33)).withColumn("_l", F.coalesce(F.sum(amount).over(rows), F.lit(0)))
+    return local.join(F.broadcast(ahead(F.sum(amount))), "_p").withColumn("_b", F.col("_l") + F.col("_a")).drop("_m", "_p", "_l", "_a")
 
 
 def fold(df: DataFrame, initial: Any, step: Callable[[Any, Any], Any], *order: str) -> Any:
