@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import ann, bpe, decontaminate, html_text, jaccard, langid, quality, token_files, toxicity, url_filter
+from tidewater.llm import ann, bpe, decontaminate, html_text, jaccard, langid, prefix_trie, quality, quality_rules, spelling, token_files, toxicity, url_filter
 from tidewater.runtime import ship
 
 
@@ -95,6 +95,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(_read(spark, sf_dir, "conversations"), rebuild=True)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_bpe": op2_bpe,
@@ -106,9 +119,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_spelling": op11_spelling,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_quality_rules": op13_quality_rules,
 }
 
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of a text's UTF-8: a step takes a byte in, or one of its eight bits out."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    steps = f"flatten(list_transform({octets}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), lambda c, b: {step}), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling": rf"""
+WITH RECURSIVE runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+low AS (SELECT id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS k FROM runs WHERE length(r) >= 7 GROUP BY ALL),
+hashed AS (SELECT r, k, {_crc32("id || ':' || r")} AS h FROM low),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, k FROM hashed),
+w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+d AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS s FROM w, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS MATERIALIZED (SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.s UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.s),
+best AS (SELECT word, count(*) AS n_near, arg_min({{'w': near, 'n': n}}, {{'a': -n, 'b': encode(near)}}) AS f FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 10 * w.n THEN f.w END AS form, CASE WHEN f.n >= 10 * w.n THEN f.n END AS form_n FROM w LEFT JOIN best USING (word)),
+path AS (SELECT word, coalesce(form, word) AS at, form IS NULL AS done FROM f UNION ALL SELECT p.word, coalesce(f.form, p.at), f.form IS NULL FROM path p JOIN f ON f.word = p.at WHERE NOT p.done)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, p.at AS root FROM f JOIN path p ON p.word = f.word AND p.done
+""",
+    "op12_prefix_trie": rf"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, list(x ORDER BY p) AS l FROM t GROUP BY c),
+r AS (SELECT k.c, {_crc32("CAST(k.c AS VARCHAR)")} % 9 AS h, k.l, coalesce(b.l, []) AS base FROM k LEFT JOIN k b ON b.c = k.c - k.c % 5),
+s AS MATERIALIZED (SELECT c, list_concat(base[1:h], l[h + 1:]) AS l FROM r),
+m AS (SELECT c, d, l[1:d] AS pre, d = len(l) AS ends FROM s, unnest(range(0, len(l) + 1)) AS u(d)),
+node AS MATERIALIZED (SELECT pre, d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS e, (count(*) - 1) * coalesce(strlen(pre[d].t), 0) AS own FROM m GROUP BY pre, d),
+kids AS (SELECT pre[1:d - 1] AS pre, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+up AS (SELECT a.pre[1:j] AS pre, j AS d, sum(own) AS own, count(*) FILTER (kids.n IS NULL) AS leaves FROM node a LEFT JOIN kids ON kids.pre = a.pre AND kids.d = a.d, unnest(range(0, a.d + 1)) AS u(j) GROUP BY 1, 2)
+SELECT a.conv_id, a.d AS depth, b.conv_id AS parent_conv_id, a.n AS n_convs, coalesce(kids.n, 0) AS n_children, up.leaves AS n_leaves, CAST(up.own AS BIGINT) AS saved_tokens, sha256(a.e) AS ends_sha256
+FROM node a LEFT JOIN node b ON b.d = a.d - 1 AND b.pre = a.pre[1:a.d - 1] LEFT JOIN kids ON kids.pre = a.pre AND kids.d = a.d JOIN up ON up.pre = a.pre AND up.d = a.d
+""",
+    "op13_quality_rules": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, w[i:i + 4] AS s FROM d, unnest(range(1, len(w) - 3)) AS t(i)),
+twice AS (SELECT r, unnest(range(i, i + 5)) AS j FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS k FROM win) WHERE k > 1),
+again AS (SELECT r, count(DISTINCT j) AS n FROM twice GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS MATERIALIZED (SELECT d.doc_id, d.source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words FROM d JOIN lines USING (r) LEFT JOIN again USING (r)),
+f AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS lines, word_chars < 3 * n_words OR word_chars > 10 * n_words AS length FROM m),
+long AS (SELECT source, unnest([{'r': 'base', 'f': base_failed}, {'r': 'symbols', 'f': symbols}, {'r': 'lines', 'f': lines}, {'r': 'length', 'f': length}], recursive := true) FROM f),
+host AS MATERIALIZED (SELECT r, source, count(*)::DOUBLE AS n, count(*) FILTER (f)::DOUBLE AS f FROM long GROUP BY r, source),
+tot AS (SELECT r, sum(n) AS n, count(*) AS k, sum(n * n) AS nn, sum(f) AS f, sum(f * f / n) AS ff FROM host GROUP BY r),
+mean AS (SELECT *, f / n AS m FROM tot),
+spread AS (SELECT r, m, least(greatest(coalesce(CASE WHEN m * (1 - m) * (n - nn / n - (k - 1)) <> 0 THEN (ff - n * m * m - m * (1 - m) * (k - 1)) / (m * (1 - m) * (n - nn / n - (k - 1))) END, 0), 1e-9), 1) AS g FROM mean),
+rate AS (SELECT source, r, (f + m * (1 / g - 1)) / (n + 1 / g - 1) AS p FROM host JOIN spread USING (r)),
+bad AS (SELECT source, max(p) FILTER (r = 'base') > 0.5 AS b, max(p) FILTER (r = 'symbols') > 0.5 AS s, max(p) FILTER (r = 'lines') > 0.5 AS l, max(p) FILTER (r = 'length') > 0.5 AS g FROM rate GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (symbols AND (b OR s)) AND NOT (lines AND (b OR l)) AND NOT (length AND (b OR g)) AS kept
+FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source
+""",
     "op3_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
