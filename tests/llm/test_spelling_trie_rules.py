@@ -241,7 +241,7 @@ def shrunk(hosts):
 
 def host_docs():
     good = "Each of these words stands here once, and nothing about this line is odd or said again today."
-    marks = good + " " + "# " * 9
+    marks = good + " " + " ".join(f"#{k}" for k in range(9))
     lines = "\n".join([*["This line is said thrice."] * 3, good])
     rows = [(i, marks if i % 4 else good, "marks.org") for i in range(40)] + [(100 + i, good if i % 9 else marks, "fine.org") for i in range(200)] + [(400, marks, "one.org")]
     rows += [(500 + i, "few words" if i % 3 else lines if i % 2 else good, "junk.org") for i in range(60)] + [(700 + i, lines, None) for i in range(30)] + [(800, None, "fine.org"), (800, None, "fine.org")]

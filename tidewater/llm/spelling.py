@@ -158,9 +158,11 @@ def near_pairs(words: DataFrame, grams: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, rows, short = [], [], []
+            letters, pairs = np.zeros((2, b.num_rows), np.uint64)
             for at, codes in _grouped(b.column(0)):
                 m, n = codes.shape
                 g = _bigrams(codes)
+                letters[at], pairs[at] = _bits(codes.astype(np.uint64)), _bits(T.mix(g.astype(np.uint64)))
                 # The rarest first, of equal ones the first.
                 place = np.argsort(rank.value[g].astype(np.int64) * n + np.arange(n - 1), axis=1)[:, :grams]
                 head, tail = _ends(codes)
@@ -179,13 +181,20 @@ def near_pairs(words: DataFrame, grams: int = 3) -> DataFrame:
             if not keys:
                 continue
             at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(short))], ["key", "word", "n", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(at), b.column(1).take(at), *(pa.array(x.view(np.int64)).take(at) for x in (letters, pairs)), pa.array(np.concatenate(short))], ["key", "word", "n", "letters", "pairs", "short"])
 
-    each = materialize(in_arrow(words.select("word", "n"), run, "key long, word string, n long, short boolean"), shared_dir(spark), "keys")
-    a = each.where("short").select("key", F.col("word").alias("a"), F.col("n").alias("an"))
-    b = each.where("not short").select("key", F.col("word").alias("b"), F.col("n").alias("bn"))
+    each = materialize(in_arrow(words.select("word", "n"), run, "key long, word string, n long, letters long, pairs long, short boolean"), shared_dir(spark), "keys")
+    a = each.where("short").select("key", F.col("word").alias("a"), F.col("n").alias("an"), F.col("letters").alias("al"), F.col("pairs").alias("ap"))
+    b = each.where("not short").select("key", F.col("word").alias("b"), F.col("n").alias("bn"), F.col("letters").alias("bl"), F.col("pairs").alias("bp"))
+    # An edit changes which letters a word has by two at most and which bigrams by four, which spares most of what meets the costlier distance.
+    alike = (F.bit_count(F.col("al").bitwiseXOR(F.col("bl"))) <= 2) & (F.bit_count(F.col("ap").bitwiseXOR(F.col("bp"))) <= 4)
     first = (F.length("a") < F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))
-    return a.join(b, "key").where(first & (F.levenshtein("a", "b", 1) == 1)).select("a", "an", "b", "bn").distinct()
+    return a.join(b, "key").where(alike & first & (F.levenshtein("a", "b", 1) == 1)).select("a", "an", "b", "bn").distinct()
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Each row's values as a set of 64 bits."""
+    return np.bitwise_or.reduce(np.uint64(1) << (values & np.uint64(63)), axis=1)
 
 
 def _ends(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
