@@ -41,6 +41,11 @@ class Database:
             df = df.where(F.col(sd).isNull())
         return self.hooks.scan(Context(operation, name), df)
 
+    def stream(self, name: str, source: DataFrame) -> DataFrame:
+        """A stream of a table's rows as its hooks let them be seen: filters, masks and decisions on single rows."""
+        sd = self.table(name).soft_delete
+        return self.hooks.stream(Context("stream", name), source.where(F.col(sd).isNull()) if sd else source)
+
     def create(self, table: TableDef, folder: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
         """An empty table of the definition's types and flags; with a folder, stored there as Parquet, partitioned."""
         empty = self.spark.createDataFrame([], table.struct())

@@ -21,9 +21,12 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tidewater.runtime import materialize, shared_dir
+from tidewater.streaming.transforms import number
+
 
 def hlc(ts: Column, c: Column, node: Column) -> Column:
     return F.struct(ts.cast("long").alias("ts"), c.cast("long").alias("c"), node.cast("string").alias("node"))
@@ -100,12 +103,22 @@ def list_merge(nodes: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> Dat
     return nodes.groupBy(*keys, "id").agg(F.min("parent").alias("parent"), F.min("value").alias("value"), F.bool_or("tombstone").alias("tombstone"))
 
 
-def list_order(nodes: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> DataFrame:
+def list_order(nodes: DataFrame, keys: tuple[str, ...] = ("pk", "field"), walk: int = 100_000) -> DataFrame:
     """(keys, pos, id, value): visible nodes from the head, siblings newest first; what hangs from no head is not reached.
 
-    A list is ordered by one task, as its order depends on the whole of it.
+    A list of up to ``walk`` nodes is walked by one task. Longer ones are ordered together by ``_order_by_joins``, in which no task holds a list.
     """
-    merged = list_merge(nodes, keys)
+    path = shared_dir(nodes.sparkSession)
+    merged = materialize(list_merge(nodes, keys), path, "merged")
+    long = materialize(merged.groupBy(*keys).count().where(F.col("count") > walk).drop("count"), path, "long")
+    if not long.limit(1).count():
+        return _order_by_walks(merged, keys)
+    # There is one long list for each ``walk`` nodes at most.
+    short, rest = merged.join(long, [*keys], "left_anti"), merged.join(long, [*keys], "left_semi")
+    return _order_by_walks(short, keys).unionByName(_order_by_joins(rest, keys, path))
+
+
+def _order_by_walks(merged: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     schema = merged.select(*keys, F.lit(0).cast("long").alias("pos"), "id", "value").schema
     flat = merged.select(*keys, F.to_json("id").alias("_i"), F.to_json("parent").alias("_p"), F.col("id.ts").alias("_t"), F.col("id.c").alias("_c"), F.col("id.node").alias("_n"), "value", "tombstone")
     id_type = merged.schema["id"].dataType
@@ -130,6 +143,40 @@ def list_order(nodes: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> Dat
     return ordered.select(*keys, "pos", F.from_json("id", id_type).alias("id"), "value").select(schema.names)
 
 
+def _order_by_joins(merged: DataFrame, keys: tuple[str, ...], path: str) -> DataFrame:
+    """The same order from the Euler tour of the trees: each node is entered (2n) and left (2n + 1), and a place in the list is how many
+    visible nodes are entered before. Pointers to what comes before, with the visible nodes passed on the way, are doubled by a join
+    a round, until they are at the start of a tour, so that the rounds are the logarithm of the longest list, however deep it is.
+
+    Nodes are numbered by parent, newest first, so that siblings have consecutive numbers and a node with very many
+    children is no hot key: only its first and last child refer to it. Tours that do not start at a head, below a node that there is not, end at -1, and
+    circles at no start: neither is reached.
+    """
+    numbered = materialize(number(merged, *keys, F.asc_nulls_first("parent"), F.desc("id")), path, "numbered")
+    visible = (~F.col("tombstone")).cast("long")
+    groups = numbered.groupBy(*keys, "parent").agg(F.min("_n").alias("first"), F.max("_n").alias("last"))
+    owners = numbered.select(*keys, F.col("id").alias("parent"), F.col("_n").alias("over"), visible.alias("w"))
+    groups = materialize(groups.join(owners, [*keys, "parent"], "left").select("first", "last", "over", "w", F.col("parent").isNull().alias("head")), path, "groups")
+    below, n, none = groups.where(F.col("over").isNotNull()), F.col("_n"), F.lit(0).cast("long")
+    step = lambda df, e, prev, s: df.select(e.cast("long").alias("e"), prev.cast("long").alias("prev"), s.cast("long").alias("s"))
+    state = step(below, 2 * F.col("first"), 2 * F.col("over"), F.col("w"))  # into the first child
+    state = state.unionByName(step(below, 2 * F.col("over") + 1, 2 * F.col("last") + 1, none))  # out of the last one
+    state = state.unionByName(step(numbered.join(groups.select(F.col("first").alias("_n")), "_n", "left_anti"), 2 * n, 2 * n - 1, none))  # to the next sibling
+    state = state.unionByName(step(numbered.join(below.select(F.col("over").alias("_n")), "_n", "left_anti"), 2 * n + 1, 2 * n, visible))  # out of a leaf
+    starts = groups.where(F.col("over").isNull())
+    state = materialize(state.unionByName(step(starts, 2 * F.col("first"), F.when(F.col("head"), 0).otherwise(-1), none)), path, "tour-0")
+    rounds = (2 * numbered.count() + 2).bit_length() + 1
+    for k in range(1, rounds + 1):
+        going = state.where(F.col("prev") > 0)
+        if not going.limit(1).count():
+            break
+        on = state.select(F.col("e").alias("prev"), F.col("prev").alias("far"), F.col("s").alias("more"))
+        moved = going.join(on, "prev").select("e", F.col("far").alias("prev"), (F.col("s") + F.col("more")).alias("s"))
+        state = materialize(moved.unionByName(state.where(F.col("prev") <= 0)), path, f"tour-{k}")
+    places = state.where((F.col("prev") == 0) & (F.col("e") % 2 == 0)).select((F.col("e") / 2).cast("long").alias("_n"), (F.col("s") + 1).alias("pos"))
+    return numbered.where(~F.col("tombstone")).join(places, "_n").select(*keys, "pos", "id", "value")
+
+
 def document_fields(facts: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> DataFrame:
     """(keys, path, value): the newest write of each path that is newer than any deletion of it or of a path above."""
     new = latest(facts.where(~F.col("tombstone")), (*keys, "path"))
@@ -176,12 +223,55 @@ def merge_fields(log: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> tup
     return single.unionByName(counted).unionByName(elements), conflicts
 
 
+def merge_types(log: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> tuple[DataFrame, DataFrame]:
+    """(keys, crdt_type, place, value) of a log of all five types, and the keys in conflict: ``merge_fields`` with lists and documents.
+
+    list rows have hlc as their id, parent, value and tombstone; document rows path, hlc, value and tombstone. A list has a row
+    for each visible element, whose place is its position, a document one for each path, which is its place; so no
+    value is gathered in one row, however long.
+    """
+    base, conflicts = merge_fields(log, keys)
+    good = log.join(conflicts, [*keys], "left_anti")
+    of = lambda kind: good.where(F.col("crdt_type") == kind)
+    nodes = of("list").select(*keys, F.col("hlc").alias("id"), "parent", "value", F.coalesce("tombstone", F.lit(False)).alias("tombstone"))
+    lists = list_order(nodes, keys).select(*keys, F.lit("list").alias("crdt_type"), F.col("pos").cast("string").alias("place"), "value")
+    facts = of("document").select(*keys, "path", "hlc", "value", F.coalesce("tombstone", F.lit(False)).alias("tombstone"))
+    docs = document_fields(facts, keys).select(*keys, F.lit("document").alias("crdt_type"), F.col("path").alias("place"), "value")
+    return base.select(*keys, "crdt_type", F.lit(None).cast("string").alias("place"), "value").unionByName(lists).unionByName(docs), conflicts
+
+
+def merge_into(state: DataFrame, changes: DataFrame, plugins: tuple = ()) -> DataFrame:
+    """Field states (tbl, pk, field, hlc, value) after changes of the same columns, which plugins may veto or replace.
+
+    A plugin may have ``before_merge``, which gets every change beside the state that it meets (old_hlc, old_value, null for none),
+    ``before_write``, which gets the states that would be written in the same way, both of which return the rows that stay, changed or not,
+    and ``after_merge``, which sees what is written. Plugins run in order, each on what those before it have left; of the changes that
+    pass, the newest of a field counts, so that one behind a vetoed one may win.
+    """
+    where, names = ("tbl", "pk", "field"), ("tbl", "pk", "field", "hlc", "value")
+    old = state.select(*[F.col(c).alias(f"_{c}") for c in where], F.col("hlc").alias("old_hlc"), F.col("value").alias("old_value"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in where]
+    met = changes.select(*names).join(old, same, "left").select(*names, "old_hlc", "old_value")
+    for p in plugins:
+        met = p.before_merge(met) if hasattr(p, "before_merge") else met
+    new = latest(met, where).join(old, same, "left").select(*names, "old_hlc", "old_value")
+    new = new.where(F.col("old_hlc").isNull() | (F.col("hlc") > F.col("old_hlc")))
+    for p in plugins:
+        new = p.before_write(new) if hasattr(p, "before_write") else new
+    if plugins:
+        new = materialize(new, shared_dir(state.sparkSession), "merged")
+    for p in plugins:
+        if hasattr(p, "after_merge"):
+            p.after_merge(new)
+    written = new.select(*[F.col(c).alias(f"_{c}") for c in where])
+    return state.select(*names).join(written, same, "left_anti").unionByName(new.select(*names))
+
+
 def record_state(log: DataFrame, at: Column | None = None) -> DataFrame:
     """(pk, field, value) of records that are not deleted, from all of the log or from what was written up to a clock."""
     log = log.where(F.col("hlc") <= at) if at is not None else log
     writes = latest(log.where(~F.col("tombstone")))
-    last = log.groupBy("pk").agg(F.max(F.when(F.col("tombstone"), F.col("hlc"))).alias("_dead"), F.max(F.when(~F.col("tombstone"), F.col("hlc"))).alias("_live"))
-    alive = last.where(F.col("_dead").isNull() | (F.col("_live") > F.col("_dead"))).select("pk")
+    alive = _newest(log).where(_alive()).select("pk")
     return writes.join(alive, "pk", "left_semi").select("pk", "field", "value")
 
 
@@ -196,7 +286,30 @@ def field_history(log: DataFrame, pk, field: str, limit: int = 100) -> DataFrame
 
 
 def clean_tombstones(log: DataFrame, before_ts: int) -> DataFrame:
-    return log.where(~(F.col("tombstone") & (F.col("hlc.ts") < before_ts)))
+    """The log without tombstones from before a time, and without what they killed: ``record_state`` stays as it was.
+
+    A record whose newest tombstone is that old and newer than all its writes goes as a whole; of all others just old tombstones go, which
+    a newer write or tombstone outdoes. From then on changes older than the time must be refused (``accepted``, ``exchange``),
+    as what would tell that they are dead is gone. A record written again later begins anew, and states before the time cannot be read any more.
+    """
+    old = F.col("tombstone") & (F.col("hlc.ts") < before_ts)
+    last = _newest(log).where((F.col("_dead.ts") < before_ts) & ~_alive())
+    return log.where(~old).join(last.select("pk"), "pk", "left_anti").select(*log.columns)
+
+
+def accepted(changes: DataFrame, horizon: int | None) -> tuple[DataFrame, DataFrame]:
+    """(changes that may still be merged, those older than the time up to which tombstones were cleaned)."""
+    late = F.coalesce(F.col("hlc.ts") < F.lit(horizon), F.lit(False)) if horizon is not None else F.lit(False)
+    return changes.where(~late), changes.where(late)
+
+
+def _newest(log: DataFrame) -> DataFrame:
+    """Of each record the newest tombstone and the newest write."""
+    return log.groupBy("pk").agg(F.max(F.when(F.col("tombstone"), F.col("hlc"))).alias("_dead"), F.max(F.when(~F.col("tombstone"), F.col("hlc"))).alias("_live"))
+
+
+def _alive() -> Column:
+    return F.coalesce(F.col("_dead").isNull() | (F.col("_live") > F.col("_dead")), F.lit(False))
 
 
 def valid_changes(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,20 +327,52 @@ def sync(*logs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def exchange(local: DataFrame, remote: DataFrame, hooks: tuple = ()) -> tuple[DataFrame, DataFrame]:
+def missing(there: DataFrame, here: DataFrame) -> DataFrame:
+    """Changes of one log that another lacks; a field that is null, as that of a record's tombstone, is a field like others."""
+    known = here.select(*[F.col(c).alias(f"_{c}") for c in _CHANGE])
+    return there.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _CHANGE], "left_anti")
+
+
+def exchange(local: DataFrame, remote: DataFrame, hooks: tuple = (), horizon: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both logs after an exchange that the local side's hooks watch over.
 
     A hook may have ``before_inbound`` and ``before_outbound``, which get the changes that come or go and return
     those that pass, changed or left out, or raise to stop the exchange; and ``after_inbound``, which sees what came.
+    Changes older than ``horizon``, up to which the local log was cleaned, do not come in.
     """
-    coming, going = remote.join(local, _CHANGE, "left_anti"), local.join(remote, _CHANGE, "left_anti")
+    coming, going = _passing(local, remote, hooks, horizon)
+    return sync(local, coming), sync(remote, going)
+
+
+def _passing(local: DataFrame, remote: DataFrame, hooks: tuple, horizon: int | None) -> tuple[DataFrame, DataFrame]:
+    coming, going = accepted(missing(remote, local), horizon)[0], missing(local, remote)
     for h in hooks:
         coming = h.before_inbound(coming) if hasattr(h, "before_inbound") else coming
         going = h.before_outbound(going) if hasattr(h, "before_outbound") else going
     for h in hooks:
         if hasattr(h, "after_inbound"):
             h.after_inbound(coming)
-    return sync(local, coming), sync(remote, going)
+    return coming, going
+
+
+def reported(local: DataFrame, remote: DataFrame, hooks: tuple = (), horizon: int | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Both logs after an ``exchange``, stored, and its report, which is counted while they are written: no job reads them for it.
+
+    pulled and pushed: changes that came and went; tombstones: those among what came; merged: writes that came and are now the newest of
+    their field; conflicts: writes that came for a field for which this side had another value.
+    """
+    path = shared_dir(local.sparkSession)
+    coming, going = _passing(local, remote, hooks, horizon)
+    had = latest(local.where(~F.col("tombstone")), ("tbl", "pk", "field")).select(*[F.col(c).alias(f"_{c}") for c in ("tbl", "pk", "field", "hlc", "value")])
+    met = coming.join(had, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("tbl", "pk", "field")], "left")
+    write, known = ~F.col("tombstone"), F.col("_hlc").isNotNull()
+    pulled, pushed = Observation("pulled"), Observation("pushed")
+    count = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    met = met.observe(pulled, F.count(F.lit(1)).alias("pulled"), count(F.col("tombstone"), "tombstones"), count(write & known & ~F.col("value").eqNullSafe(F.col("_value")), "conflicts"), count(write & (~known | (F.col("hlc") > F.col("_hlc"))), "merged"))
+    going = going.observe(pushed, F.count(F.lit(1)).alias("pushed"))
+    here = materialize(local.unionByName(met.select(*local.columns)), path, "local")
+    there = materialize(remote.unionByName(going.select(*remote.columns)), path, "remote")
+    return here, there, {**pulled.get, **pushed.get}
 
 
 #: What tells one change from another.

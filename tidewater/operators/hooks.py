@@ -3,7 +3,8 @@
 A hook is an object with any of these methods, each of which gets the context first:
 ``before_query`` and ``before_mutation`` return None (allow), a string or list of strings
 (filters, SQL, all of which rows must meet) or raise ``Denied``; ``at_scan`` returns the rows that
-all of a query works on; ``after_query`` returns the result that callers get; ``after_mutation`` sees the affected rows.
+all of a query works on; ``after_query`` returns the result that callers get; ``after_mutation`` sees the affected rows;
+``on_stream_row`` gives SQL that decides on each row of a stream: ``'allow'`` or null, ``'skip'``, or ``'deny'``, which ends it with an error.
 """
 
 from __future__ import annotations
@@ -56,6 +57,15 @@ class Engine:
             df = f(ctx, df)
         return df
 
+    def stream(self, ctx: Context, df: DataFrame) -> DataFrame:
+        """The rows of a stream that the hooks let through. Each hook decides on what those before it have left, as part of the stream's own plan."""
+        df = self.scan(ctx, df)
+        for f in self._for(ctx, "on_stream_row"):
+            said = F.coalesce(F.expr(f(ctx)), F.lit("allow"))
+            denied = F.raise_error(F.lit(f"a row of {ctx.table} is denied")).cast("boolean")
+            df = df.where(F.when(said == "deny", denied).otherwise(said != "skip"))
+        return df
+
     def result(self, ctx: Context, df: DataFrame) -> DataFrame:
         for f in self._for(ctx, "after_query"):
             df = f(ctx, df)

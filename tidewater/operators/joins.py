@@ -32,3 +32,34 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[s
         same &= F.col(k) == F.col(f"_k{i}")
     joined = found.join(inherited, same, "left").withColumn("_r", F.when(F.col("_t").isNotNull(), F.coalesce("_own", "_i")))
     return joined.select("_l.*", *[F.col(f"_r.{c}").alias(c if c not in left.columns else f"{c}_asof") for c in take])
+
+
+def interval(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], by: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
+    """Rows of both whose closed spans (start, end: two columns, or one twice for a point) overlap, and that agree in ``by``, as structs ``l`` and ``r``.
+
+    An inequality alone would compare every row with every other. A span of a length of up to 2**k touches two bins of that width
+    at most, so k is its level. Two spans meet at the larger of their levels, in the first bin that both touch: a row is
+    in the bins of its own level and in those of larger levels that the other side has, however long some spans are,
+    and the join is by level and bin. ``where`` is a further condition on ``l`` and ``r``. Spans with a null, or whose end is before their start, meet nothing.
+    """
+    kind = left.schema[left_span[0]].dataType.typeName()
+    least = 0 if kind in ("timestamp", "timestamp_ntz", "date") else -8
+
+    def spans(df: DataFrame, span: tuple[str, str]) -> DataFrame:
+        scale = 1e6 if not least else 1.0
+        rows = df.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[(_place(F.col(c), kind) * scale).alias(n) for c, n in zip(span, ("_a", "_b"), strict=True)], F.struct("*").alias("_row"))
+        return rows.where("_a <= _b").withColumn("_k", F.greatest(F.ceil(F.log2(F.greatest(F.col("_b") - F.col("_a"), F.lit(2.0**least)))), F.lit(least)).cast("int"))
+
+    def binned(rows: DataFrame, others: list[int], name: str) -> DataFrame:
+        at = F.concat(F.array("_k"), F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda j: j > F.col("_k")))
+        rows = rows.withColumn("_j", F.explode(at))
+        width = F.pow(F.lit(2.0), F.col("_j"))
+        rows = rows.withColumn("_first", F.floor(F.col("_a") / width)).withColumn("_bin", F.explode(F.sequence("_first", F.floor(F.col("_b") / width))))
+        return rows.select(*[f"_by{i}" for i in range(len(by))], "_j", "_bin", F.struct("_row", "_a", "_b", "_first", (F.col("_k") == F.col("_j")).alias("own")).alias(name))
+
+    l, r = spans(left, left_span), spans(right, right_span)
+    levels = [[x[0] for x in rows.select("_k").distinct().collect()] for rows in (l, r)]  # one a power of two
+    met = binned(l, levels[1], "l").join(binned(r, levels[0], "r"), [*[f"_by{i}" for i in range(len(by))], "_j", "_bin"])
+    met = met.where((F.col("l.own") | F.col("r.own")) & (F.greatest("l._first", "r._first") == F.col("_bin")) & (F.col("l._a") <= F.col("r._b")) & (F.col("r._a") <= F.col("l._b")))
+    met = met.select(F.col("l._row").alias("l"), F.col("r._row").alias("r"))
+    return met.where(where) if where is not None else met

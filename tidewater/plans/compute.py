@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.database import Database
-from tidewater.operators import crdt, documents, kv, migrate, search
+from tidewater.operators import crdt, documents, hooks, kv, migrate, search
 from tidewater.plans.registry import query
 from tidewater.plans.relational import database
 from tidewater.runtime import shared_dir
@@ -136,6 +136,12 @@ def st_chunk(spark, d):
     return transforms.chunk(_t(spark, d, "events"), 64, "event_id").groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("s"))
 
 
+@query("st_chunk_wide", "SELECT doc_id, text, lang, source, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS chunk FROM documents")
+def st_chunk_wide(spark, d):
+    """Chunks of whole rows, long texts among them."""
+    return transforms.chunk(_t(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"), 100, "doc_id")
+
+
 @query("st_map_filter_take", "SELECT event_id, value * 2 AS v FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 40")
 def st_pipeline(spark, d):
     rows = transforms.filter_rows(_t(spark, d, "events"), "event_type = 'click'")
@@ -296,7 +302,7 @@ class _NoPurchases:
     """Lets no purchase in, and nothing of odd records out."""
 
     def before_inbound(self, changes):
-        return changes.where("field <> 'purchase'")
+        return changes.where("field IS DISTINCT FROM 'purchase'")
 
     def before_outbound(self, changes):
         return changes.where("pk % 2 = 0")
@@ -307,18 +313,132 @@ SELECT 'local' AS side, count(*) AS n FROM events WHERE event_id % 2 = 0 OR even
 UNION ALL SELECT 'remote', count(*) FROM events WHERE event_id % 2 = 1 OR user_id % 2 = 0""")
 def crdt_sync_hooks(spark, d):
     """What each side holds after an exchange in which the local one's hooks refuse some changes either way."""
-    log = _log(spark, d).withColumn("tombstone", F.lit(False))
-    log = log.withColumn("field", F.coalesce("field", F.lit("error"))).withColumn("tbl", F.lit("events"))
+    log = _log(spark, d)
     sides = crdt.exchange(log.where("hlc.c % 2 = 0"), log.where("hlc.c % 2 = 1"), (_NoPurchases(),))
     counts = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("side"), "n") for name, x in zip(("local", "remote"), sides, strict=True)]
     return counts[0].unionByName(counts[1])
 
 
-@query("crdt_clean_tombstones", "SELECT count(*) AS n FROM events WHERE NOT (event_type = 'error' AND ts < TIMESTAMP '2024-01-15')")
+_RECORDS = "SELECT user_id, max((ts, event_id)) FILTER (event_type = 'error') AS dead, max((ts, event_id)) FILTER (event_type <> 'error') AS live FROM events GROUP BY user_id"
+
+
+@query("crdt_clean_tombstones", f"""
+SELECT count(*) AS n FROM events JOIN ({_RECORDS}) USING (user_id)
+WHERE NOT (event_type = 'error' AND ts < TIMESTAMP '2024-01-15') AND NOT (dead IS NOT NULL AND dead < (TIMESTAMP '2024-01-15', 0) AND NOT coalesce(live > dead, false))""")
 def crdt_clean(spark, d):
-    """The log without tombstones from before a time."""
-    before = spark.sql("SELECT unix_micros(TIMESTAMP '2024-01-15 00:00:00') AS t").first().t
-    return crdt.clean_tombstones(_log(spark, d), before).agg(F.count(F.lit(1)).alias("n"))
+    """The log without tombstones from before a time and without the records that they killed."""
+    return crdt.clean_tombstones(_log(spark, d), _micros(spark, "2024-01-15")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _micros(spark: SparkSession, at: str) -> int:
+    return spark.sql(f"SELECT unix_micros(TIMESTAMP '{at} 00:00:00') AS t").first().t
+
+
+def _short_records(spark: SparkSession, d: str) -> DataFrame:
+    """The log with three events a record, so that many are dead."""
+    return _log(spark, d).withColumn("pk", F.floor(F.col("hlc.c") / 3).cast("long"))
+
+
+@query("crdt_clean_state", """
+WITH e AS (SELECT *, event_id // 3 AS pk FROM events), r AS (SELECT pk, max((ts, event_id)) FILTER (event_type = 'error') AS dead, max((ts, event_id)) FILTER (event_type <> 'error') AS live FROM e GROUP BY pk)
+SELECT pk, event_type AS field, arg_max(value, (ts, event_id)) AS value FROM e JOIN r USING (pk) WHERE event_type <> 'error' AND (dead IS NULL OR live > dead) GROUP BY pk, event_type""")
+def crdt_clean_state(spark, d):
+    """The state of a cleaned log, after it has met a replica that was not cleaned: no deleted record comes back."""
+    log, horizon = _short_records(spark, d), _micros(spark, "2024-01-20")
+    local, _ = crdt.exchange(crdt.clean_tombstones(log, horizon), log, horizon=horizon)
+    return crdt.record_state(local).withColumn("value", F.col("value").cast("double"))
+
+
+@query("crdt_sync_report", """
+WITH l AS (SELECT user_id AS pk, event_type AS field, arg_max(CAST(value AS VARCHAR), (ts, event_id)) AS v, max((ts, event_id)) AS h FROM events WHERE event_id % 2 = 0 AND event_type <> 'error' GROUP BY 1, 2),
+c AS (SELECT e.*, l.v, l.h FROM events e LEFT JOIN l ON l.pk = e.user_id AND l.field = e.event_type WHERE event_id % 2 = 1)
+SELECT count(*) AS pulled, (SELECT count(*) FROM events WHERE event_id % 2 = 0) AS pushed, count(*) FILTER (event_type = 'error') AS tombstones,
+count(*) FILTER (event_type <> 'error' AND h IS NOT NULL AND CAST(value AS VARCHAR) <> v) AS conflicts, count(*) FILTER (event_type <> 'error' AND (h IS NULL OR (ts, event_id) > h)) AS merged FROM c""")
+def crdt_report(spark, d):
+    """What an exchange moved, merged and found in conflict, counted while both logs are written."""
+    log = _log(spark, d)
+    _, _, report = crdt.reported(log.where("hlc.c % 2 = 0"), log.where("hlc.c % 2 = 1"))
+    return spark.createDataFrame([{k: int(v) for k, v in report.items()}], "pulled long, pushed long, tombstones long, conflicts long, merged long")
+
+
+@query("crdt_long_list", """
+WITH o AS (SELECT o_orderkey, o_custkey % 7 AS up FROM orders) SELECT row_number() OVER (ORDER BY CASE WHEN o_orderkey < 7 THEN o_orderkey ELSE up END, o_orderkey >= 7, o_orderkey DESC) AS pos, o_orderkey FROM o WHERE o_orderkey < 7 OR o_orderkey % 5 <> 0""")
+def crdt_long_list(spark, d):
+    """All orders as one list, ordered by joins: seven heads, and after each of them, newest first, its share of the others, a fifth of which are deleted."""
+    at = lambda c: crdt.hlc(c, F.lit(0), F.lit("n"))
+    key, first = F.col("o_orderkey"), F.col("o_orderkey") < 7
+    up = F.when(first, F.lit(None)).otherwise(F.col("o_custkey") % 7)
+    nodes = _t(spark, d, "orders").select(F.lit(1).alias("pk"), F.lit("orders").alias("field"), at(F.when(first, -key).otherwise(key)).alias("id"), F.when(up.isNotNull(), at(-up)).alias("parent"), key.alias("value"), (~first & (key % 5 == 0)).alias("tombstone"))
+    return crdt.list_order(nodes, walk=0).select("pos", F.col("value").alias("o_orderkey"))
+
+
+@query("crdt_merge_types", """
+SELECT user_id AS pk, event_type AS field, 'lww' AS crdt_type, CAST(NULL AS VARCHAR) AS place, arg_max(props, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2
+UNION ALL SELECT user_id, event_type, 'list', CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS VARCHAR), props FROM events WHERE event_type = 'click' AND event_id % 3 <> 0
+UNION ALL SELECT user_id, event_type, 'document', 'a.' || (event_id % 4), arg_max(props, event_id) FROM events WHERE event_type = 'purchase' GROUP BY user_id, event_type, event_id % 4
+HAVING max(event_id) > (SELECT coalesce(max(event_id), -1) FROM events x WHERE x.user_id = events.user_id AND x.event_type = 'error')""")
+def crdt_merge_types(spark, d):
+    """Single values, lists and documents of one log; errors delete what is below a document's ``a``."""
+    e, kind, key = _t(spark, d, "events"), F.col("event_type"), F.col("event_id")
+    at = crdt.hlc(key, F.lit(0), F.lit("n"))
+    dead = (kind == "error") | (kind == "click") & (key % 3 == 0)
+    typed = F.when(kind == "view", "lww").when(kind == "click", "list").when(kind.isin("purchase", "error"), "document")
+    path = F.when(kind == "error", "a").when(kind == "purchase", F.concat(F.lit("a."), (key % 4).cast("string")))
+    none = lambda t: F.lit(None).cast(t)
+    log = e.where(typed.isNotNull()).select(F.col("user_id").alias("pk"), F.when(kind == "error", "purchase").otherwise(kind).alias("field"), typed.alias("crdt_type"), at.alias("hlc"), F.col("props").alias("value"), dead.alias("tombstone"), none("struct<ts:bigint,c:bigint,node:string>").alias("parent"), path.alias("path"), none("string").alias("node"), none("long").alias("inc"), none("long").alias("dec"), none("string").alias("set_op"), none("string").alias("elem"))
+    return crdt.merge_types(log)[0]
+
+
+class _Guard:
+    """Vetoes purchases below what is known, caps views, and writes nothing of user 3."""
+
+    def __init__(self):
+        self.merged = []
+
+    def before_merge(self, met):
+        kept = met.where("NOT coalesce(field = 'purchase' AND CAST(value AS DOUBLE) < CAST(old_value AS DOUBLE), false)")
+        return kept.withColumn("value", F.when(F.col("field") == "view", F.least(F.col("value").cast("double"), F.lit(20.0)).cast("string")).otherwise(F.col("value")))
+
+    def before_write(self, new):
+        return new.where("pk <> 3")
+
+    def after_merge(self, new):
+        self.merged.append(new)
+
+
+@query("crdt_plugin_merge", """
+WITH s AS (SELECT user_id AS pk, event_type AS field, arg_max(value, event_id) AS v, max(event_id) AS h FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
+c AS (SELECT user_id AS pk, event_type AS field, CASE WHEN event_type = 'view' THEN least(value, 20.0) ELSE value END AS v, event_id AS h FROM events LEFT JOIN s ON s.pk = user_id AND s.field = event_type WHERE event_id % 2 = 1 AND NOT coalesce(event_type = 'purchase' AND value < s.v, false)),
+n AS (SELECT pk, field, arg_max(v, h) AS v, max(h) AS h FROM c WHERE pk <> 3 GROUP BY 1, 2)
+SELECT coalesce(s.pk, n.pk) AS pk, coalesce(s.field, n.field) AS field, CASE WHEN s.h IS NULL OR n.h > s.h THEN n.v ELSE s.v END AS value, CASE WHEN s.h IS NULL OR n.h > s.h THEN n.h IS NOT NULL ELSE false END AS came FROM s FULL JOIN n ON n.pk = s.pk AND n.field = s.field""")
+def crdt_plugin_merge(spark, d):
+    """A merge under a plugin that vetoes, replaces and sees what was written."""
+    e = _t(spark, d, "events").select(F.lit("t").alias("tbl"), F.col("user_id").alias("pk"), F.col("event_type").alias("field"), crdt.hlc(F.col("event_id"), F.lit(0), F.lit("n")).alias("hlc"), F.col("value").cast("string").alias("value"))
+    guard = _Guard()
+    merged = crdt.merge_into(crdt.latest(e.where("hlc.ts % 2 = 0"), ("tbl", "pk", "field")), e.where("hlc.ts % 2 = 1"), (guard,))
+    came = guard.merged[0].select("pk", "field", F.lit(True).alias("came"))
+    return merged.join(came, ["pk", "field"], "left").select("pk", "field", F.col("value").cast("double").alias("value"), F.coalesce("came", F.lit(False)).alias("came"))
+
+
+class _Skips:
+    """Skips searches, and denies events without a user."""
+
+    def on_stream_row(self, ctx):
+        return "CASE WHEN user_id IS NULL THEN 'deny' WHEN event_type = 'search' OR value < 1 THEN 'skip' END"
+
+
+@query("hook_stream_row", "SELECT event_id, CAST(floor(value) AS BIGINT) AS value FROM events WHERE event_type <> 'search' AND value >= 1 AND user_id % 2 = 1")
+def hook_stream_row(spark, d):
+    """A stream of new files under a filter, a mask, which the decision on rows sees, and that decision, which skips some."""
+    path = shared_dir(spark)
+    _t(spark, d, "events").select("event_id", "user_id", "event_type", "value").repartition(3).write.parquet(f"{path}/in")
+    db = database(spark, d)
+    db.hooks.add(hooks.RowFilter("user_id % 2 = 1"), tables=("events",))
+    db.hooks.add(hooks.Mask({"value": "floor(value)"}), tables=("events",))
+    db.hooks.add(_Skips(), operations=("stream",))
+    rows = db.stream("events", stream(spark, f"{path}/in", "event_id long, user_id long, event_type string, value double", 1))
+    state.fold_batches(rows, f"{path}/out", lambda b: b.select("event_id", F.col("value").cast("long").alias("value")), f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id", "value")
 
 
 @query("crdt_document_json", """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars
-from tidewater.operators import documents, kv, mutate
+from tidewater.operators import documents, joins, kv, mutate
 from tidewater.plans.registry import query
 from tidewater.plans.relational import database
 from tidewater.runtime import shared_dir
@@ -63,6 +63,29 @@ def join_range(spark, d):
     return database(spark, d).select(frame=e, alias="e").column("event_id").column_expr("count(*) OVER (PARTITION BY user_id ORDER BY at RANGE BETWEEN 1 FOLLOWING AND 3600000000 FOLLOWING) AS n").df()
 
 
+@query("join_interval", """
+WITH w AS (SELECT o_custkey, arg_max(o_orderdate, (o_totalprice, o_orderkey)) AS t FROM orders GROUP BY o_custkey)
+SELECT o_custkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s FROM w JOIN lineitem ON l_shipdate >= t AND l_shipdate <= t + INTERVAL 1 DAY GROUP BY o_custkey""")
+def join_interval(spark, d):
+    """What was shipped within a day of each customer's dearest order: a join on dates alone."""
+    best = F.max_by("o_orderdate", F.struct("o_totalprice", "o_orderkey"))
+    windows = _t(spark, d, "orders").groupBy("o_custkey").agg(best.alias("t")).withColumn("until", F.col("t") + F.expr("interval 1 day"))
+    items = _t(spark, d, "lineitem").select("l_shipdate", "l_linenumber")
+    met = joins.interval(windows, items, ("t", "until"), ("l_shipdate", "l_shipdate"))
+    return met.groupBy("l.o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("r.l_linenumber").alias("s"))
+
+
+@query("join_interval_key", """
+WITH s AS (SELECT user_id, ts AS a, ts + to_seconds(CAST(round(value * value) AS BIGINT) * 20) AS z, event_id FROM events WHERE event_type = 'view')
+SELECT s.event_id, count(*) AS n FROM s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.a AND e.ts <= s.z AND e.event_id <> s.event_id GROUP BY s.event_id""")
+def join_interval_key(spark, d):
+    """Events of the same user within views of very different lengths: bins by key and length, so that a user with most events is many keys."""
+    e = _t(spark, d, "events")
+    views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("a"), F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, cast(round(value * value) as bigint) * 20)").alias("z"), "event_id")
+    met = joins.interval(views, e.select("user_id", "ts", "event_id"), ("a", "z"), ("ts", "ts"), ("user_id",), F.col("l.event_id") != F.col("r.event_id"))
+    return met.groupBy("l.event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("fn_regexp", "SELECT p_partkey, regexp_extract(p_brand, '#(\\d)', 1) AS first, regexp_replace(p_type, '[AEIOU]', '', 'g') AS rest, p_type LIKE '%STEEL%' AS steel, p_type ILIKE 'promo%' AS promo FROM part")
 def fn_regexp(spark, d):
     p = _t(spark, d, "part")
