@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ class Database:
         self.spark, self.folder, self.hooks = spark, folder, Engine()
         self.tables: dict[str, TableDef] = {}
         self.frames: dict[str, DataFrame] = {}
+        self.changed: set[str] = set()
 
     def register(self, table: TableDef, frame: DataFrame | None = None) -> Database:
         self.tables[table.name] = table
@@ -67,8 +69,16 @@ class Database:
         filters = self.hooks.filters(Context(operation, name), "before_mutation")
         return F.coalesce(reduce(Column.__and__, [F.expr(f"({f})") for f in filters], F.lit(True)), F.lit(False))
 
+    def _before(self, name: str) -> DataFrame:
+        """All stored rows, as a mutation reads them: what an earlier one made is written first, so that plans of many do not stack up."""
+        if name in self.changed:
+            self.frames[name] = materialize(self.frames[name], shared_dir(self.spark), name)
+            self.changed.discard(name)
+        return self.raw_rows(name)
+
     def _done(self, name: str, operation: str, after: DataFrame, affected: DataFrame) -> DataFrame:
         self.frames[name] = after
+        self.changed.add(name)
         self.hooks.mutated(Context(operation, name), affected)
         return affected
 
@@ -83,7 +93,7 @@ class Database:
         return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(f"a row may not be written to {name}")).cast("boolean")))
 
     def insert(self, name: str, new: DataFrame) -> DataFrame:
-        t, stored = self.table(name), self.raw_rows(name)
+        t, stored = self.table(name), self._before(name)
         defaults = {f.name: f.flags["default"] for f in t.fields if f.flags.get("default")}
         number = next((f.name for f in t.fields if "autoincrement" in f.flags and f.name not in new.columns), None)
         _, rows = mutate.insert(stored, new, defaults, number)
@@ -92,7 +102,7 @@ class Database:
 
     def upsert(self, name: str, new: DataFrame, update: dict[str, str] | None = None, nothing: bool = False, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
         """On a conflict of the key (or ``keys``): nothing, or the columns set; rows that the hooks hide are not changed."""
-        stored, ok = self.raw_rows(name), self._allowed(name, "upsert")
+        stored, ok = self._before(name), self._allowed(name, "upsert")
         keys = keys or self.table(name).pk
         own, hidden = stored.where(ok), stored.where(~ok)
         new = self._checked(name, "upsert", new).join(hidden.select(*keys), keys, "left_anti")
@@ -100,13 +110,14 @@ class Database:
         return self._done(name, "upsert", after.unionByName(hidden), affected)
 
     def update(self, name: str, changes: dict[str, str | Column], where: str | Column | None = None, order: list[Column] | None = None, limit: int = 0) -> DataFrame:
-        after, affected = mutate.update(self.raw_rows(name), changes, self._where(name, "update", where), order, limit, self.table(name).pk or None)
+        after, affected = mutate.update(self._before(name), changes, self._where(name, "update", where), order, limit, self.table(name).pk or None)
         return self._done(name, "update", after, affected)
 
     def delete(self, name: str, where: str | Column | None = None, force: bool = False, order: list[Column] | None = None, limit: int = 0, now: Column | None = None) -> DataFrame:
         """Softly where the table has a column for that, unless forced."""
         t = self.table(name)
-        after, affected = mutate.delete(self.raw_rows(name), self._where(name, "delete", where, force), None if force else t.soft_delete, order, limit, now, t.pk or None)
+        now = now if now is not None else F.lit(datetime.now(UTC))  # one time, for the table and for what is returned
+        after, affected = mutate.delete(self._before(name), self._where(name, "delete", where, force), None if force else t.soft_delete, order, limit, now, t.pk or None)
         return self._done(name, "delete", after, affected)
 
     def together(self, **after: DataFrame) -> None:
@@ -116,6 +127,7 @@ class Database:
         """
         path = shared_dir(self.spark)
         self.frames.update({name: materialize(df, path, name) for name, df in after.items()})
+        self.changed -= after.keys()
 
     def _where(self, name: str, operation: str, where: str | Column | None, deleted: bool = False) -> Column:
         sd = self.table(name).soft_delete

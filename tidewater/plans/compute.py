@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.database import Database
-from tidewater.operators import crdt, documents, hooks, kv, migrate, search
+from tidewater.operators import crdt, documents, hooks, kv, migrate, mutate, search
 from tidewater.plans.registry import query
 from tidewater.plans.relational import database
 from tidewater.runtime import shared_dir
+from tidewater.sources import broker, store
 from tidewater.sources.tables import stream
 from tidewater.streaming import state, transforms
 
@@ -175,6 +179,114 @@ def st_sessions(spark, d):
     return transforms.sessions(_t(spark, d, "events"), "ts", "2 hours", "user_id", aggs=[F.count(F.lit(1)).alias("n")])
 
 
+def _session_ops(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    op = F.when(kind == "signup", "create").when(kind == "purchase", "update").when(kind == "error", "delete").otherwise("touch")
+    return _t(spark, d, "events").select(F.col("user_id").alias("id"), op.alias("op"), F.col("props").alias("data"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+_SESSIONS = """
+WITH o AS (SELECT user_id AS id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'update' WHEN 'error' THEN 'delete' ELSE 'touch' END AS op, props AS data, ts, event_id AS seq FROM events),
+p AS (SELECT *, count(*) FILTER (op <> 'touch') OVER (PARTITION BY id ORDER BY ts, seq) AS part, lead(ts) OVER (PARTITION BY id ORDER BY ts, seq) AS next FROM o),
+g AS (SELECT *, coalesce(ts - lag(ts) OVER q >= INTERVAL 6 HOUR, false) AS late, first_value(op) OVER q AS setter, first_value(data) OVER q AS held FROM p WINDOW q AS (PARTITION BY id, part ORDER BY ts, seq)),
+l AS (SELECT *, setter IN ('create', 'update') AND NOT bool_or(late) OVER (PARTITION BY id, part ORDER BY ts, seq) AS live FROM g),
+x AS (SELECT *, lag(live) OVER r AS was, lag(held) OVER r AS of, lag(ts) OVER r AS prev FROM l WINDOW r AS (PARTITION BY id ORDER BY ts, seq))
+SELECT id, op AS event, held AS data, ts AS at FROM x WHERE live
+UNION ALL SELECT id, 'delete', of, ts FROM x WHERE op = 'delete' AND was AND prev + INTERVAL 6 HOUR > ts
+UNION ALL SELECT id, 'expire', held, ts + INTERVAL 6 HOUR FROM x WHERE live AND (next IS NULL OR ts + INTERVAL 6 HOUR <= next)"""
+
+
+@query("st_session_store", _SESSIONS)
+def session_store(spark, d):
+    """A session store from events: created, updated, touched, deleted, and ended where they are not renewed within six hours."""
+    return state.session_events(_session_ops(spark, d), 6 * 3600).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("st_session_stream", _SESSIONS)
+def session_stream(spark, d):
+    """The same as a stream of files in the order of time, with state and timers; two operations of no one, long after, let all sessions end."""
+    path, ops = shared_dir(spark), _session_ops(spark, d)
+    last = ops.agg(F.max("ts")).first()[0]
+    cuts = [last - datetime.timedelta(days=x) for x in (20, 10)]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = ops.where(F.col("ts") > low) if low else ops
+        (part.where(F.col("ts") <= high) if high else part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    for days in (40, 41):
+        spark.createDataFrame([(-1, "delete", None, last + datetime.timedelta(days=days), -1)], ops.schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    made = state.session_stream(stream(spark, f"{path}/in", ops.schema, 1), 6 * 3600)
+    state.fold_batches(made, f"{path}/out", lambda b: b, f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("id", "event", "data", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+def _topic(spark: SparkSession, d: str, path: str) -> None:
+    """Events as messages in three publications; every fiftieth is cut off."""
+    e = _t(spark, d, "events").withColumn("value", F.to_json(F.struct("event_id", "user_id", "event_type", "value")))
+    e = e.withColumn("value", F.when(F.col("event_id") % 50 == 7, F.substring("value", 1, 12)).otherwise(F.col("value")))
+    for k in range(3):
+        broker.publish(path, e.where(F.col("event_id") % 3 == k), "user_id", "value", 4, ("event_id",))
+
+
+@query("broker_once", """
+SELECT event_id, user_id, value, NULL AS bad, 1 AS times FROM events WHERE event_id % 50 <> 7
+UNION ALL SELECT NULL, NULL, NULL, bad, CAST(count(*) AS INT) FROM (SELECT left('{"event_id":' || event_id, 12) AS bad FROM events WHERE event_id % 50 = 7) GROUP BY bad""")
+def broker_once(spark, d):
+    """A topic read by a sink that fails between writing and committing its second batch, and is started again: each message once, cut ones apart."""
+    path = shared_dir(spark)
+    _topic(spark, d, f"{path}/topic")
+    failed = []
+
+    def fail(n: int) -> None:
+        if n == 1 and not failed:
+            failed.append(n)
+            raise RuntimeError("the sink fails once")
+
+    for _ in range(2):
+        messages = broker.subscribe(spark, f"{path}/topic", "event_id long, user_id long, event_type string, value double", files_per_trigger=2)
+        running = broker.deliver(messages, f"{path}/sink", f"{path}/checkpoint", fail)
+        try:
+            running.awaitTermination()
+        except StreamingQueryException:
+            if not failed:
+                raise
+    good = broker.delivered(spark, f"{path}/sink").groupBy("data.event_id", "data.user_id", "data.value").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    bad = broker.delivered(spark, f"{path}/sink", ok=False).groupBy("bad").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return good.unionByName(bad, allowMissingColumns=True).select("event_id", "user_id", "value", "bad", "times")
+
+
+@query("broker_offsets", """SELECT CAST(user_id AS VARCHAR) AS key, left('{"event_id":' || event_id, 12) AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id) AS place FROM events""")
+def broker_offsets(spark, d):
+    """A key's messages in the order of their offsets: publications one after another, each in its own order."""
+    path = shared_dir(spark)
+    _topic(spark, d, path)
+    rows = broker.messages(spark.read.schema(broker.MESSAGE).parquet(f"{path}/data/*"), "event_id long")
+    text = F.coalesce("bad", F.concat(F.lit('{"event_id":'), F.col("data.event_id").cast("string")))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("offset"))
+    return rows.select("key", F.substring(text, 1, 12).alias("text"), place.cast("long").alias("place"))
+
+
+@query("mut_stored_transaction", """
+SELECT 'customer' AS tbl, c_custkey AS id, c_acctbal + CASE WHEN c_mktsegment = 'BUILDING' THEN 10 ELSE 0 END AS amount FROM customer
+UNION ALL SELECT 'orders', o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice < 100000)""")
+def stored_transaction(spark, d):
+    """Two stored tables that change together, by partitions, after a transaction that failed between them and left both as they were."""
+    s = store.Store(spark, shared_dir(spark))
+    with s.transaction() as t:
+        t.put("customer", _t(spark, d, "customer"), "c_mktsegment")
+        t.put("orders", _t(spark, d, "orders"), "o_orderstatus")
+    try:
+        with s.transaction() as t:
+            t.change("customer", mutate.update, {"c_acctbal": "0"}, where="c_acctbal < 0")
+            raise RuntimeError("fails between the tables")
+    except RuntimeError:
+        pass
+    with s.transaction() as t:
+        t.change("customer", mutate.update, {"c_acctbal": "c_acctbal + 10"}, where="c_mktsegment = 'BUILDING'")
+        t.change("orders", mutate.delete, where="o_orderstatus = 'F' AND o_totalprice < 100000")
+        t.change("orders", mutate.update, {"o_totalprice": "0"}, where="o_orderstatus = 'P'")
+    c, o = s.read("customer"), s.read("orders")
+    return c.select(F.lit("customer").alias("tbl"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount")).unionByName(o.select(F.lit("orders").alias("tbl"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount")))
+
+
 @query("st_presence", "SELECT event_type AS topic, user_id AS node, arg_max(event_id, ts) AS data FROM events GROUP BY 1, 2 HAVING max(ts) + INTERVAL 1 DAY > TIMESTAMP '2024-01-30'")
 def st_presence(spark, d):
     updates = _t(spark, d, "events").select(F.col("event_type").alias("topic"), F.col("user_id").alias("node"), F.col("event_id").alias("data"), F.lit(False).alias("leave"), "ts")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def fold_batches(changes: DataFrame, path: str, fold: Callable[[DataFrame], DataFrame], checkpoint: str, available_now: bool = True):
@@ -87,3 +88,92 @@ def notify(stream: DataFrame, handlers: dict[str, Callable[[DataFrame], None]],
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+SESSION = "id long, event string, data string, at timestamp"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Sessions(StatefulProcessor):
+    """A session's data and when it ends, in microseconds; a timer in event time for its end."""
+
+    def __init__(self, seconds: int):
+        self.ttl = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", "data string, ends long")
+
+    def _end(self, key: tuple, event: str, at: int, out: list) -> None:
+        data, ends = self.state.get()
+        self.handle.deleteTimer(-(-ends // 1000))
+        self.state.clear()
+        out.append((key[0], event, data, at))
+
+    def _rows(self, out: list) -> pd.DataFrame:
+        rows = pd.DataFrame(out, columns=["id", "event", "data", "at"])
+        return rows.assign(at=pd.to_datetime(rows["at"], unit="us"))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        got = pd.concat(rows).sort_values(["ts", "seq"])
+        out: list = []
+        for op, data, at in zip(got["op"], got["data"], got["ts"].astype("datetime64[us]").astype("int64"), strict=True):
+            if self.state.exists() and self.state.get()[1] <= at:
+                self._end(key, "expire", self.state.get()[1], out)
+            live = self.state.exists()
+            if op == "delete":
+                if live:
+                    self._end(key, "delete", at, out)
+                continue
+            if op == "touch" and not live:
+                continue
+            if live:
+                self.handle.deleteTimer(-(-self.state.get()[1] // 1000))
+            data = self.state.get()[0] if op == "touch" else data
+            self.state.update((data, at + self.ttl))
+            self.handle.registerTimer(-(-(at + self.ttl) // 1000))
+            out.append((key[0], op, data, at))
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out: list = []
+        if self.state.exists() and -(-self.state.get()[1] // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+            self._end(key, "expire", self.state.get()[1], out)
+        yield self._rows(out)
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream(ops: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
+    """(id, event, data, at) from a stream of (id, op, data, ts, seq): a session store whose sessions end ``seconds`` after they were last renewed.
+
+    create and update set the data, touch renews a session that there is, delete ends it; a session that is not renewed in time gives
+    ``expire`` at its end, by a timer in event time, or before the next operation that finds it ended. State is in RocksDB, with checkpoints.
+    """
+    spark = ops.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = ops.select("id", "op", "data", "ts", "seq").withWatermark("ts", late)
+    return rows.groupBy("id").transformWithStateInPandas(statefulProcessor=_Sessions(seconds), outputStructType=SESSION, outputMode="Append", timeMode="eventTime")
+
+
+def session_events(ops: DataFrame, seconds: int) -> DataFrame:
+    """The same of a table of operations, all ends included.
+
+    Between two settings or deletions a session lives on as long as no gap reaches its time to live: a running maximum of gaps tells.
+    """
+    w = Window.partitionBy("id").orderBy("ts", "seq")
+    gap = F.make_interval(secs=F.lit(seconds))
+    rows = ops.select("id", "op", "data", "ts", "seq").withColumn("_part", F.sum(F.when(F.col("op") != "touch", 1).otherwise(0)).over(w))
+    inside = Window.partitionBy("id", "_part").orderBy("ts", "seq")
+    rows = rows.withColumn("_prev", F.lag("ts").over(inside)).withColumn("_next", F.lead("ts").over(w))
+    late = F.coalesce(F.col("_prev") + gap <= F.col("ts"), F.lit(False))
+    rows = rows.withColumn("_dead", F.max(late).over(inside)).withColumns({"_set": F.first("op").over(inside), "_data": F.first("data").over(inside)})
+    rows = rows.withColumn("_live", F.col("_set").isin("create", "update") & ~F.col("_dead"))
+    # A deletion says what it ends: the row before it, if that is not over by then.
+    rows = rows.withColumns({"_was": F.lag("_live").over(w), "_of": F.lag("_data").over(w), "_at": F.lag("ts").over(w)})
+    said = rows.where("_live").select("id", F.col("op").alias("event"), F.col("_data").alias("data"), F.col("ts").alias("at"))
+    gone = rows.where((F.col("op") == "delete") & F.col("_was") & (F.col("_at") + gap > F.col("ts"))).select("id", F.lit("delete").alias("event"), F.col("_of").alias("data"), F.col("ts").alias("at"))
+    over = rows.where(F.col("_live") & F.coalesce(F.col("ts") + gap <= F.col("_next"), F.lit(True))).select("id", F.lit("expire").alias("event"), F.col("_data").alias("data"), (F.col("ts") + gap).alias("at"))
+    return said.unionByName(gone).unionByName(over)
