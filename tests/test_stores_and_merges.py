@@ -315,3 +315,75 @@ def test_a_change_behind_a_vetoed_one_wins(spark):
     assert sorted((r.pk, r.value) for r in crdt.merge_into(now, new, (p,)).collect()) == [(1, "3"), (2, "2"), (3, "6")] and p.seen == 2
     assert sorted((r.pk, r.value) for r in crdt.merge_into(now, new).collect()) == [(1, "9"), (2, "2"), (3, "6")]
     assert rows(crdt.merge_into(now, new.limit(0))) == rows(now)
+
+
+# Chunks and rooms by key.
+def test_chunks_and_rooms_of_a_hot_key_are_those_of_windows(spark):
+    rng = random.Random(6)
+    moves = [(rng.choice(["hot"] * 5 + ["a", "b", None]), k, rng.choice([1, -1])) for k in range(500)]
+    df = spark.createDataFrame(moves, "room string, at int, delta int")
+    inside, seen, want = {}, {}, {}
+    for room, at, delta in moves:
+        inside[room], seen[room] = inside.get(room, 0) + delta, seen.get(room, -1) + 1
+        want[at] = room, inside[room], seen[room] // 7
+    got = transforms.chunk(transforms.occupancy(df, "room", "at"), 7, "at", by="room")
+    assert {r.at: (r.room, r.inside, r.chunk) for r in got.collect()} == want
+
+
+def test_a_scroll_reads_one_snapshot(spark):
+    df = spark.range(10).select(F.col("id").alias("v"), F.rand().alias("x"))  # other values each time it is read
+    pages = [p.collect() for p in transforms.scroll(df, 4, F.desc("v"))]
+    assert [[r.v for r in p] for p in pages] == [[9, 8, 7, 6], [5, 4, 3, 2], [1, 0]]
+    assert list(transforms.scroll(df.limit(0), 4, "v")) == []
+    with pytest.raises(ValueError):
+        next(transforms.scroll(df, 0, "v"))
+
+
+# Validators, shadow tables, plugins.
+def test_validators_let_nulls_pass_but_for_required_fields(spark):
+    from tidewater.operators import documents
+
+    df = spark.createDataFrame([(1, "ab", 5.0), (2, None, None), (None, "abcd", -1.0)], "id int, name string, x double")
+    rules = {"required": ["id"], "properties": {"name": {"bsonType": "string", "minLength": 2, "maxLength": 3}, "x": {"bsonType": "int", "minimum": 0}}}
+    got = {r.id: list(r.violations) for r in df.select("id", documents.violations(df, rules).alias("violations")).collect()}
+    assert got == {1: ["x: bsonType"], 2: [], None: ["id: required", "name: maxLength", "x: bsonType", "x: minimum"]}
+    assert documents.validated(df, {})[1].count() == 0
+
+
+def test_shadow_tables_are_read_by_their_days(spark):
+    path = shared_dir(spark)
+    days = [("t", 1, "a", (d * crdt.DAY + 5, 0, "n"), str(d), False) for d in range(-2, 6)]
+    crdt.shadow_write(spark.createDataFrame(days, f"tbl string, pk int, field string, hlc {HLC}, value string, tombstone boolean"), path)
+    late = crdt.shadow_read(spark, path, 3 * crdt.DAY + 6)
+    assert sorted(r.value for r in late.collect()) == ["4", "5"] and crdt.shadow_read(spark, path).count() == 8
+    assert "PartitionFilters: [isnotnull(day" in late._jdf.queryExecution().toString()
+
+
+def test_plugins_are_used_once_and_bring_hooks_and_migrations(spark):
+    class Plugin:
+        name = "audit"
+
+        def init(self, db):
+            self.db = db
+
+        def hooks(self, engine):
+            engine.add(hooks.RowFilter("id > 1"), tables=("t",))
+
+        def migrations(self):
+            return "group"
+
+    db = Database(spark).register(TableDef("t"), spark.range(4))
+    p = Plugin()
+    assert db.use(p) is db and p.db is db and db.migrations() == ["group"] and db.rows("t").count() == 2
+    with pytest.raises(ValueError):
+        db.use(Plugin())
+
+
+def test_a_batch_reads_before_it_writes(spark):
+    from tidewater.operators import kv
+
+    cols = "k string, v string, expires_at timestamp"
+    now = spark.createDataFrame([("a", "1", None), ("b", "2", None), ("old", "3", datetime(2000, 1, 1))], cols)
+    ops = spark.createDataFrame([("get", "a", None, None), ("get", "old", None, None), ("set", "a", "8", None), ("set", "a", "9", None), ("set", "n", "7", None), ("del", "b", None, None), ("del", "n", None, None), ("del", "none", None, None)], f"op string, {cols}")
+    after, values, counts = kv.batch(now, ops)
+    assert rows(after.select("k", "v")) == [("a", "9")] and rows(values) == [("a", "1")] and counts.first()[:] == (2, 2)

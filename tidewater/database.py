@@ -20,6 +20,7 @@ class Database:
         self.tables: dict[str, TableDef] = {}
         self.frames: dict[str, DataFrame] = {}
         self.changed: set[str] = set()
+        self.plugins: dict[str, object] = {}
 
     def register(self, table: TableDef, frame: DataFrame | None = None) -> Database:
         self.tables[table.name] = table
@@ -48,6 +49,20 @@ class Database:
         sd = self.table(name).soft_delete
         return self.hooks.stream(Context("stream", name), source.where(F.col(sd).isNull()) if sd else source)
 
+    def use(self, plugin) -> Database:
+        """Add a plugin, an object with a ``name`` and any of ``init(db)``, ``hooks(engine)`` and ``migrations()``, a group for a ``Migrator``; each name once."""
+        if plugin.name in self.plugins:
+            raise ValueError(f"plugin {plugin.name} is in use")
+        for method, arg in (("init", self), ("hooks", self.hooks)):
+            if hasattr(plugin, method):
+                getattr(plugin, method)(arg)
+        self.plugins[plugin.name] = plugin
+        return self
+
+    def migrations(self) -> list:
+        """The migration groups of all plugins, in the order of their use."""
+        return [p.migrations() for p in self.plugins.values() if hasattr(p, "migrations")]
+
     def create(self, table: TableDef, folder: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
         """An empty table of the definition's types and flags; with a folder, stored there as Parquet, partitioned."""
         empty = self.spark.createDataFrame([], table.struct())
@@ -79,8 +94,7 @@ class Database:
     def _done(self, name: str, operation: str, after: DataFrame, affected: DataFrame) -> DataFrame:
         self.frames[name] = after
         self.changed.add(name)
-        self.hooks.mutated(Context(operation, name), affected)
-        return affected
+        return self.hooks.mutated(Context(operation, name), affected)
 
     def _checked(self, name: str, operation: str, rows: DataFrame) -> DataFrame:
         """New rows as they may be written: with defaults; one without a required field, or that the hooks' filters don't let through, fails the job."""
@@ -88,6 +102,7 @@ class Database:
         for f in t.fields:
             if f.flags.get("default") and f.name in rows.columns:
                 rows = rows.withColumn(f.name, F.coalesce(f.name, F.expr(f.flags["default"])).cast(rows.schema[f.name].dataType))
+        rows = self.hooks.written(Context(operation, name), rows).select(*rows.columns)
         need = [f.name for f in t.fields if f.name in rows.columns and ("notnull" in f.flags or "pk" in f.flags)]
         ok = reduce(Column.__and__, [F.col(c).isNotNull() for c in need], self._allowed(name, operation))
         return rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(f"a row may not be written to {name}")).cast("boolean")))

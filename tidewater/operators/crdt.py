@@ -21,7 +21,7 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.runtime import materialize, shared_dir
@@ -281,6 +281,23 @@ def changes_since(log: DataFrame, since: Column | None, limit: int = 0) -> DataF
     return rows.limit(limit) if limit > 0 else rows
 
 
+#: Microseconds of a day, by which shadow tables are partitioned.
+DAY = 86_400_000_000
+
+
+def shadow_write(log: DataFrame, folder: str) -> None:
+    """Append changes to a shadow table, the stored log beside a table: Parquet, partitioned by the day of the clock, as syncs read by clock."""
+    log.withColumn("day", F.floor(F.col("hlc.ts") / DAY).cast("long")).write.mode("append").partitionBy("day").parquet(folder)
+
+
+def shadow_read(spark: SparkSession, folder: str, since: int | None = None) -> DataFrame:
+    """A shadow table's changes, or those from a clock's time on, for which only the days from then on are read."""
+    rows = spark.read.parquet(folder)
+    if since is not None:
+        rows = rows.where((F.col("day") >= since // DAY) & (F.col("hlc.ts") >= since))
+    return rows.drop("day")
+
+
 def field_history(log: DataFrame, pk, field: str, limit: int = 100) -> DataFrame:
     return log.where((F.col("pk") == pk) & (F.col("field") == field)).orderBy(F.desc("hlc")).limit(limit)
 

@@ -168,3 +168,42 @@ def delete(df: DataFrame, spec: dict, many: bool = False, order: list[str] | Non
     if many:
         return df.where(~F.coalesce(match(spec), F.lit(False)))
     return _first(df, spec, order, key).where(~F.col("_hit")).drop("_hit")
+
+
+#: Types of a validator and the test of a string column or of any other that holds such values.
+KINDS = {"string": ("string", "varchar", "char"), "int": ("integer", "short", "byte"), "long": ("long", "integer", "short", "byte"), "double": ("double", "float"), "number": ("double", "float", "long", "integer", "short", "byte", "decimal"), "bool": ("boolean",), "date": ("timestamp", "timestamp_ntz", "date"), "object": ("struct", "map", "variant"), "array": ("array",)}
+
+
+def violations(df: DataFrame, schema: dict) -> Column:
+    """The rules of a collection's validator that each row breaks, as texts ``field: rule``; of a row that is valid none.
+
+    A validator has ``required`` and, by field, ``properties`` with bsonType, enum, minimum, maximum, minLength, maxLength and pattern. A rule on a
+    field that is absent or null holds, but for required.
+    """
+    known = {f.name: f.dataType.typeName() for f in df.schema}
+    broken: list[Column] = []
+
+    def rule(field: str, name: str, ok: Column) -> None:
+        broken.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"{field}: {name}")))
+
+    for field in schema.get("required", ()):
+        rule(field, "required", F.col(field).isNotNull() if field in known else F.lit(False))
+    for field, want in schema.get("properties", {}).items():
+        if field not in known:
+            continue
+        c = F.col(field)
+        kinds = want.get("bsonType")
+        if kinds is not None:
+            fits = any(known[field] in KINDS[k] for k in ([kinds] if isinstance(kinds, str) else kinds))
+            rule(field, "bsonType", c.isNull() | F.lit(fits))
+        tests = {"enum": lambda x: c.isin(list(x)), "minimum": lambda x: c >= x, "maximum": lambda x: c <= x, "minLength": lambda x: F.length(c) >= x, "maxLength": lambda x: F.length(c) <= x, "pattern": lambda x: c.rlike(x)}
+        for name, test in tests.items():
+            if name in want:
+                rule(field, name, c.isNull() | test(want[name]))
+    return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
+
+
+def validated(df: DataFrame, schema: dict) -> tuple[DataFrame, DataFrame]:
+    """(rows that a validator accepts, the others with ``violations``)."""
+    rows = df.withColumn("violations", violations(df, schema))
+    return rows.where(F.size("violations") == 0).drop("violations"), rows.where(F.size("violations") > 0)

@@ -4,6 +4,7 @@ A hook is an object with any of these methods, each of which gets the context fi
 ``before_query`` and ``before_mutation`` return None (allow), a string or list of strings
 (filters, SQL, all of which rows must meet) or raise ``Denied``; ``at_scan`` returns the rows that
 all of a query works on; ``after_query`` returns the result that callers get; ``after_mutation`` sees the affected rows;
+``before_write`` gets the rows that an insert or upsert would write, defaults set, and returns them as they shall be;
 ``on_stream_row`` gives SQL that decides on each row of a stream: ``'allow'`` or null, ``'skip'``, or ``'deny'``, which ends it with an error.
 """
 
@@ -13,7 +14,7 @@ import time
 from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -71,9 +72,17 @@ class Engine:
             df = f(ctx, df)
         return df
 
-    def mutated(self, ctx: Context, affected: DataFrame) -> None:
+    def written(self, ctx: Context, rows: DataFrame) -> DataFrame:
+        for f in self._for(ctx, "before_write"):
+            rows = f(ctx, rows)
+        return rows
+
+    def mutated(self, ctx: Context, affected: DataFrame) -> DataFrame:
+        """The affected rows; a hook that returns rows, such as the same ones observed, stands for those that callers get."""
         for f in self._for(ctx, "after_mutation"):
-            f(ctx, affected)
+            got = f(ctx, affected)
+            affected = got if isinstance(got, DataFrame) else affected
+        return affected
 
 
 class RowFilter:
@@ -115,11 +124,16 @@ class Audit:
 
 
 class Metrics:
-    """Counts operations and the seconds between their start and end on the driver."""
+    """Counts operations, the seconds between their start and end on the driver, and the rows that they gave.
+
+    Rows are observed on the plans that callers run, so that no job runs for them; they count once a result has been
+    read whole.
+    """
 
     def __init__(self) -> None:
         self.count: Counter = Counter()
         self.seconds: Counter = Counter()
+        self.seen: list[tuple[str, str, Observation]] = []
 
     def before_query(self, ctx: Context) -> None:
         self.count[ctx.operation, ctx.table] += 1
@@ -127,4 +141,23 @@ class Metrics:
 
     def after_query(self, ctx: Context, df: DataFrame) -> DataFrame:
         self.seconds[ctx.operation, ctx.table] += time.monotonic() - ctx.values.get("began", time.monotonic())
-        return df
+        return self._observed(ctx, df)
+
+    def after_mutation(self, ctx: Context, affected: DataFrame) -> DataFrame:
+        self.count[ctx.operation, ctx.table] += 1
+        return self._observed(ctx, affected)
+
+    def _observed(self, ctx: Context, df: DataFrame) -> DataFrame:
+        if df.isStreaming:
+            return df
+        seen = Observation()
+        self.seen.append((ctx.operation, ctx.table, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("n"))
+
+    def snapshot(self) -> list[tuple[str, str, int, float, int]]:
+        """(operation, table, operations, seconds, rows) so far."""
+        rows: Counter = Counter()
+        for operation, table, seen in self.seen:
+            if seen._jo is not None and seen._jo.future().isCompleted():
+                rows[operation, table] += seen.get["n"]
+        return [(*k, n, self.seconds[k], rows[k]) for k, n in sorted(self.count.items())]

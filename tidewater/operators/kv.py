@@ -80,6 +80,20 @@ def increment(store: DataFrame, deltas: DataFrame, now: Column | None = None) ->
     return both.select("k", F.when(F.col("_n").isNull(), F.col("v")).otherwise((F.coalesce(F.col("v").cast("long"), F.lit(0)) + F.col("_n")).cast("string")).alias("v"), "expires_at")
 
 
+def batch(store: DataFrame, ops: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the store after, the values read, one row of counts) for operations (op, k, v, expires_at) of the kinds get, set and del, all at once.
+
+    Reads see the store as it was, then sets are made, then deletions. Of several sets of a key the largest by value
+    counts. ``written`` counts keys set, ``deleted`` those that were there to be deleted.
+    """
+    of = lambda kind: ops.where(F.col("op") == kind)
+    values = mget(store, of("get").select("k"), now).select("k", "v")
+    sets, gone = one_per_key(of("set").select(*COLUMNS), ["k"]), of("del").select("k").distinct()
+    after = put(store, sets, now=now)
+    counts = sets.agg(F.count("k").alias("written")).crossJoin(F.broadcast(exists(after, gone, now).select(F.col("n").alias("deleted"))))  # one row each
+    return remove(after, gone), values, counts
+
+
 def update_items(items: DataFrame, key: list[str], changes: DataFrame, condition: str | None = None, **assign: str) -> DataFrame:
     """Items with assignments, SQL over ``item.`` and ``change.``, where a row of ``changes`` has the key and the condition holds; one row of changes a key."""
     one = one_per_key(changes, key).withColumn("_hit", F.lit(True))

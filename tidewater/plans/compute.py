@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +23,22 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _store(spark: SparkSession, d: str) -> DataFrame:
+    """Events as entries; every third expires at its own time plus a day."""
+    e = _t(spark, d, "events")
+    ends = F.when(F.col("event_id") % 3 == 0, (F.col("ts") + F.expr("interval 1 day")).cast("timestamp"))
+    return e.select(F.concat_ws(":", F.col("user_id"), F.col("event_id")).alias("k"), F.col("props").alias("v"), ends.alias("expires_at"))
+
+
+_NOW = "2024-01-15 00:00:00"
+_KV = "(SELECT user_id || ':' || event_id AS k, props AS v, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 DAY END AS e FROM events)"
+_LIVE = f"(SELECT k, v, e FROM {_KV} WHERE e IS NULL OR e > TIMESTAMP '{_NOW}')"
+
+
+def _now():
+    return F.lit(_NOW).cast("timestamp")
+
+
 @query("doc_match_group_sort", "SELECT o_custkey AS _id, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS top FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000 GROUP BY o_custkey ORDER BY total DESC, _id LIMIT 15")
 def match_group(spark, d):
     stages = [
@@ -287,6 +304,85 @@ def stored_transaction(spark, d):
     return c.select(F.lit("customer").alias("tbl"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount")).unionByName(o.select(F.lit("orders").alias("tbl"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount")))
 
 
+@query("st_chunk_key", "SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS chunk FROM events")
+def st_chunk_key(spark, d):
+    """Chunks of each user's events."""
+    return transforms.chunk(_t(spark, d, "events"), 10, "event_id", by="user_id").select("event_id", "user_id", "chunk")
+
+
+@query("es_scroll", "SELECT CAST((row_number() OVER (ORDER BY value DESC, event_id) - 1) // (SELECT count(*) // 3 + 1 FROM events) AS INT) AS page, event_id, value FROM events")
+def es_scroll(spark, d):
+    """All events by value, in three pages of one snapshot."""
+    hits = search.Search(_t(spark, d, "events")).hits().select("event_id", "value")
+    size = hits.count() // 3 + 1
+    pages = [p.select(F.lit(k).alias("page"), "event_id", "value") for k, p in enumerate(transforms.scroll(hits, size, F.desc("value"), "event_id"))]
+    return reduce(DataFrame.unionByName, pages)
+
+
+@query("doc_validate", """
+SELECT o_orderkey, list_filter([CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'o_orderstatus: enum' END, CASE WHEN o_totalprice < 1000 THEN 'o_totalprice: minimum' END, CASE WHEN o_totalprice > 300000 THEN 'o_totalprice: maximum' END,
+CASE WHEN NOT regexp_matches(o_orderpriority, '^[1-4]') THEN 'o_orderpriority: pattern' END, 'clerk: required'], lambda x: x IS NOT NULL) AS violations FROM orders""")
+def doc_validate(spark, d):
+    """Which rules of a validator each order breaks; none of them has a clerk."""
+    rules = {"required": ["o_orderkey", "clerk"], "properties": {"o_orderstatus": {"bsonType": "string", "enum": ["F", "O"]}, "o_totalprice": {"bsonType": ["double", "int"], "minimum": 1000, "maximum": 300_000}, "o_orderpriority": {"pattern": "^[1-4]"}, "none": {"bsonType": "int"}}}
+    bad = documents.validated(_t(spark, d, "orders"), rules)[1]
+    # DuckDB keeps the order of the list above: required fields come last there.
+    return bad.select("o_orderkey", F.concat(F.filter("violations", lambda v: ~v.endswith("required")), F.filter("violations", lambda v: v.endswith("required"))).alias("violations"))
+
+
+@query("crdt_shadow_since", "SELECT event_id AS c, event_type = 'error' AS tombstone FROM events WHERE ts >= TIMESTAMP '2024-01-20'")
+def crdt_shadow(spark, d):
+    """Changes from a time on of a stored shadow table, two appends of which are in one log."""
+    path, log = f"{shared_dir(spark)}/shadow", _log(spark, d)
+    for k in range(2):
+        crdt.shadow_write(log.where(F.col("hlc.c") % 2 == k), path)
+    return crdt.shadow_read(spark, path, _micros(spark, "2024-01-20")).select(F.col("hlc.c").alias("c"), "tombstone")
+
+
+@query("kv_batch", f"""
+WITH s AS (SELECT k, v FROM {_LIVE}), o AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'del' WHEN event_id % 2 = 0 THEN 'set' ELSE 'get' END AS op, user_id || ':' || (event_id // 2) AS k, 'v' || event_id AS v FROM events),
+n AS (SELECT k, max(v) AS v FROM o WHERE op = 'set' GROUP BY k), a AS (SELECT k, v FROM n UNION ALL SELECT k, v FROM s WHERE k NOT IN (SELECT k FROM n))
+SELECT 'store' AS part, k, v FROM a WHERE k NOT IN (SELECT k FROM o WHERE op = 'del') UNION ALL SELECT 'read', k, v FROM s WHERE k IN (SELECT k FROM o WHERE op = 'get')
+UNION ALL SELECT 'written', CAST((SELECT count(*) FROM n) AS VARCHAR), NULL UNION ALL SELECT 'deleted', CAST((SELECT count(*) FROM a WHERE k IN (SELECT k FROM o WHERE op = 'del')) AS VARCHAR), NULL""")
+def kv_batch(spark, d):
+    """Reads, writes and deletions in one batch, and what it reports."""
+    key = F.col("event_id")
+    op = F.when(key % 5 == 0, "del").when(key % 2 == 0, "set").otherwise("get")
+    ops = _t(spark, d, "events").select(op.alias("op"), F.concat_ws(":", "user_id", F.floor(key / 2).cast("long")).alias("k"), F.concat(F.lit("v"), key).alias("v"), F.lit(None).cast("timestamp").alias("expires_at"))
+    after, values, counts = kv.batch(_store(spark, d), ops, _now())
+    told = counts.select(F.explode(F.array(F.struct(F.lit("written").alias("part"), F.col("written").cast("string").alias("k")), F.struct(F.lit("deleted").alias("part"), F.col("deleted").cast("string").alias("k")))).alias("x")).select("x.part", "x.k", F.lit(None).cast("string").alias("v"))
+    return after.select(F.lit("store").alias("part"), "k", "v").unionByName(values.select(F.lit("read").alias("part"), "k", "v")).unionByName(told)
+
+
+class _Stamps:
+    """Trims names that are written and marks what came."""
+
+    def before_write(self, ctx, rows):
+        return rows.withColumn("c_name", F.concat(F.lit(f"{ctx.operation}:"), F.substring("c_name", -3, 3)))
+
+
+@query("hook_metrics", """
+SELECT 'update' AS operation, 'customer' AS tbl, 1 AS calls, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS n UNION ALL SELECT 'upsert', 'customer', 1, (SELECT count(*) FROM supplier)
+UNION ALL SELECT 'select', 'orders', 2, 2 * (SELECT count(*) FROM orders WHERE o_totalprice > 100000)""")
+def hook_metrics(spark, d):
+    """Operations and the rows they gave, observed on the plans that read them."""
+    db, m = database(spark, d), hooks.Metrics()
+    db.hooks.add(m)
+    new = _t(spark, d, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"))
+    for rows in (db.update("customer", {"c_acctbal": "0"}, "c_acctbal < 0"), db.upsert("customer", new), *[db.select("orders").where("o_totalprice > ?", 100_000).df() for _ in range(2)]):
+        rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(o, t, n, rows) for o, t, n, _, rows in m.snapshot() if rows], "operation string, tbl string, calls int, n long")
+
+
+@query("hook_before_write", "SELECT s_suppkey AS c_custkey, 'upsert:' || right(s_name, 3) AS c_name FROM supplier")
+def hook_before_write(spark, d):
+    """Suppliers upserted as customers, through a hook that changes what is written."""
+    db = database(spark, d)
+    db.hooks.add(_Stamps(), tables=("customer",), operations=("upsert",))
+    new = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"))
+    return db.upsert("customer", new).select("c_custkey", "c_name")
+
+
 @query("st_presence", "SELECT event_type AS topic, user_id AS node, arg_max(event_id, ts) AS data FROM events GROUP BY 1, 2 HAVING max(ts) + INTERVAL 1 DAY > TIMESTAMP '2024-01-30'")
 def st_presence(spark, d):
     updates = _t(spark, d, "events").select(F.col("event_type").alias("topic"), F.col("user_id").alias("node"), F.col("event_id").alias("data"), F.lit(False).alias("leave"), "ts")
@@ -601,22 +697,6 @@ def crdt_capture(spark, d):
     return crdt.capture(before, after, "c_custkey", ["c_name", "c_acctbal"], crdt.hlc(F.lit(1), F.lit(0), F.lit("n")), "customer").select("pk", "field", "tombstone")
 
 
-def _store(spark: SparkSession, d: str) -> DataFrame:
-    """Events as entries; every third expires at its own time plus a day."""
-    e = _t(spark, d, "events")
-    ends = F.when(F.col("event_id") % 3 == 0, (F.col("ts") + F.expr("interval 1 day")).cast("timestamp"))
-    return e.select(F.concat_ws(":", F.col("user_id"), F.col("event_id")).alias("k"), F.col("props").alias("v"), ends.alias("expires_at"))
-
-
-_NOW = "2024-01-15 00:00:00"
-_KV = "(SELECT user_id || ':' || event_id AS k, props AS v, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 DAY END AS e FROM events)"
-_LIVE = f"(SELECT k, v, e FROM {_KV} WHERE e IS NULL OR e > TIMESTAMP '{_NOW}')"
-
-
-def _now():
-    return F.lit(_NOW).cast("timestamp")
-
-
 @query("kv_mget", f"SELECT k, v FROM {_LIVE} WHERE k IN ('1:1', '2:2', '3:3', 'none') OR k LIKE '%:9'")
 def kv_mget(spark, d):
     store = _store(spark, d)

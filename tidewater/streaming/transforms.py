@@ -26,13 +26,15 @@ def take(df: DataFrame, n: int, *order: str) -> DataFrame:
 def chunk(df: DataFrame, size: int, *order: str, by: str | None = None) -> DataFrame:
     """Adds ``chunk``, from 0: each holds ``size`` rows in order, the last of a stream the rest.
 
-    With ``by`` every key is a stream of its own. Without, rows are stored in order by ranges and numbered from
-    the ranges' counts, so that no one task sorts them all.
+    With ``by`` every key is a stream of its own. Rows are stored in order by ranges and numbered from
+    the ranges' counts, so that no one task sorts them all, or all of one key.
     """
-    if by is not None:
-        n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-        return df.withColumn("chunk", F.floor((n - 1) / size).cast("long"))
-    return number(df, *order).withColumn("chunk", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
+    if by is None:
+        return number(df, *order).withColumn("chunk", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
+    rows = number(df, by, *order)
+    first = rows.groupBy(F.col(by).alias("_by")).agg(F.min("_n").alias("_first"))
+    rows = rows.join(first, F.col(by).eqNullSafe(F.col("_by")))
+    return rows.withColumn("chunk", F.floor((F.col("_n") - F.col("_first")) / size).cast("long")).drop("_n", "_by", "_first")
 
 
 def ordered(df: DataFrame, *order) -> tuple[DataFrame, Callable[..., DataFrame]]:
@@ -86,6 +88,16 @@ def pages(df: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
         last = top
 
 
+def scroll(df: DataFrame, size: int, *order) -> Iterator[DataFrame]:
+    """Pages of a stable snapshot: the rows are stored once, in order, and each page reads its own numbers of them, whatever happens to the source meanwhile."""
+    if size < 1:
+        raise ValueError("a page has at least one row")
+    stored = materialize(number(df, *order), shared_dir(df.sparkSession), "snapshot")
+    total = stored.agg(F.max("_n")).first()[0] or 0
+    for first in range(1, total + 1, size):
+        yield stored.where((F.col("_n") >= first) & (F.col("_n") < first + size)).orderBy("_n").drop("_n")
+
+
 def each(df: DataFrame, f: Callable) -> None:
     for row in df.toLocalIterator():
         f(row)
@@ -150,5 +162,12 @@ def presence_events(updates: DataFrame, seconds: int = 30) -> DataFrame:
 
 
 def occupancy(moves: DataFrame, room: str, ts: str) -> DataFrame:
-    """Each move (delta +1 or -1) with the number in the room after it."""
-    return moves.withColumn("inside", F.sum("delta").over(Window.partitionBy(room).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)))
+    """Each move (delta +1 or -1) with the number in the room after it.
+
+    Sums run over all moves by ranges of room and time, less what was before a room's first, so that a room with most
+    of them is no single task. Moves of one room at one time are ordered by their delta, arrivals last.
+    """
+    rows = before(moves, "delta", room, ts, "delta")
+    first = rows.groupBy(F.col(room).alias("_room")).agg(F.min_by("_b", F.struct(ts, "delta")).alias("_first"))
+    rows = rows.join(first, F.col(room).eqNullSafe(F.col("_room")))
+    return rows.withColumn("inside", F.col("_b") + F.col("delta") - F.col("_first")).drop("_b", "_room", "_first")
