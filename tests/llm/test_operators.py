@@ -132,6 +132,16 @@ def test_html_text(spark):
     assert html_text.extract(rows.limit(0), model).count() == 0
 
 
+def test_no_single_name_empties_a_page():
+    model = html_text.fit()
+    story = "Top story: the council approved the new plan for the river bank after a long debate."
+    assert html_text.text_of("<html><body><div><p>Short.</p></div></body></html>", model) == "Short."
+    for name in sorted({f.partition(":")[2] for f in model.own if f.startswith("name:")}):
+        assert html_text.text_of(f'<main><div class="{name}"><p>{story}</p></div></main>', model) == story
+    for page in ('<div class="cookie-notice"><p>We use cookies on all pages of this site.</p></div>', "<nav><a href='/'>Home</a> or not</nav>", '<main><p><a href="/x">Go there</a></p></main><footer>by me</footer>'):
+        assert html_text.text_of(page, model) in ("", "Go there")
+
+
 def test_html_text_of_broken_markup():
     model = html_text.fit()
     say = lambda x: html_text.text_of(x, model)
@@ -255,6 +265,22 @@ def test_neighbours_against_brute_force_where_the_shortlist_is_a_small_share(spa
     assert recall >= 0.9
 
 
+def test_neighbours_among_directions_of_many_dimensions(spark):
+    """Codebooks and shortlist grow with the dimensions."""
+    assert (ann.books_for(64), ann.books_for(256), ann.shortlist_for(64), ann.shortlist_for(256)) == (24, 48, 200, 3200)
+    assert ann.books_for(1536) * 256 * 1536 * 4 <= 1 << 26 and ann.shortlist_for(4096) == 12_800
+    x = np.random.default_rng(7).normal(size=(12_000, 192))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "v": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 192).cast(pa.list_(pa.float64()))})).repartition(4)
+    got = ann.search(rows, rows.where("id % 50 = 0")).toPandas()
+    asked = np.arange(0, len(x), 50)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-s, 1)[:, :20]
+    found = got.groupby("query_id").vec_id.apply(set)
+    assert np.mean([len(found[q] & set(b)) / 20 for q, b in zip(asked, best, strict=True)]) > 0.9
+
+
 def test_neighbours_of_components_of_any_size(spark):
     v = [[1e39, 1.0], [1.0, 1.0], [3e38, -3e38], [1e200, 1e200], [5e-324, 0.0], [1e-200, 1e-200], [-1e39, 2.0]]
     rows = ann.valid(spark.createDataFrame(list(enumerate(v)), "id long, v array<double>"), "id", "v")

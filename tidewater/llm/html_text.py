@@ -240,14 +240,36 @@ def marginals(nodes: list[Node], model: Model) -> list[float]:
     return [1 / (1 + math.exp(max(-700.0, min(700.0, a - b)))) for a, b in zip(up0, up1, strict=True)]
 
 
+#: What these hold is no article, whatever else may seem so.
+ASIDE = frozenset("nav header footer aside form".split())
+
+
+def plausible(nodes: list[Node], model: Model) -> list[bool]:
+    """Text that may be an article where no marginal says that any is: not linked, in no part for something else by
+    its tag, nor, outside an article's own element, by its names. So one name alone does not empty a page, nor does its being short."""
+    out: list[bool] = []
+    state: dict[int, tuple[bool, bool]] = {}  # in an article's element; possible so far
+    for x in nodes:
+        inside, possible = state[id(x.parent)] if x.parent is not None else (False, True)
+        names = sum(b - a for a, b in (model.own.get(f, (0.0, 0.0)) for f in x.features if f.startswith("name:")))
+        inside = inside or x.tag in ("main", "article")
+        possible = possible and x.tag not in ASIDE and (inside or names > -1)
+        state[id(x)] = inside, possible
+        out.append(possible and not x.linked)
+    return out
+
+
 def text_of(page: str | None, model: Model) -> str:
     """The main text of a page."""
     if not page:
         return ""
     nodes = parse(page)
+    good = [p >= 0.5 for p in marginals(nodes, model)]
+    if not any(y for x, y in zip(nodes, good, strict=True) if x.tag == "#"):
+        good = plausible(nodes, model)
     blocks: list[tuple[int, list[str]]] = []
-    for x, p in zip(nodes, marginals(nodes, model), strict=True):
-        if x.tag == "#" and p >= 0.5 or x.tag == "# " and blocks and blocks[-1][0] == x.block:
+    for x, y in zip(nodes, good, strict=True):
+        if x.tag == "#" and y or x.tag == "# " and blocks and blocks[-1][0] == x.block:
             if not blocks or blocks[-1][0] != x.block:
                 blocks.append((x.block, []))
             blocks[-1][1].append(x.text)
