@@ -223,7 +223,8 @@ def test_lists_documents_and_tombstones(spark):
     log = spark.createDataFrame([("t", 1, "f", (6, 0, "n"), "new", False), ("t", 1, None, (5, 0, "n"), None, True), ("t", 2, "f", (3, 0, "n"), "x", False), ("t", 2, None, (5, 0, "n"), None, True)], f"tbl string, pk long, field string, hlc {HLC}, value string, tombstone boolean")
     assert [r.pk for r in crdt.record_state(log).collect()] == [1]
     assert [r.pk for r in crdt.record_state(log, clock(3, 9)).collect()] == [2]
-    assert crdt.clean_tombstones(log, 6).count() == 2
+    cleaned = crdt.clean_tombstones(log, 6)  # the second record goes with its tombstone, so that it does not come back
+    assert [r.pk for r in cleaned.collect()] == [1] and [r.pk for r in crdt.record_state(cleaned).collect()] == [1]
     assert [d.count() for d in crdt.valid_changes(log.unionAll(log.limit(1).withColumn("pk", F.lit(None).cast("long"))))] == [4, 1]
     assert crdt.sync_filter(log, [1], ["g"]).count() == 1
 
