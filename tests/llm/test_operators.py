@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import os
 import random
 import re
 import time
@@ -238,12 +240,40 @@ def test_url_query_judges_by_rules_and_then_by_mined_ones(spark):
     out = queries.QUERIES["op5_url_filter"](spark, "/root/testdata/sf0.01").toPandas()
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").toPandas().merge(out, on="page_id")
     fixed = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-    assert len(pages) == len(out)
+    assert len(pages) == len(out) and not {x for x in out.mined.dropna() if x in ("h:com", "h:net", "h:org")}
     for r in pages.itertuples():
         fits = [(len(h + p), h + p, v) for h, p, v in fixed if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
         assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "allow" if r.mined is None else "block"))
 
 
+def test_url_rules_are_learned_from_what_pages_say(spark, tmp_path):
+    """Bad texts on hosts of one name, and good ones elsewhere: the rule is found, and judges held-out pages."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    for name in ("documents", "labels"):
+        os.symlink(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    rows = docs.join(labels, "doc_id").where("length(text) > 200 AND (toxic = 0 OR quality = 0)").select("doc_id", "text", "quality").orderBy("doc_id").collect()
+    r, pages = random.Random(4), []
+    for k, x in enumerate(rows * 3):
+        host = r.choice(["easy-loot.example.com", "www.loot.example.org"]) if x.quality == 0 and r.random() < 0.9 else r.choice(["a.example.com", "b.example.org", "c.example.com"])
+        body = "".join(f"<p>{html.escape(p)}</p>" for p in x.text.split("\n"))
+        pages.append((k, f"https://{host}/en/{k}.html", f"<html><body><div><article>{body}</article></div></body></html>", x.quality))
+    spark.createDataFrame(pages, "page_id long, url string, html string, quality int").drop("quality").write.parquet(str(tmp_path / "pages.parquet"))
+    out = {x.page_id: x for x in queries.QUERIES["op5_url_filter"](spark, str(tmp_path)).collect()}
+    unseen = {x.page_id for x in spark.range(len(pages)).where(queries.held_out("id")).select(F.col("id").alias("page_id")).collect()}
+    said = [(out[k].verdict == "block", q == 0) for k, _, _, q in pages if k in unseen]
+    hit = sum(s and q for s, q in said)
+    assert {x.mined for x in out.values()} == {None, "w:loot"}
+    assert hit >= 0.9 * sum(s for s, _ in said) and hit >= 0.8 * sum(q for _, q in said)
+
+
+def test_rules_need_lift_over_the_share_that_is_blocked(spark):
+    rows = [(f"http://{'x' if k % 2 else 'y'}.org/{k}", "block" if k // 2 % 20 else "allow") for k in range(400)]
+    table = spark.createDataFrame(rows, "url string, label string")
+    assert url_filter.mine(table) == [] and url_filter.mine(table, min_lift=0.5) != []
+    assert url_filter.mine(table.where("label = 'block'")) == []
+
+
 def test_neighbours_against_brute_force_where_the_shortlist_is_a_small_share(spark, tmp_path):
     """50,000 directions without structure, the hardest case; the query's shortlist is 0.4 % of them."""
     x, ids = np.random.default_rng(4).normal(size=(50_000, 64)), np.arange(50_000)
@@ -437,13 +467,40 @@ def test_quality(spark, docs):
     ties = spark.createDataFrame([(1, 0.0)] * 5 + [(2, 50.0), (3, -50.0)], "doc_id long, log_importance double")
     assert quality.resample(ties, 3).where("kept").count() == 6
     assert quality.select(empty(docs), model).count() == 0
-    assert quality.fit(docs, labels.limit(0)).share == 1.0
+    assert quality.expected(quality.importance(docs, model := quality.fit(docs, labels.limit(0))), model) == docs.count()
+    bad = quality.fit(docs, labels.where("quality = 0"))
+    assert quality.expected(quality.importance(docs, bad), bad) == 0 and quality.select(docs, bad).where("kept").count() == 0
+
+
+def test_quality_keeps_good_texts_by_draw(spark):
+    """Held-out bounds; the noise has a part in what is kept; length has none."""
+    big, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    out = queries.QUERIES["op8_quality"](spark, "/root/testdata/sf0.1").cache()
+    k = out.where("kept").count()
+    n = {r.quality: (r.n, r.k) for r in out.join(labels, "doc_id").where(queries.held_out()).groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).collect()}
+    assert n[1][1] >= 0.99 * n[1][0] and n[0][1] <= 0.05 * n[0][0]
+    assert out.orderBy(F.desc("log_importance")).limit(k).where("NOT kept").count() > 0
+    longer = big.limit(50).withColumn("text", F.repeat(F.concat("text", F.lit("\n")), 5))
+    model = queries.quality_model(spark, "/root/testdata/sf0.1")
+    both = quality.importance(big.limit(50), model).where("n_tokens > 100").alias("a").join(quality.importance(longer, model).alias("b"), "doc_id")
+    assert 0 < both.count() == both.where("abs(a.log_importance - b.log_importance) < 1").count()
+
+
+def test_chances_add_up_to_the_ones():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(-3, 2, 300), r.normal(3, 2, 700)])
+    y = np.repeat([0.0, 1.0], [300, 700])
+    slope, bias = quality._chance(x, y)
+    assert slope > 0 and (1 / (1 + np.exp(-(slope * x + bias)))).sum() == pytest.approx(700, abs=0.01)
+    slope, bias = quality._chance(np.repeat([-50.0, 1.0], 40), np.repeat([0.0, 1.0], 40))  # labels that part without error
+    assert 0 < slope < 5 and 1 / (1 + np.exp(-(slope + bias))) > 0.9
 
 
 def test_quality_query_against_brute_force(spark):
     """Counts, sums and draw by plain loops over the n-grams of each text."""
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").where(~queries.held_out()).collect()}
+    apart = F.pmod(F.xxhash64(F.lit("chance"), F.col("doc_id").cast("string")), F.lit(5)) == 0
+    labels = {r.doc_id: (r.quality, r.apart) for r in spark.read.parquet(f"{SMALL}/labels.parquet").where(~queries.held_out()).select("doc_id", "quality", apart.alias("apart")).collect()}
     token = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+")
 
     def bucket(*words):
@@ -457,18 +514,19 @@ def test_quality_query_against_brute_force(spark):
         return [bucket(x) for x in w] + [bucket(x, y) for x, y in two] + [0 for x, y in two if x == y]
 
     found = {i: grams(x) for i, x in docs.items()}
-    good = [i for i in labels if labels[i] == 1]
+    good = [i for i in labels if labels[i] == (1, False)]
     logs = []
     for some in (good, docs):
         n = Counter(b for i in some for b in found[i])
         logs.append({b: np.log((n[b] + 0.5) / (sum(n.values()) + 0.5 * 65536)) for b in {b for g in found.values() for b in g}})
-    want = {i: sum(logs[0][b] - logs[1][b] for b in g) for i, g in found.items()}
+    want = {i: sum(logs[0][b] - logs[1][b] for b in g) * min(1, 10 / max(1, len(g))) for i, g in found.items()}
     out = queries.QUERIES["op8_quality"](spark, SMALL).collect()
     assert {r.doc_id for r in out} == set(docs)
     for r in out:
         assert r.log_importance == pytest.approx(want[r.doc_id], abs=1e-6) and r.n_tokens == len(token.findall(docs[r.doc_id]))
-    share = len(good) / len(labels)
-    k = round(len(docs) * min(1, share + 3 * (share * (1 - share) / len(labels)) ** 0.5))
+    left = [i for i in labels if labels[i][1]]
+    slope, bias = quality._chance(np.array([want[i] for i in left]), np.array([float(labels[i][0]) for i in left]))
+    k = round(sum(1 / (1 + np.exp(-(slope * x + bias))) for x in want.values()))
     best = sorted(out, key=lambda r: -(r.log_importance + r.gumbel))
     assert [r.kept for r in best] == [True] * k + [False] * (len(docs) - k)
 
@@ -487,6 +545,35 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).first().score == 0.5
 
 
+def test_rate_and_penalty_are_those_of_the_smallest_loss(spark):
+    pick = random.Random(8)
+    texts = [" ".join(pick.choices(["good", "fine", "day", "sun"] + ["bad", "vile"] * (k % 2), k=pick.randint(1, 12))) for k in range(160)]
+    made = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(160)], "doc_id long, toxic int")
+    rows = made.select("doc_id", F.xxhash64("doc_id").alias("n")).orderBy("n").collect()
+    xs = [np.unique(toxicity.features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]) for t in (texts[r.doc_id].encode() for r in rows)]
+    ys, apart = np.array([r.doc_id % 2 for r in rows], float), np.array([r.n % 4 == 0 for r in rows])
+    want = []
+    for a in (0.1, 1.0):
+        for p in (0.1, 1.0, 100.0):
+            m = toxicity.learn([x for x, o in zip(xs, apart, strict=True) if not o], ys[~apart], 4, a, 1.0, p, 1.0)
+            w = dict(zip(m.buckets.tolist(), m.weights.tolist(), strict=True))
+            total = [sum(w.get(int(b), 0.0) for b in x) + m.bias for x, o in zip(xs, apart, strict=True) if o]
+            want.append((sum(np.log1p(np.exp(t)) - y * t for t, y in zip(total, ys[apart], strict=True)), -p, a))
+    best = min(want)
+    model, same = toxicity.fit(made, labels, alpha=(0.1, 1.0), l1=(0.1, 1.0, 100.0)), toxicity.fit(made, labels, alpha=best[2], l1=-best[1])
+    assert best[1] > -100 and np.array_equal(model.buckets, same.buckets) and np.array_equal(model.weights, same.weights)
+    few = toxicity.fit(made, labels, alpha=1.0, l1=0.1, max_features=60)  # a bound on rows: whole texts, by order of the hash
+    left = []
+    for y in (0, 1):
+        upto = 0
+        for k, r in enumerate(rows):
+            upto += len(xs[k]) if ys[k] == y else 0
+            left += [k] if ys[k] == y and upto <= 60 else []
+    plain = toxicity.learn([xs[k] for k in sorted(left)], ys[sorted(left)], 4, 1.0, 1.0, 0.1, 1.0)
+    assert 0 < len(left) < 60 and np.array_equal(few.buckets, plain.buckets) and np.array_equal(few.weights, plain.weights)
+
+
 def test_toxicity_fit_against_a_plain_learner(spark):
     """The published update, a coordinate at a time, over the same rows in the same order."""
     pick = random.Random(5)

@@ -56,12 +56,23 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def page_labels(spark: SparkSession, sf_dir: str, pages: DataFrame) -> DataFrame:
+    """(page_id, url, label) of every page: block where its main text is toxic or more likely bad than good, by the models
+    fitted on the labelled documents; nothing of the URL takes part."""
+    texts = html_text.extract(pages, html_text.fit())
+    model = quality_model(spark, sf_dir)
+    scored = toxicity.score(texts, toxicity_model(spark, sf_dir), key_cols=("page_id", "url", "text"))
+    both = quality.importance(scored, model, key_cols=("page_id", "url", "score"))
+    bad = (F.col("score") >= 0.3) | (quality.chance(model) < 0.5)
+    return both.select("page_id", "url", F.when(bad, "block").otherwise("allow").alias("label"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    pages = _read(spark, sf_dir, "pages")
     host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
     rule, verdict = url_filter.fixed(host, path, URL_RULES)
-    # What is known are the verdicts of the fixed rules; what these URLs have in common judges all others.
-    mined = url_filter.mine(pages.where(verdict.isNotNull()).select("url", verdict.alias("label")))
+    # Learned from what the pages say, but for those held out; what URLs of bad pages have in common judges every URL without a fixed rule.
+    mined = url_filter.mine(page_labels(spark, sf_dir, pages.where(~held_out("page_id"))))
     out = url_filter.judge(pages, mined, key_cols=("page_id", "url"))
     own = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "mined")

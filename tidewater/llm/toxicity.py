@@ -3,7 +3,8 @@
 Features of a text are its distinct hashed words, word pairs and pairs with one word
 between (A-Z lower-cased, words are runs of letters, digits and non-ASCII). The
 learner keeps a rate per coordinate and an L1 penalty, which leaves most weights at
-exactly zero, so that a model is a short list of (bucket, weight).
+exactly zero, so that a model is a short list of (bucket, weight). Rate and penalty are chosen on a split of
+the labelled rows, as the penalty that suits depends on how many there are.
 
 Defined results: a null or empty text has no features and gets the score of the bias
 alone; repeated rows are scored alike, each on its own; an empty table gives an empty
@@ -17,12 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import _text as T
 from tidewater.llm._sample import per_label
 from tidewater.llm._tasks import in_arrow
+from tidewater.runtime import materialize, shared_dir
 
 BITS = 20
 SHIFT = np.uint64(64 - BITS)
@@ -50,12 +52,13 @@ def distinct(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (key & ((1 << BITS) - 1)).astype(np.int32), key >> BITS
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_per_label: int = 4000, max_features: int = 4096, epochs: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> Model:
-    """Fit on at most ``max_per_label`` labelled rows of each label, those of the smallest hash of the key.
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id", max_per_label: int = 4000, max_features: int = 12_000_000, epochs: int = 4, alpha: float | tuple[float, ...] = (0.3, 1.0), beta: float = 1.0, l1: float | tuple[float, ...] = (1.0, 2.0, 4.0, 8.0), l2: float = 1.0) -> Model:
+    """Fit on at most ``max_per_label`` labelled rows of each label, those of the smallest hash of the key, and of these on
+    as many, whole, as have ``max_features`` features together.
 
-    That bound is a parameter of the fit alone, and makes the sampled keys small enough
-    to broadcast. Texts become feature lists on the executors, of which one with more than ``max_features`` gives so
-    many, drawn over the whole text; the driver gets only these, at most 16 kB a row.
+    These bounds are parameters of the fit alone. The first makes the sampled keys small enough
+    to broadcast, the second what the driver gets: 4 bytes a feature. Where several of ``alpha`` or ``l1`` are given, each pair is fitted
+    on three rows of four, a task a pair, and the pair of the smallest log loss on the fourth (ties: the larger penalty) on all.
     """
     sample = per_label(labels, key_col, F.col(label_col).cast("int"), max_per_label)
     rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k").select("t", "y", F.xxhash64("k").alias("n"))
@@ -65,16 +68,26 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
             for a, z, data, offs in T.blocks(b.column(0)):
                 bucket, text = distinct(*features(data, offs))
                 cuts = np.searchsorted(text, np.arange(z - a + 1))
-                raw = [_some(bucket[i:j], max_features).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(raw, pa.binary())], ["y", "n", "x"])
+                raw = [bucket[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(np.diff(cuts)), pa.array(raw, pa.binary())], ["y", "n", "size", "x"])
 
-    got = in_arrow(rows, extract, "y int, n long, x binary").toPandas().sort_values(["n", "y"])
-    xs, ys = [np.frombuffer(x, np.int32) for x in got.x], got.y.to_numpy(float)
+    spark = docs.sparkSession
+    found = materialize(in_arrow(rows, extract, "y int, n long, size long, x binary"), shared_dir(spark), "features")
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy("n", "size", "x").rowsBetween(Window.unboundedPreceding, 0))  # of at most ``max_per_label`` rows
+    got = found.withColumn("_upto", upto).where(F.col("_upto") <= max_features).select("y", "n", "x").toPandas().sort_values(["n", "y"])
+    xs, ys, n = [np.frombuffer(x, np.int32) for x in got.x], got.y.to_numpy(float), got.n.to_numpy(np.int64)
+    pairs = [(a, p) for a in np.atleast_1d(alpha).tolist() for p in np.atleast_1d(l1).tolist()]
+    rate, penalty = pairs[0] if len(pairs) == 1 else _best(spark, xs, ys, n % 4 == 0, pairs, epochs, beta, l2)
+    return learn(xs, ys, epochs, rate, beta, penalty, l2)
+
+
+def learn(xs: list[np.ndarray], ys: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> Model:
+    """FTRL-proximal over rows of distinct buckets, in an order of its own for each epoch."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = np.array([1 << BITS], np.int32)
     order = np.random.default_rng(7)
 
-    def weight(i: np.ndarray, l1: float = l1) -> np.ndarray:
+    def weight(i: np.ndarray) -> np.ndarray:
         zi = z[i]
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
@@ -91,9 +104,26 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     return Model(at.astype(np.int32), w[at], float(w[-1]))
 
 
-def _some(bucket: np.ndarray, most: int) -> np.ndarray:
-    """The buckets, or ``most`` of them drawn alike each time."""
-    return bucket if len(bucket) <= most else bucket[np.sort(np.random.default_rng(len(bucket)).permutation(len(bucket))[:most])]
+def _best(spark: SparkSession, xs: list[np.ndarray], ys: np.ndarray, apart: np.ndarray, pairs: list[tuple[float, float]], epochs: int, beta: float, l2: float) -> tuple[float, float]:
+    """The pair (alpha, l1) whose fit on the rows not ``apart`` has the smallest log loss on those that are."""
+    data = spark.sparkContext.broadcast((xs, ys, apart))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, ys, apart = data.value
+        for b in batches:
+            for a, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                m = learn([x for x, o in zip(xs, apart, strict=True) if not o], ys[~apart], epochs, a, beta, p, l2)
+                dense = np.zeros(1 << BITS)
+                dense[m.buckets] = m.weights
+                total = np.array([np.clip(dense[x].sum() + m.bias, -35, 35) for x, o in zip(xs, apart, strict=True) if o])
+                loss = float((np.logaddexp(0, total) - ys[apart] * total).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([p]), pa.array([loss])], ["a", "p", "loss"])
+
+    grid = spark.createDataFrame(pairs, "a double, p double").repartition(len(pairs), "a", "p")
+    got = in_arrow(grid, run, "a double, p double, loss double").collect()
+    data.unpersist()
+    r = min(got, key=lambda r: (r.loss, -r.p, r.a))
+    return r.a, r.p
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A URL's tokens are its host's labels and their parts, the first folder of its path, the path's
 ending, and the names in its query. From labelled URLs, FP-growth mines the sets of
-tokens that come with a label; rules of enough support and confidence are kept, and of
+tokens that come with a label; rules of enough support, confidence and lift over the label's share are kept, and of
 these only such as hold no shorter one. Tokens that are rules by themselves, and all but one of
 tokens that stand in just the same URLs, are counted before and don't enter the mining: no minimal rule
 needs them, and copies of a URL with many names would else have every subset of these as a rule. An
@@ -72,17 +72,22 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(*[marked(*x) for x in kinds]))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", block: str = "block", min_count: int = 8, min_support: float = 0.0005, min_confidence: float = 0.9) -> list[tuple[str, ...]]:
+def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", block: str = "block", min_count: int = 8, min_support: float = 0.0005, min_confidence: float = 0.9, min_lift: float = 2.0) -> list[tuple[str, ...]]:
     """Token sets that imply ``block``, shortest first and then by support: all minimal ones that stand in at least
-    ``min_count`` blocked URLs and a share of ``min_support`` of all, ``min_confidence`` of them blocked.
+    ``min_count`` blocked URLs and a share of ``min_support`` of all, ``min_confidence`` of them blocked, and at odds of ``min_lift``
+    times those of all URLs. Where all are blocked there are no rules.
 
     Of tokens that stand in just the same URLs the first by name speaks for all. Only tokens of that support,
     and rules, reach the driver.
     """
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.monotonically_increasing_id().alias("id"), tokens(F.col(url_col)).alias("t"), (F.col(label_col) == block).alias("y"), F.xxhash64(url_col).alias("h"))
-    n = rows.count()
+    n, blocked = rows.agg(F.count(F.lit(1)), F.sum(F.col("y").cast("long"))).first()
     if not n:
         return []
+    if blocked == n:
+        return []
+    odds = min_lift * blocked / (n - blocked)
+    min_confidence = max(min_confidence, odds / (1 + odds))
     need = max(min_count, math.ceil(min_support * n))
     each = rows.select("id", F.explode("t").alias("x"), F.col("y").cast("long").alias("y"), "h")
     places = [F.sum(F.shiftright("h", k).bitwiseAND(F.lit((1 << 30) - 1))) for k in (0, 30)]  # of equal URLs, equal sums
