@@ -111,7 +111,7 @@ def _best(spark: SparkSession, xs: list[np.ndarray], ys: np.ndarray, apart: np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys, apart = data.value
         for b in batches:
-            for a, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for a, p in (pairs[k] for k in b.column(0).to_pylist()):
                 m = learn([x for x, o in zip(xs, apart, strict=True) if not o], ys[~apart], epochs, a, beta, p, l2)
                 dense = np.zeros(1 << BITS)
                 dense[m.buckets] = m.weights
@@ -119,8 +119,7 @@ def _best(spark: SparkSession, xs: list[np.ndarray], ys: np.ndarray, apart: np.n
                 loss = float((np.logaddexp(0, total) - ys[apart] * total).sum())
                 yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([p]), pa.array([loss])], ["a", "p", "loss"])
 
-    grid = spark.createDataFrame(pairs, "a double, p double").repartition(len(pairs), "a", "p")
-    got = in_arrow(grid, run, "a double, p double, loss double").collect()
+    got = in_arrow(spark.range(0, len(pairs), 1, len(pairs)), run, "a double, p double, loss double").collect()
     data.unpersist()
     r = min(got, key=lambda r: (r.loss, -r.p, r.a))
     return r.a, r.p
