@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import ann, bpe, decontaminate, html_text, jaccard, langid, prefix_trie, quality, quality_rules, spelling, token_files, toxicity, url_filter
-from tidewater.runtime import ship
+from tidewater.runtime import materialize, shared_dir, ship
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
     rule, verdict = url_filter.fixed(host, path, URL_RULES)
     # Learned from what the pages say, but for those held out; what URLs of bad pages have in common judges every URL without a fixed rule.
-    mined = url_filter.mine(page_labels(spark, sf_dir, pages.where(~held_out("page_id"))))
+    mined = url_filter.mine(materialize(page_labels(spark, sf_dir, pages.where(~held_out("page_id"))), shared_dir(spark), "labelled"))
     out = url_filter.judge(pages, mined, key_cols=("page_id", "url"))
     own = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", host.alias("host"), path.alias("path"), rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "mined")
