@@ -404,6 +404,34 @@ def test_jaccard_join_is_exact(spark, monkeypatch):
     assert jaccard.join(t.limit(0)).count() == 0
 
 
+def test_a_shingle_that_no_task_sees_twice_does_not_stay_in_the_prefixes_of_very_many_texts(spark, monkeypatch):
+    texts, common = 120, [" ".join(f"c{j}x{k}" for k in range(5)) for j in range(12)]
+    rows = [(i, " ".join(f"{c} u{i // 2}v{j} w{i // 2}v{j}" + (f" odd{i}" if i % 2 and j == 11 else "") for j, c in enumerate(common))) for i in range(texts)]
+    t = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(texts, "doc_id")  # two near texts are one component
+    placed, chosen = [], jaccard._placed
+    monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "_placed", lambda *a: placed.append(chosen(*a)) or placed[-1])
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(t).collect()} == brute_jaccard(rows)
+    first = spark.read.parquet(placed[0].inputFiles()[0].rsplit("/", 2)[0] + "/shared0")
+    assert first.groupBy("shingle").count().agg(F.max("count")).first()[0] > 50
+    assert placed[0].groupBy("shingle").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_a_large_group_left_over_meets_in_blocks_and_each_pair_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard, "PART", 50)
+    sizes = {1: (600, 600), 2: (400, 30)}  # classes of a shingle, and of these outside the main component
+    rows = [(s, s * 1000 + i, 10, 0, 1, s * 1000 + max(0, i - (n - out)), s * 1000, n) for s, (n, out) in sizes.items() for i in range(n)]
+    many = spark.createDataFrame(rows, "shingle long, cls long, n long, at int, l int, comp long, main long, holders long")
+    p, q = jaccard._blocks(many, f"file://{tmp_path}")
+    keys = ["shingle", "i", "j"]
+    most = [side.groupBy(*keys).count().agg(F.max("count")).first()[0] for side in (p, q)]
+    assert max(most) < 100
+    got = [tuple(sorted((r.a, r.b))) for r in jaccard._meet(p, q, keys).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).collect()]
+    comp = {r[1]: r[5] for r in rows}
+    want = {(a, b) for s in sizes for a in comp for b in comp if a // 1000 == b // 1000 == s and a < b and comp[a] != comp[b]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_longer_prefixes_where_shingles_are_frequent():
     assert jaccard.choose(np.ones(100), 4) == (1, 21)
     assert jaccard.choose(np.full(100, jaccard.UNLISTED), 4)[0] > 1

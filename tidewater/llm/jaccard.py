@@ -18,7 +18,12 @@ the group, pairs that meet often enough are verified, and links make components;
 classes are all in one component is done. What is left is joined exactly: every pair of
 classes of different components that shares prefix shingles enough is verified. A shingle
 that very many texts were counted to have is split into parts by class, each with
-its own leader, and the leaders of the parts are paired with the first of them.
+its own leader, and the leaders of the parts are paired with the first of them. What is left of
+a group of very many classes is joined in blocks of them.
+
+Counts are taken within tasks, so that a shingle of very many texts which meets itself in
+none is taken for rare at first. Where prefixes turn out to crowd under a shingle, it gets the
+count of these, moves behind the rarer ones in the order, and prefixes are chosen anew.
 
 Defined results: an empty or null text has an empty set and links with nothing, its component is
 its own id; rows with a null id get their number of shingles and no component; an id given
@@ -30,8 +35,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +56,8 @@ COUNTED = 1 << 20
 UNLISTED = 1.01
 #: Counted texts with a shingle for which its group has one more part.
 PART = 4096
+#: How often prefixes are chosen at most: crowded shingles that are left then cost pairs, not links.
+ROUNDS = 3
 #: Texts of a class above which its component is sent to them.
 CROWD = 1000
 #: Rows of ids up to which a table of them is broadcast: 16 bytes each, 16 MB.
@@ -140,7 +150,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", levels
     total = members.count()
     classes = materialize(members.groupBy("cls").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("texts")), path, "classes", total)
 
-    shared = _shared_prefixes(texts, members, classes, counts, levels, path)
+    shared = _placed(texts, members, classes, counts, levels, path, total)
     most = shared.count()
     links, labels, seen = _same_id(members, path, total), None, None
     for k, pairs in enumerate((_leader_pairs, _rest_pairs)):
@@ -169,8 +179,31 @@ def _same_id(members: DataFrame, path: str, total: int) -> DataFrame:
     return members.join(_bounded(several), "doc").where(F.col("cls") != F.col("a")).select("a", F.col("cls").alias("b")).distinct()
 
 
-def _shared_prefixes(texts: DataFrame, members: DataFrame, classes: DataFrame, counts, levels: int, path: str) -> DataFrame:
-    """(shingle, part, cls, n, at, l, lead): prefix shingles that several classes have, their place in the set's order, and the leader of the group. Part 0 is of a group with no others."""
+def _placed(texts: DataFrame, members: DataFrame, classes: DataFrame, counts, levels: int, path: str, total: int) -> DataFrame:
+    """The prefix shingles of ``_shared_prefixes``, in an order in which no shingle that prefixes crowd under was taken for rare."""
+    # Of each class its text with the smallest id speaks; the ids of all others are few, or shuffled.
+    reps = classes.select(F.col("rep").alias("doc"), "cls")
+    copies = materialize(members.join(reps, ["doc", "cls"], "left_anti").distinct(), path, "copies", total)
+    for k in range(ROUNDS):
+        shared = _shared_prefixes(texts, copies, counts, levels, path, k)
+        crowds = shared.where(F.col("crowd").isNotNull()).groupBy("shingle").agg(F.max("crowd").alias("crowd"))
+        crowds = crowds.orderBy(F.desc("crowd"), "shingle").limit(COUNTED).toPandas()
+        known = counts.set_index("shingle")["count"].reindex(crowds["shingle"]).fillna(0).to_numpy(np.int64)
+        crowds["count"] = crowds["crowd"].to_numpy(np.int64) * _parts(known)
+        crowds = crowds[crowds["count"].to_numpy(np.int64) > 2 * known][["shingle", "count"]]
+        if crowds.empty:
+            break
+        counts = pd.concat([crowds, counts]).drop_duplicates("shingle").sort_values(["count", "shingle"], ascending=[False, True]).head(COUNTED)
+    return shared
+
+
+def _parts(count: np.ndarray) -> np.ndarray:
+    """In how many parts the group of a shingle is, that was counted so often."""
+    return np.where(count > PART, count // PART + 1, 1)
+
+
+def _shared_prefixes(texts: DataFrame, copies: DataFrame, counts, levels: int, path: str, k: int) -> DataFrame:
+    """(shingle, part, cls, n, at, l, lead, crowd): prefix shingles that several classes have, their place in the set's order, the leader of the group, and its size if it is very large. Part 0 is of a group with no others."""
     hot = counts[counts["count"] > PART]
     counts = counts.sort_values("shingle", key=lambda x: x.to_numpy().astype(np.int64).view(np.uint64))
     order_b = texts.sparkSession.sparkContext.broadcast((counts["shingle"].to_numpy(np.int64).view(np.uint64), np.minimum(counts["count"].to_numpy(np.int64), 65_535).astype(np.uint16)))
@@ -199,16 +232,13 @@ def _shared_prefixes(texts: DataFrame, members: DataFrame, classes: DataFrame, c
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cls, pa.int64()), pa.array(meta, pa.int64()), lists], ["doc", "cls", "meta", "tokens"])
 
     made = in_arrow(texts, run, "doc long, cls long, meta long, tokens array<long>")
-    # Of each class its text with the smallest id speaks; the ids of all others are few, or shuffled.
-    reps = classes.select(F.col("rep").alias("doc"), "cls")
-    copies = materialize(members.join(reps, ["doc", "cls"], "left_anti").distinct(), path, "copies", members.count())
     own = made.join(_bounded(copies), ["doc", "cls"], "left_anti")
     # What is shuffled of each row: the shingle, its part, the class, and n, place and l in one number (30, 30 and 3 bits).
     each = own.select("cls", "meta", F.posexplode("tokens").alias("at", "shingle"))
     each = each.select("shingle", "cls", F.col("meta").bitwiseOR(F.shiftleft(F.col("at").cast("long"), 3)).alias("meta"))
     part, split = F.lit(0), F.lit(False)
     if len(hot):  # at most COUNTED rows
-        parts = texts.sparkSession.createDataFrame(list(zip(hot["shingle"].tolist(), (hot["count"] // PART + 1).tolist(), strict=True)), "shingle long, parts long")
+        parts = texts.sparkSession.createDataFrame(list(zip(hot["shingle"].tolist(), _parts(hot["count"].to_numpy(np.int64)).tolist(), strict=True)), "shingle long, parts long")
         each = each.join(F.broadcast(parts), "shingle", "left")
         part, split = F.coalesce(F.pmod(F.xxhash64("cls"), "parts") + 1, F.lit(0)), F.col("part") > 0
     each = each.select("shingle", part.cast("int").alias("part"), "cls", "meta")
@@ -217,8 +247,8 @@ def _shared_prefixes(texts: DataFrame, members: DataFrame, classes: DataFrame, c
     lead = F.struct(_at("meta").alias("at"), "cls", "meta")  # the one with the fewest rarer shingles, as what others were copied from has
     grouped = each.withColumns({"group": F.count(F.lit(1)).over(w), "least": _n(F.min("meta").over(w)), "lead": F.min(lead).over(w)}).where((F.col("group") > 1) | split)
     whole = F.struct(F.col("lead.cls").alias("cls"), _n("lead.meta").alias("n"), F.col("lead.at").alias("at"), _l("lead.meta").alias("l"))
-    rows = grouped.select("shingle", "part", "cls", _n("meta").alias("n"), _at("meta").alias("at"), _l("meta").alias("l"), whole.alias("lead"), F.when(split, 0).otherwise(F.col("least")).alias("least"))
-    return materialize(_useful(rows).drop("least"), path, "shared")
+    rows = grouped.select("shingle", "part", "cls", _n("meta").alias("n"), _at("meta").alias("at"), _l("meta").alias("l"), whole.alias("lead"), F.when(split, 0).otherwise(F.col("least")).alias("least"), F.when(F.col("group") > 2 * PART, F.col("group")).alias("crowd"))
+    return materialize(_useful(rows).drop("least"), path, f"shared{k}")
 
 
 def _n(meta: str | Column) -> Column:
@@ -270,20 +300,43 @@ def _rest_pairs(shared: DataFrame, labels: DataFrame, seen: DataFrame, path: str
     """Every pair of classes of different components that shares prefix shingles enough.
 
     Only groups with several components take part. The component of a group's smallest label, as
-    a rule its largest, is not joined with itself, so that its size enters once.
+    a rule its largest, is not joined with itself, so that its size enters once. Of a group of more than ``PART``
+    classes each block of those outside that component meets each block of all, as a key of its own.
     """
     comp = _bounded(labels.select(F.col("node").alias("cls"), "label"))
     rows = shared.select("shingle", "cls", "n", "at", "l").join(comp, "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
     rows = materialize(rows, path, "labelled")
-    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("main"), F.max("comp").alias("z"), F.min("n").alias("least")).where(F.col("main") != F.col("z")).select("shingle", "main", "least")
+    mixed = rows.groupBy("shingle").agg(F.min("comp").alias("main"), F.max("comp").alias("z"), F.min("n").alias("least"), F.count(F.lit(1)).alias("holders")).where(F.col("main") != F.col("z")).select("shingle", "main", "least", "holders")
     rows = materialize(_useful(rows.join(mixed, "shingle")), path, "open")
-    p, q = rows.where(F.col("comp") != F.col("main")).alias("p"), rows.alias("q")
-    met = p.join(q, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cls") < F.col("q.cls"))))
+    few, many = rows.where(F.col("holders") <= PART), rows.where(F.col("holders") > PART)
+    met = _meet(few.where(F.col("comp") != F.col("main")), few, ["shingle"])
+    if many.limit(1).count():
+        met = met.unionByName(_meet(*_blocks(many, path), ["shingle", "i", "j"]))
     pairs = _often(met, F.least("p.cls", "q.cls"), F.greatest("p.cls", "q.cls"))
     tried = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return materialize(pairs.join(_bounded(tried), ["a", "b"], "left_anti"), path, "pairs1")
 
 
+def _meet(p: DataFrame, q: DataFrame, keys: list[str]) -> DataFrame:
+    """(p, q) of classes of different components at one key, each pair once."""
+    p, q = p.alias("p"), q.alias("q")
+    met = p.join(q, reduce(and_, [F.col(f"p.{k}") == F.col(f"q.{k}") for k in keys]) & (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cls") < F.col("q.cls"))))
+    return met.select(*[F.struct(*[f"{side}.{c}" for c in ("cls", "n", "at", "l")]).alias(side) for side in ("p", "q")])
+
+
+def _blocks(many: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the join of large groups: a class of block i outside the main component once for each block j of all, and the other way round."""
+    outside = many.where(F.col("comp") != F.col("main"))
+    sizes = outside.groupBy("shingle").agg(F.count(F.lit(1)).alias("outside"), F.first("holders").alias("all"))
+    sizes = sizes.select("shingle", F.floor(F.col("outside") / PART).cast("int").alias("is"), F.floor(F.col("all") / PART).cast("int").alias("js"))
+    sizes = _bounded(materialize(sizes, path, "blocks"))
+
+    def dealt(rows: DataFrame, own: str, blocks: str, other: str, others: str) -> DataFrame:
+        return rows.join(sizes, "shingle").withColumn(own, F.pmod(F.xxhash64("cls"), F.col(blocks) + 1).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), others)))
+
+    return dealt(outside, "i", "is", "j", "js"), dealt(many, "j", "js", "i", "is")
+
+
 def _verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame, path: str, k: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by their whole sets."""
     most = pairs.count()
