@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tests.compare import assert_same, views
 from tidewater.operators import joins
+from tidewater.plans import catalog
 
 
 def test_an_interval_join_broadcasts_neither_side(spark):
@@ -19,3 +21,12 @@ def test_levels_share_bins_where_that_copies_fewer_rows():
     assert joins._bins({30: 1, 31: 1, 32: 1, 36: 1}, {0: 1000}) == {0: 0, 30: 30, 31: 30, 32: 30, 36: 30}
     assert joins._bins({3: 1000, 9: 1000}, {0: 10}) == {0: 0, 3: 3, 9: 9}
     assert joins._bins({}, {}) == {}
+
+
+def test_a_count_meets_each_day_once(spark, sf_dir, monkeypatch):
+    met, whole = [], joins.interval
+    monkeypatch.setattr(joins, "interval", lambda left, right, *a, **b: met.append(right) or whole(left, right, *a, **b))
+    df = catalog.QUERIES["join_interval"](spark, sf_dir)
+    days = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate").distinct().count()
+    assert met[0].count() == days
+    assert_same(df, views(sf_dir), catalog.ORACLE_SQL["join_interval"])

@@ -34,6 +34,11 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[s
     return joined.select("_l.*", *[F.col(f"_r.{c}").alias(c if c not in left.columns else f"{c}_asof") for c in take])
 
 
+def per_span(rows: DataFrame, span: tuple[str, str], by: tuple[str, ...] = (), **sums: str) -> DataFrame:
+    """``by``, the span, ``n`` and the sums of columns: the rows of one key and span as one, so that who counts or sums what it overlaps meets each span once, however many rows have it."""
+    return rows.groupBy(*dict.fromkeys((*by, *span))).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()])
+
+
 def _bins(left: dict[int, int], right: dict[int, int]) -> dict[int, int]:
     """The level of the bins for spans of each level, given the rows of each level of both sides, so that the fewest rows are joined.
 

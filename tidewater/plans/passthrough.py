@@ -71,8 +71,9 @@ def join_interval(spark, d):
     best = F.max_by("o_orderdate", F.struct("o_totalprice", "o_orderkey"))
     windows = _t(spark, d, "orders").groupBy("o_custkey").agg(best.alias("t")).withColumn("until", F.col("t") + F.expr("interval 1 day"))
     items = _t(spark, d, "lineitem").select("l_shipdate", "l_linenumber")
-    met = joins.interval(windows, items, ("t", "until"), ("l_shipdate", "l_shipdate"))
-    return met.groupBy("l.o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("r.l_linenumber").alias("s"))
+    day = ("l_shipdate", "l_shipdate")
+    met = joins.interval(windows, joins.per_span(items, day, s="l_linenumber"), ("t", "until"), day)
+    return met.groupBy("l.o_custkey").agg(F.sum("r.n").alias("n"), F.sum("r.s").alias("s"))
 
 
 @query("join_interval_key", """
