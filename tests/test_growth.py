@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from tests.compare import assert_same, views
 from tidewater.operators import joins
 from tidewater.plans import catalog
+from tidewater.streaming import state
 
 
 def test_an_interval_join_broadcasts_neither_side(spark):
@@ -30,3 +33,9 @@ def test_a_count_meets_each_day_once(spark, sf_dir, monkeypatch):
     days = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate").distinct().count()
     assert met[0].count() == days
     assert_same(df, views(sf_dir), catalog.ORACLE_SQL["join_interval"])
+
+
+def test_session_events_sort_once(spark):
+    ops = spark.createDataFrame([(1, "create", "d", datetime(2024, 1, 1, tzinfo=UTC), 1)], "id long, op string, data string, ts timestamp, seq long")
+    plan = state.session_events(ops, 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Union" not in plan

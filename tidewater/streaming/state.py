@@ -161,19 +161,22 @@ def session_stream(ops: DataFrame, seconds: int, late: str = "0 seconds") -> Dat
 def session_events(ops: DataFrame, seconds: int) -> DataFrame:
     """The same of a table of operations, all ends included.
 
-    Between two settings or deletions a session lives on as long as no gap reaches its time to live: a running maximum of gaps tells.
+    Between two settings or deletions a session lives on as long as no gap reaches its time to live: of the last setting and the last such gap
+    the later one tells. All windows are of one order, so that a task sorts its rows once, and what a row gives, three events at most, is
+    made from it at one time.
     """
     w = Window.partitionBy("id").orderBy("ts", "seq")
     gap = F.make_interval(secs=F.lit(seconds))
-    rows = ops.select("id", "op", "data", "ts", "seq").withColumn("_part", F.sum(F.when(F.col("op") != "touch", 1).otherwise(0)).over(w))
-    inside = Window.partitionBy("id", "_part").orderBy("ts", "seq")
-    rows = rows.withColumn("_prev", F.lag("ts").over(inside)).withColumn("_next", F.lead("ts").over(w))
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    rows = ops.select("id", "op", "data", "ts", "seq").withColumns({"_prev": F.lag("ts").over(w), "_next": F.lead("ts").over(w), "_set": last(F.when(F.col("op") != "touch", F.struct("op", "data")))})
     late = F.coalesce(F.col("_prev") + gap <= F.col("ts"), F.lit(False))
-    rows = rows.withColumn("_dead", F.max(late).over(inside)).withColumns({"_set": F.first("op").over(inside), "_data": F.first("data").over(inside)})
-    rows = rows.withColumn("_live", F.col("_set").isin("create", "update") & ~F.col("_dead"))
+    dead = last(F.when(F.col("op") != "touch", F.lit(False)).when(late, F.lit(True)))
+    rows = rows.withColumn("_live", F.coalesce(F.col("_set.op").isin("create", "update") & ~dead, F.lit(False)))
     # A deletion says what it ends: the row before it, if that is not over by then.
-    rows = rows.withColumns({"_was": F.lag("_live").over(w), "_of": F.lag("_data").over(w), "_at": F.lag("ts").over(w)})
-    said = rows.where("_live").select("id", F.col("op").alias("event"), F.col("_data").alias("data"), F.col("ts").alias("at"))
-    gone = rows.where((F.col("op") == "delete") & F.col("_was") & (F.col("_at") + gap > F.col("ts"))).select("id", F.lit("delete").alias("event"), F.col("_of").alias("data"), F.col("ts").alias("at"))
-    over = rows.where(F.col("_live") & F.coalesce(F.col("ts") + gap <= F.col("_next"), F.lit(True))).select("id", F.lit("expire").alias("event"), F.col("_data").alias("data"), (F.col("ts") + gap).alias("at"))
-    return said.unionByName(gone).unionByName(over)
+    rows = rows.withColumns({"_was": F.lag("_live").over(w), "_of": F.lag("_set.data").over(w)})
+    event = lambda when, name, data, at: F.when(when, F.struct(name.alias("event"), F.col(data).alias("data"), at.alias("at")))
+    said = event(F.col("_live"), F.col("op"), "_set.data", F.col("ts"))
+    gone = event((F.col("op") == "delete") & F.col("_was") & (F.col("_prev") + gap > F.col("ts")), F.lit("delete"), "_of", F.col("ts"))
+    over = event(F.col("_live") & F.coalesce(F.col("ts") + gap <= F.col("_next"), F.lit(True)), F.lit("expire"), "_set.data", F.col("ts") + gap)
+    made = rows.select("id", F.explode(F.array(said, gone, over)).alias("e")).where(F.col("e").isNotNull())
+    return made.select("id", "e.event", "e.data", "e.at")
