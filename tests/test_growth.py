@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F
 
 from tests.compare import assert_same, views
-from tidewater.operators import joins
+from tidewater.operators import crdt, joins
 from tidewater.plans import catalog
 from tidewater.streaming import state
 
@@ -35,6 +35,32 @@ def test_a_count_meets_each_day_once(spark, sf_dir, monkeypatch):
     assert_same(df, views(sf_dir), catalog.ORACLE_SQL["join_interval"])
 
 
+def test_a_long_list_is_joined_by_what_leaves_its_blocks(spark, monkeypatch):
+    tours, write = [], crdt.materialize
+    monkeypatch.setattr(crdt, "materialize", lambda df, path, name, *a: tours.append(name) or write(df, path, name, *a))
+    at = lambda c: crdt.hlc(c, F.lit(0), F.lit("n"))
+    node = lambda parent, dead: spark.range(1, 5000).select(F.lit(1).alias("pk"), F.lit("f").alias("field"), at(F.col("id")).alias("id"), at(parent).alias("parent"), F.col("id").alias("value"), dead.alias("tombstone"))
+    wide = node(F.when(F.col("id") > 1, F.lit(1)), F.col("id") % 3 == 0).withColumn("parent", F.when(F.col("value") > 1, F.col("parent")))
+    chain = node(F.col("id") - 1, F.lit(False)).withColumn("parent", F.when(F.col("value") > 1, F.col("parent")))
+    for df, want in ((wide, [1, *(k for k in range(4999, 1, -1) if k % 3)]), (chain, list(range(1, 5000)))):
+        tours.clear()
+        assert [r.value for r in crdt.list_order(df, walk=0).orderBy("pos").collect()] == want
+        assert sum(n.startswith("tour-") for n in tours) <= 2
+
+
+def test_blocks_of_a_long_list_meet_and_circles_end(spark, monkeypatch):
+    rows = [(1, "f", (k, 0, "n"), (k * 7 % 300, 0, "n") if k % 300 else None, str(k), k % 4 == 0) for k in range(1, 301)]
+    rows += [(1, "f", (1000 + k, 0, "n"), (1000 + (k + 1) % 3, 0, "n"), "c", False) for k in range(3)]
+    h = "struct<ts:bigint,c:bigint,node:string>"
+    df = spark.createDataFrame(rows, f"pk int, field string, id {h}, parent {h}, value string, tombstone boolean")
+    want = sorted(map(tuple, crdt.list_order(df).collect()))
+    for block in (2, 16, 1 << 16):
+        monkeypatch.setattr(crdt, "BLOCK", block)
+        for few in (0, 1 << 16):
+            monkeypatch.setattr(crdt, "FEW", few)
+            assert sorted(map(tuple, crdt.list_order(df, walk=0).collect())) == want
+
+
 def test_session_events_sort_once(spark):
     ops = spark.createDataFrame([(1, "create", "d", datetime(2024, 1, 1, tzinfo=UTC), 1)], "id long, op string, data string, ts timestamp, seq long")
     plan = state.session_events(ops, 60)._jdf.queryExecution().executedPlan().toString()

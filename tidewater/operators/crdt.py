@@ -20,6 +20,7 @@ import json
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,6 +104,10 @@ def list_merge(nodes: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> Dat
     return nodes.groupBy(*keys, "id").agg(F.min("parent").alias("parent"), F.min("value").alias("value"), F.bool_or("tombstone").alias("tombstone"))
 
 
+#: Nodes of a long list whose pointers one task follows, a power of two; rows of numbers up to which a table of them is broadcast.
+BLOCK, FEW = 1 << 16, 250_000
+
+
 def list_order(nodes: DataFrame, keys: tuple[str, ...] = ("pk", "field"), walk: int = 100_000) -> DataFrame:
     """(keys, pos, id, value): visible nodes from the head, siblings newest first; what hangs from no head is not reached.
 
@@ -145,26 +150,31 @@ def _order_by_walks(merged: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def _order_by_joins(merged: DataFrame, keys: tuple[str, ...], path: str) -> DataFrame:
     """The same order from the Euler tour of the trees: each node is entered (2n) and left (2n + 1), and a place in the list is how many
-    visible nodes are entered before. Pointers to what comes before, with the visible nodes passed on the way, are doubled by a join
-    a round, until they are at the start of a tour, so that the rounds are the logarithm of the longest list, however deep it is.
+    visible nodes are entered before. Pointers to what comes before, with the visible nodes passed on the way, are first followed within
+    blocks of ``BLOCK`` nodes, a task each. Of what they then refer to outside their block, most often little, they are doubled by a join
+    a round, until they are at the start of a tour, so that the rounds are the logarithm of that, however deep the list is.
 
     Nodes are numbered by parent, newest first, so that siblings have consecutive numbers and a node with very many
     children is no hot key: only its first and last child refer to it. Tours that do not start at a head, below a node that there is not, end at -1, and
     circles at no start: neither is reached.
     """
     numbered = materialize(number(merged, *keys, F.asc_nulls_first("parent"), F.desc("id")), path, "numbered")
-    visible = (~F.col("tombstone")).cast("long")
-    groups = numbered.groupBy(*keys, "parent").agg(F.min("_n").alias("first"), F.max("_n").alias("last"))
-    owners = numbered.select(*keys, F.col("id").alias("parent"), F.col("_n").alias("over"), visible.alias("w"))
-    groups = materialize(groups.join(owners, [*keys, "parent"], "left").select("first", "last", "over", "w", F.col("parent").isNull().alias("head")), path, "groups")
-    below, n, none = groups.where(F.col("over").isNotNull()), F.col("_n"), F.lit(0).cast("long")
-    step = lambda df, e, prev, s: df.select(e.cast("long").alias("e"), prev.cast("long").alias("prev"), s.cast("long").alias("s"))
-    state = step(below, 2 * F.col("first"), 2 * F.col("over"), F.col("w"))  # into the first child
-    state = state.unionByName(step(below, 2 * F.col("over") + 1, 2 * F.col("last") + 1, none))  # out of the last one
-    state = state.unionByName(step(numbered.join(groups.select(F.col("first").alias("_n")), "_n", "left_anti"), 2 * n, 2 * n - 1, none))  # to the next sibling
-    state = state.unionByName(step(numbered.join(below.select(F.col("over").alias("_n")), "_n", "left_anti"), 2 * n + 1, 2 * n, visible))  # out of a leaf
-    starts = groups.where(F.col("over").isNull())
-    state = materialize(state.unionByName(step(starts, 2 * F.col("first"), F.when(F.col("head"), 0).otherwise(-1), none)), path, "tour-0")
+    groups = materialize(numbered.groupBy(*keys, "parent").agg(F.min("_n").alias("first"), F.max("_n").alias("last")), path, "groups")
+    owners = numbered.select(*keys, F.col("id").alias("parent"), F.col("_n").alias("over"), (~F.col("tombstone")).cast("long").alias("w"))
+    below = materialize(owners.join(_few(groups), [*keys, "parent"]).select("first", "last", "over", "w"), path, "below")
+    starts = groups.join(_few(below.select("first")), "first", "left_anti")
+    step = lambda df, n, kind, prev, s: df.select(n.cast("long").alias("n"), F.lit(kind).alias("kind"), prev.cast("long").alias("prev"), s.cast("long").alias("s"))
+    none = F.lit(0)
+    tour = step(numbered, F.col("_n"), 0, none, ~F.col("tombstone"))
+    tour = tour.unionByName(step(below, F.col("first"), 1, 2 * F.col("over"), F.col("w")))  # into the first child
+    tour = tour.unionByName(step(starts, F.col("first"), 1, F.when(F.col("parent").isNull(), 0).otherwise(-1), none))
+    tour = tour.unionByName(step(below, F.col("over"), 2, 2 * F.col("last") + 1, none))  # out of the last one
+    nodes = tour.groupBy(F.shiftright("n", BLOCK.bit_length() - 1).alias("_block")).applyInPandas(_follow, "n long, into long, s long, out long, t long")
+    nodes = materialize(nodes, path, "blocks")
+    ends = materialize(nodes.select(F.explode(F.array("into", "out")).alias("e")).where(F.col("e") > 0).distinct(), path, "ends")
+    even = F.col("e") % 2 == 0
+    state = nodes.join(_few(ends.withColumn("n", F.shiftright("e", 1))), "n").select("e", F.when(even, F.col("into")).otherwise(F.col("out")).alias("prev"), F.when(even, F.col("s")).otherwise(F.col("t")).alias("s"))
+    state = materialize(state, path, "tour-0")
     rounds = (2 * numbered.count() + 2).bit_length() + 1
     for k in range(1, rounds + 1):
         going = state.where(F.col("prev") > 0)
@@ -173,10 +183,42 @@ def _order_by_joins(merged: DataFrame, keys: tuple[str, ...], path: str) -> Data
         on = state.select(F.col("e").alias("prev"), F.col("prev").alias("far"), F.col("s").alias("more"))
         moved = going.join(on, "prev").select("e", F.col("far").alias("prev"), (F.col("s") + F.col("more")).alias("s"))
         state = materialize(moved.unionByName(state.where(F.col("prev") <= 0)), path, f"tour-{k}")
-    places = state.where((F.col("prev") == 0) & (F.col("e") % 2 == 0)).select((F.col("e") / 2).cast("long").alias("_n"), (F.col("s") + 1).alias("pos"))
+    before = state.where(F.col("prev") == 0).select(F.col("e").alias("into"), F.col("s").alias("more"))
+    places = nodes.join(_few(before), "into", "left").where((F.col("into") == 0) | F.col("more").isNotNull())
+    places = places.select(F.col("n").alias("_n"), (F.col("s") + F.coalesce("more", F.lit(0)) + 1).alias("pos"))
     return numbered.where(~F.col("tombstone")).join(places, "_n").select(*keys, "pos", "id", "value")
 
 
+def _follow(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of each node of a block, entered (into, s) and left (out, t): what comes before outside the block, 0 and -1 at the start of a tour, and the visible nodes on the way.
+
+    A row of kind 0 is a node, with its visibility; what comes before it is its sibling, and before it is left itself, unless
+    a row of kind 1 or 2 says otherwise. What is not out of the block after so many steps as it has nodes is in a circle.
+    """
+    kind, at = rows["kind"].to_numpy(), rows["n"].to_numpy()
+    n = np.sort(at[kind == 0])
+    first = 2 * n[0]
+    prev, s = np.stack([2 * n - 1, 2 * n], 1).ravel(), np.zeros(2 * len(n), np.int64)
+    s[2 * (at[kind == 0] - n[0]) + 1] = rows["s"].to_numpy()[kind == 0]
+    for k in (1, 2):
+        e = 2 * (at[kind == k] - n[0]) + k - 1
+        prev[e], s[e] = rows["prev"].to_numpy()[kind == k], rows["s"].to_numpy()[kind == k]
+    for _ in range(len(s).bit_length() + 1):
+        inside = np.flatnonzero((prev >= first) & (prev < first + len(prev)))
+        if not len(inside):
+            break
+        far = prev[inside] - first
+        s[inside] += s[far]
+        prev[inside] = prev[far]
+    prev[(prev >= first) & (prev < first + len(prev))] = -1
+    return pd.DataFrame({"n": n, "into": prev[::2], "s": s[::2], "out": prev[1::2], "t": s[1::2]})
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Broadcast if a count shows that the rows, stored ones, are few, else as they are."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def document_fields(facts: DataFrame, keys: tuple[str, ...] = ("pk", "field")) -> DataFrame:
     """(keys, path, value): the newest write of each path that is newer than any deletion of it or of a path above."""
     new = latest(facts.where(~F.col("tombstone")), (*keys, "path"))
