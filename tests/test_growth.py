@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.compare import assert_same, views
@@ -65,3 +66,49 @@ def test_session_events_sort_once(spark):
     ops = spark.createDataFrame([(1, "create", "d", datetime(2024, 1, 1, tzinfo=UTC), 1)], "id long, op string, data string, ts timestamp, seq long")
     plan = state.session_events(ops, 60)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and "Union" not in plan
+
+
+class _Handle:
+    """A session's state and timers, with the calls counted that would go to the JVM."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, *a):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_a_session_reads_and_writes_its_state_once_for_many_rows():
+    handle, sessions, t0 = _Handle(), state._Sessions(60), pd.Timestamp("2024-01-01")
+    sessions.init(handle)
+    rows = pd.DataFrame([("create" if k == 0 else "touch", f"d{k}", t0 + timedelta(seconds=k), k) for k in range(100)], columns=["op", "data", "ts", "seq"])
+    out = pd.concat(sessions.handleInputRows((5,), iter([rows[50:], rows[:50]]), None))
+    assert out["event"].tolist() == ["create", *["touch"] * 99] and set(out["data"]) == {"d0"}
+    ends = int((t0 + timedelta(seconds=159)).timestamp()) * 1000
+    assert handle.calls <= 5 and handle.timers == {ends} and handle.value == ("d0", ends * 1000)
+    list(sessions.handleInputRows((5,), iter([rows[:1].assign(op="delete", ts=t0 + timedelta(seconds=120))]), None))
+    assert handle.value is None and not handle.timers

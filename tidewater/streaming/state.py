@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,42 +105,47 @@ class _Sessions(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("session", "data string, ends long")
 
-    def _end(self, key: tuple, event: str, at: int, out: list) -> None:
-        data, ends = self.state.get()
-        self.handle.deleteTimer(-(-ends // 1000))
-        self.state.clear()
-        out.append((key[0], event, data, at))
-
-    def _rows(self, out: list) -> pd.DataFrame:
-        rows = pd.DataFrame(out, columns=["id", "event", "data", "at"])
-        return rows.assign(at=pd.to_datetime(rows["at"], unit="us"))
+    def _rows(self, key: tuple, out: list) -> Iterator[pd.DataFrame]:
+        if out:
+            event, data, at = zip(*out, strict=True)
+            yield pd.DataFrame({"id": [key[0]] * len(out), "event": event, "data": data, "at": np.array(at, "datetime64[us]")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        got = pd.concat(rows).sort_values(["ts", "seq"])
-        out: list = []
-        for op, data, at in zip(got["op"], got["data"], got["ts"].astype("datetime64[us]").astype("int64"), strict=True):
-            if self.state.exists() and self.state.get()[1] <= at:
-                self._end(key, "expire", self.state.get()[1], out)
-            live = self.state.exists()
+        """State and timer are read once and written once for a key's rows, not for each row: every such call goes to the JVM and back."""
+        got = list(rows)
+        got = got[0] if len(got) == 1 else pd.concat(got)
+        ts = got["ts"].to_numpy("datetime64[us]")
+        order = np.lexsort((got["seq"].to_numpy(), ts))
+        ops, datas, times = got["op"].to_numpy()[order], got["data"].to_numpy()[order], ts.astype("int64")[order].tolist()
+        was = tuple(self.state.get()) if self.state.exists() else None
+        live, out = was, []
+        for op, data, at in zip(ops, datas, times, strict=True):
+            if live and live[1] <= at:
+                out.append(("expire", *live))
+                live = None
             if op == "delete":
                 if live:
-                    self._end(key, "delete", at, out)
+                    out.append((op, live[0], at))
+                    live = None
                 continue
             if op == "touch" and not live:
                 continue
-            if live:
-                self.handle.deleteTimer(-(-self.state.get()[1] // 1000))
-            data = self.state.get()[0] if op == "touch" else data
-            self.state.update((data, at + self.ttl))
-            self.handle.registerTimer(-(-(at + self.ttl) // 1000))
-            out.append((key[0], op, data, at))
-        yield self._rows(out)
+            live = (live[0] if op == "touch" else data), at + self.ttl
+            out.append((op, live[0], at))
+        if was and was != live:
+            self.handle.deleteTimer(-(-was[1] // 1000))
+        if live and was != live:
+            self.state.update(live)
+            self.handle.registerTimer(-(-live[1] // 1000))
+        elif was and not live:
+            self.state.clear()
+        yield from self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out: list = []
-        if self.state.exists() and -(-self.state.get()[1] // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
-            self._end(key, "expire", self.state.get()[1], out)
-        yield self._rows(out)
+        live = tuple(self.state.get()) if self.state.exists() else None
+        if live and -(-live[1] // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            yield from self._rows(key, [("expire", *live)])
 
     def close(self) -> None:
         pass
