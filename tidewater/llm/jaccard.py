@@ -39,7 +39,6 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,8 +59,8 @@ PART = 4096
 ROUNDS = 3
 #: Texts of a class above which its component is sent to them.
 CROWD = 1000
-#: Rows of ids up to which a table of them is broadcast: 16 bytes each, 16 MB.
-BROADCAST = 1_000_000
+#: Rows of ids up to which a table of them is broadcast: 16 bytes each, 4 MB, of which the driver holds rows, hash table and blocks at once.
+BROADCAST = 250_000
 
 
 def needed(n: np.ndarray | int) -> np.ndarray | int:
@@ -146,7 +145,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", levels
     first = materialize(in_arrow(texts, _first_pass, "doc long, cls long, n long, shingle long, count long"), path, "first")
     rows = first.where(F.col("n").isNotNull()).select("doc", "cls", "n")
     members = rows.where((F.col("n") > 0) & F.col("doc").isNotNull())
-    counts = first.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "shingle").limit(COUNTED).toPandas()
+    counts = _listed(first.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("count").alias("count")))
     total = members.count()
     classes = materialize(members.groupBy("cls").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("texts")), path, "classes", total)
 
@@ -172,6 +171,33 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", levels
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def _listed(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the largest counts, at most ``COUNTED``, in ascending order, and their counts; they come as Arrow, 16 bytes each."""
+    got = counted.select("shingle", "count").orderBy(F.desc("count"), "shingle").limit(COUNTED).toArrow()
+    value, count = got["shingle"].to_numpy().view(np.uint64), got["count"].to_numpy()
+    order = np.argsort(value)
+    return value[order], count[order]
+
+
+def _known(counts: tuple[np.ndarray, np.ndarray], shingles: np.ndarray) -> np.ndarray:
+    """The listed counts of the shingles, 0 of those not listed."""
+    value, count = counts
+    if not len(value):
+        return np.zeros(len(shingles), np.int64)
+    at = np.minimum(np.searchsorted(value, shingles), len(value) - 1)
+    return np.where(value[at] == shingles, count[at], 0)
+
+
+def _raised(counts: tuple[np.ndarray, np.ndarray], crowds: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The list with the counts of ``crowds`` for theirs, cut to the largest."""
+    value, first = np.unique(np.concatenate([crowds[0], counts[0]]), return_index=True)
+    count = np.concatenate([crowds[1], counts[1]])[first]
+    if len(value) > COUNTED:
+        most = np.sort(np.lexsort((value.view(np.int64), -count))[:COUNTED])
+        value, count = value[most], count[most]
+    return value, count
+
+
 def _same_id(members: DataFrame, path: str, total: int) -> DataFrame:
     """Links between the classes of an id that has several."""
     several = members.groupBy("doc").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where(F.col("a") != F.col("z")).select("doc", "a")
@@ -179,21 +205,20 @@ def _same_id(members: DataFrame, path: str, total: int) -> DataFrame:
     return members.join(_bounded(several), "doc").where(F.col("cls") != F.col("a")).select("a", F.col("cls").alias("b")).distinct()
 
 
-def _placed(texts: DataFrame, members: DataFrame, classes: DataFrame, counts, levels: int, path: str, total: int) -> DataFrame:
+def _placed(texts: DataFrame, members: DataFrame, classes: DataFrame, counts: tuple[np.ndarray, np.ndarray], levels: int, path: str, total: int) -> DataFrame:
     """The prefix shingles of ``_shared_prefixes``, in an order in which no shingle that prefixes crowd under was taken for rare."""
     # Of each class its text with the smallest id speaks; the ids of all others are few, or shuffled.
     reps = classes.select(F.col("rep").alias("doc"), "cls")
     copies = materialize(members.join(reps, ["doc", "cls"], "left_anti").distinct(), path, "copies", total)
     for k in range(ROUNDS):
         shared = _shared_prefixes(texts, copies, counts, levels, path, k)
-        crowds = shared.where(F.col("crowd").isNotNull()).groupBy("shingle").agg(F.max("crowd").alias("crowd"))
-        crowds = crowds.orderBy(F.desc("crowd"), "shingle").limit(COUNTED).toPandas()
-        known = counts.set_index("shingle")["count"].reindex(crowds["shingle"]).fillna(0).to_numpy(np.int64)
-        crowds["count"] = crowds["crowd"].to_numpy(np.int64) * _parts(known)
-        crowds = crowds[crowds["count"].to_numpy(np.int64) > 2 * known][["shingle", "count"]]
-        if crowds.empty:
+        crowd, size = _listed(shared.where(F.col("crowd").isNotNull()).groupBy("shingle").agg(F.max("crowd").alias("count")))
+        known = _known(counts, crowd)
+        size = size * _parts(known)
+        more = size > 2 * known
+        if not more.any():
             break
-        counts = pd.concat([crowds, counts]).drop_duplicates("shingle").sort_values(["count", "shingle"], ascending=[False, True]).head(COUNTED)
+        counts = _raised(counts, (crowd[more], size[more]))
     return shared
 
 
@@ -202,11 +227,11 @@ def _parts(count: np.ndarray) -> np.ndarray:
     return np.where(count > PART, count // PART + 1, 1)
 
 
-def _shared_prefixes(texts: DataFrame, copies: DataFrame, counts, levels: int, path: str, k: int) -> DataFrame:
+def _shared_prefixes(texts: DataFrame, copies: DataFrame, counts: tuple[np.ndarray, np.ndarray], levels: int, path: str, k: int) -> DataFrame:
     """(shingle, part, cls, n, at, l, lead, crowd): prefix shingles that several classes have, their place in the set's order, the leader of the group, and its size if it is very large. Part 0 is of a group with no others."""
-    hot = counts[counts["count"] > PART]
-    counts = counts.sort_values("shingle", key=lambda x: x.to_numpy().astype(np.int64).view(np.uint64))
-    order_b = texts.sparkSession.sparkContext.broadcast((counts["shingle"].to_numpy(np.int64).view(np.uint64), np.minimum(counts["count"].to_numpy(np.int64), 65_535).astype(np.uint16)))
+    listed, often = counts
+    hot = often > PART
+    order_b = texts.sparkSession.sparkContext.broadcast((listed, np.minimum(often, 65_535).astype(np.uint16)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, count = order_b.value
@@ -237,8 +262,9 @@ def _shared_prefixes(texts: DataFrame, copies: DataFrame, counts, levels: int, p
     each = own.select("cls", "meta", F.posexplode("tokens").alias("at", "shingle"))
     each = each.select("shingle", "cls", F.col("meta").bitwiseOR(F.shiftleft(F.col("at").cast("long"), 3)).alias("meta"))
     part, split = F.lit(0), F.lit(False)
-    if len(hot):  # at most COUNTED rows
-        parts = texts.sparkSession.createDataFrame(list(zip(hot["shingle"].tolist(), _parts(hot["count"].to_numpy(np.int64)).tolist(), strict=True)), "shingle long, parts long")
+    if hot.any():  # at most COUNTED rows
+        parts = pa.table({"shingle": listed[hot].view(np.int64), "parts": _parts(often[hot])})
+        parts = texts.sparkSession.createDataFrame(parts, "shingle long, parts long")
         each = each.join(F.broadcast(parts), "shingle", "left")
         part, split = F.coalesce(F.pmod(F.xxhash64("cls"), "parts") + 1, F.lit(0)), F.col("part") > 0
     each = each.select("shingle", part.cast("int").alias("part"), "cls", "meta")
@@ -248,7 +274,9 @@ def _shared_prefixes(texts: DataFrame, copies: DataFrame, counts, levels: int, p
     grouped = each.withColumns({"group": F.count(F.lit(1)).over(w), "least": _n(F.min("meta").over(w)), "lead": F.min(lead).over(w)}).where((F.col("group") > 1) | split)
     whole = F.struct(F.col("lead.cls").alias("cls"), _n("lead.meta").alias("n"), F.col("lead.at").alias("at"), _l("lead.meta").alias("l"))
     rows = grouped.select("shingle", "part", "cls", _n("meta").alias("n"), _at("meta").alias("at"), _l("meta").alias("l"), whole.alias("lead"), F.when(split, 0).otherwise(F.col("least")).alias("least"), F.when(F.col("group") > 2 * PART, F.col("group")).alias("crowd"))
-    return materialize(_useful(rows).drop("least"), path, f"shared{k}")
+    shared = materialize(_useful(rows).drop("least"), path, f"shared{k}")
+    order_b.destroy()
+    return shared
 
 
 def _n(meta: str | Column) -> Column:

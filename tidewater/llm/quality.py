@@ -83,13 +83,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     known = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k")
     logs = []
     for some, column in ((known.where(~apart & (F.col("y") == 1)), "t"), (docs, text_col)):
-        got = counts(some, column).toPandas()
+        got = counts(some, column).toArrow()
         total = np.zeros(1 << BITS)
-        total[got.bucket.to_numpy(int)] = got.n
+        total[got["bucket"].to_numpy()] = got["n"].to_numpy()
         logs.append(np.log((total + smoothing) / (total.sum() + smoothing * (1 << BITS))))
     model = Model(logs[0] - logs[1])
-    got = importance(known.where(apart), model, "t", ("y",)).toPandas()
-    return Model(model.ratio, *_chance(got.log_importance.to_numpy(float), got.y.to_numpy(float)))
+    got = importance(known.where(apart), model, "t", ("y",)).toArrow()
+    return Model(model.ratio, *_chance(got["log_importance"].to_numpy(), got["y"].to_numpy().astype(float)))
 
 
 def _chance(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[float, float]:

@@ -74,8 +74,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     spark = docs.sparkSession
     found = materialize(in_arrow(rows, extract, "y int, n long, size long, x binary"), shared_dir(spark), "features")
     upto = F.sum("size").over(Window.partitionBy("y").orderBy("n", "size", "x").rowsBetween(Window.unboundedPreceding, 0))  # of at most ``max_per_label`` rows
-    got = found.withColumn("_upto", upto).where(F.col("_upto") <= max_features).select("y", "n", "x").toPandas().sort_values(["n", "y"])
-    xs, ys, n = [np.frombuffer(x, np.int32) for x in got.x], got.y.to_numpy(float), got.n.to_numpy(np.int64)
+    got = found.withColumn("_upto", upto).where(F.col("_upto") <= max_features).select("y", "n", "x").toArrow()
+    ys, n = got["y"].to_numpy().astype(float), got["n"].to_numpy()
+    order = np.lexsort((ys, n))
+    # Features stay where Arrow has them, and are copied for no row.
+    xs = [np.frombuffer(x.as_buffer(), np.int32) for x in got["x"]]
+    xs, ys, n = [xs[i] for i in order], ys[order], n[order]
     pairs = [(a, p) for a in np.atleast_1d(alpha).tolist() for p in np.atleast_1d(l1).tolist()]
     rate, penalty = pairs[0] if len(pairs) == 1 else _best(spark, xs, ys, n % 4 == 0, pairs, epochs, beta, l2)
     return learn(xs, ys, epochs, rate, beta, penalty, l2)
@@ -120,7 +124,7 @@ def _best(spark: SparkSession, xs: list[np.ndarray], ys: np.ndarray, apart: np.n
                 yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([p]), pa.array([loss])], ["a", "p", "loss"])
 
     got = in_arrow(spark.range(0, len(pairs), 1, len(pairs)), run, "a double, p double, loss double").collect()
-    data.unpersist()
+    data.destroy()
     r = min(got, key=lambda r: (r.loss, -r.p, r.a))
     return r.a, r.p
 
