@@ -58,6 +58,13 @@ class _Table:
             at = (at + 1) & ((1 << self.bits) - 1)
 
 
+def _doubled(x: np.ndarray) -> np.ndarray:
+    """Twice as long, by zeros, which take no memory until they are written."""
+    out = np.zeros(2 * len(x), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Pieces:
     """Ids of pieces seen so far in this process; started anew when ``most`` pieces are kept."""
 
@@ -76,16 +83,16 @@ class Pieces:
         n, size = self.at.n, np.fromiter(map(len, ids), np.int64, len(ids))
         text = np.frombuffer(b"".join(pieces), np.uint8)
         while len(self.raw) < self.raw_used + len(text) + 8:  # eight bytes are read from any place
-            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+            self.raw = _doubled(self.raw)
         while len(self.raw_off) <= n + len(keys):
-            self.raw_off = np.concatenate([self.raw_off, np.zeros_like(self.raw_off)])
+            self.raw_off = _doubled(self.raw_off)
         self.raw[self.raw_used : self.raw_used + len(text)] = text
         self.raw_off[n + 1 : n + len(keys) + 1] = self.raw_used + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         self.raw_used += len(text)
         while len(self.off) < n + len(keys):
-            self.off, self.size = np.concatenate([self.off, self.off]), np.concatenate([self.size, self.size])
+            self.off, self.size = _doubled(self.off), _doubled(self.size)
         while len(self.ids) < self.used + size.sum():
-            self.ids = np.concatenate([self.ids, self.ids])
+            self.ids = _doubled(self.ids)
         self.off[n : n + len(keys)] = self.used + np.cumsum(size) - size
         self.size[n : n + len(keys)] = size
         self.ids[self.used : self.used + size.sum()] = np.fromiter(chain.from_iterable(ids), np.int32, size.sum())

@@ -14,9 +14,10 @@ _KEPT: dict[str, Any] = {}
 
 
 def kept(key: str, make: Callable[[], Any]) -> Any:
-    """What ``make`` gives, made once in a Python process for tasks of the same ``key``."""
+    """What ``make`` gives, made once in a Python process for tasks of the same ``key``; what making it took besides goes back to the system."""
     if key not in _KEPT:
         _KEPT[key] = make()
+        _trim()
     return _KEPT[key]
 
 
@@ -32,12 +33,17 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def drop_others(key: str) -> None:
-    """Drop what is kept under other keys, and return its memory to the system where the C library can."""
+    """Drop what is kept under other keys, and return its memory to the system."""
     others = [k for k in _KEPT if k != key]
     if not others:
         return
     for k in others:
         del _KEPT[k]
+    _trim()
+
+
+def _trim() -> None:
+    """Return free memory to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

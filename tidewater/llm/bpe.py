@@ -13,7 +13,7 @@ are not read. Special tokens in a text are taken as such, as the file says.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,17 +125,18 @@ class Bpe:
                 tree.set(h, made[h][0])
         return [s for s in symbols if s >= 0]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of any text, special tokens in it included."""
+    def encode(self, text: str, word: Callable[[bytes], list[int]] | None = None) -> list[int]:
+        """Ids of any text, special tokens in it included. word: ids of one word; by default they are kept for the next."""
+        word = word or self.word
         out: list[int] = []
         at = 0
         for m in self.cut.finditer(text):
-            out += self._between(text[at : m.start()])
+            out += self._between(text[at : m.start()], word)
             out.append(self.special[m[0]])
             at = m.end()
-        return out + self._between(text[at:]) if at else self._between(text)
+        return out + self._between(text[at:], word) if at else self._between(text, word)
 
-    def _between(self, text: str) -> list[int]:
+    def _between(self, text: str, word: Callable[[bytes], list[int]]) -> list[int]:
         if not text:
             return []
         if self.plain.fullmatch(text):
@@ -143,8 +144,8 @@ class Bpe:
         else:
             words = [bytes(map(self.byte.__getitem__, w)) for w, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))]
         if len(words) == 1:
-            return self.word(words[0])
-        return [i for w in words for i in self.word(w)]
+            return word(words[0])
+        return [i for w in words for i in word(w)]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids, joined by one space, as a file without a decoder has it."""
@@ -153,7 +154,8 @@ class Bpe:
 
 def _made(path: str) -> tuple[Bpe, Pieces]:
     b = Bpe(path)
-    return b, Pieces(lambda pieces: list(map(b.encode, pieces)), b.encode, False)
+    # A piece is asked for once and then kept there, so that its words are not kept a second time.
+    return b, Pieces(lambda pieces: [b.encode(p, b.merge) for p in pieces], b.encode, False)
 
 
 def _pattern(text: str) -> str:
